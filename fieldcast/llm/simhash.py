@@ -162,7 +162,7 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     return at, root[at]
 
 
-def near_forest(fps: DataFrame, budget: int = 2, leaf_rows: int = 2048) -> DataFrame:
+def near_forest(fps: DataFrame, budget: int = 2, leaf_rows: int = 128) -> DataFrame:
     """Links that join each distinct ``fp`` (long) with those at ``budget`` bits or fewer.
 
     Returns ``a``, ``b``: not all links but, for each pair of subtries met in a task, a
@@ -170,6 +170,8 @@ def near_forest(fps: DataFrame, budget: int = 2, leaf_rows: int = 2048) -> DataF
     lie within the budget of each other. The components are those of all links.
     """
     blocks = _blocks(budget)
+    # a top node is hot when it holds several times an even share of all fingerprints
+    leaf_rows = max(leaf_rows, 4 * fps.count() >> min(w for _, w in blocks))
     turned = fps.select("fp").filter("fp is not null").distinct().select(
         F.explode(F.array(*[F.struct(F.lit(r).alias("turn"), _rotl(F.col("fp"), at).alias("key"), F.shiftrightunsigned(_rotl(F.col("fp"), at), 64 - width).alias("top")) for r, (at, width) in enumerate(blocks)])).alias("x")
     ).select("x.*")
