@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import packing, simhash
+from . import packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,53 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("words_left")
+
+
+OP10_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM doc WHERE len(w) >= 3)
+), rep AS (
+  SELECT r, sum(least(3, coalesce(nxt - i, 3))) AS n
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM win WHERE c > 1) GROUP BY r
+), base AS (
+  SELECT doc.r, doc_id, host, l, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM doc LEFT JOIN rep ON doc.r = rep.r
+), line AS (
+  SELECT r, host, length(x) AS c,
+         lower(array_to_string(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''), ' ')) AS t
+  FROM (SELECT r, host, unnest(l) AS x FROM base)
+), sign AS (
+  SELECT r, arg_max(t, c) AS s FROM line GROUP BY r
+), freq AS (
+  SELECT k.host, k.t FROM (
+    SELECT host, t, count(*) AS n FROM (SELECT DISTINCT line.host, line.t, sign.s FROM line JOIN sign ON line.r = sign.r)
+    GROUP BY host, t
+  ) k JOIN (SELECT host, count(*) AS docs FROM base GROUP BY host) h ON k.host = h.host
+  WHERE k.n > 20 AND k.n > 0.01 * h.docs
+), lost AS (
+  SELECT r, sum(len(string_split(line.t, ' '))) AS n FROM line JOIN freq ON line.host = freq.host AND line.t = freq.t GROUP BY r
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(lost.n, 0) >= 0.5 * n_words AS kept
+FROM base LEFT JOIN lost ON base.r = lost.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": OP10_SQL}
