@@ -1,8 +1,58 @@
-"""Corpus pipeline (stages are filled in as the operators land)."""
+"""The corpus pipeline: quality rules, quality classifier, SimHash near-dedup, packing.
 
-STAGES = []
+Each stage reads what its predecessor wrote. All but the last return the columns of
+``documents``; the rules also take lines over their limit out of the texts they keep.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldcast.llm import packing, quality_classifier, quality_rules, simhash
+from fieldcast.llm.common import materialize
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the rules reject and lines that are boilerplate of their source."""
+    kept = quality_rules.keep_good(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose chance of the top grade is below a half."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    graded = labels.select("doc_id", quality_classifier.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, graded))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies."""
+    found = materialize(simhash.simhash_components(docs).select("doc_id", "component_id"))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().filter("count > 1").take(1):  # repeated rows of one id
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("simhash_near_dedup", near_dedup), ("best_fit_packing", pack)]
+
+#: No SQL expresses the fitted classifier, the trie join or the packing; the tests hold the
+#: stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
