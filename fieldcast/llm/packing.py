@@ -10,13 +10,14 @@ row number within it, so a length that a third of all pieces share is no single
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,68 +26,75 @@ from .common import materialize
 CAPACITY = 4096
 END_ID = 1
 _SALTS = 256
-_CACHED = 600_000
-
-#: Characters whose normal form and lower case do not depend on their neighbours.
-_PLAIN = regex.compile(r"[\x21-\x7e¡-įı-ňŊ-ž]+")
-
-
-class WordIds(dict):
-    """Word (UTF-8 bytes without ASCII white space) -> its ids as little-endian uint32 bytes.
-
-    The tokenizer drops white space and splits words into runs before it looks for pieces,
-    so a text's ids are its words' ids and a word's ids those of its runs. Both are kept,
-    in bounded tables that start anew when full; what is missing goes to the tokenizer.
+_CACHED = 1_200_000
+_ASCII_WORDS = re.compile(r"[^ \t-\r]+")
+
+#: The run pattern of the vocabulary that the fast path knows, and the same
+#: pattern over plain text. Plain are characters whose normal form and lower case do not
+#: depend on their neighbours and that are letters, 0-9, marks or ASCII white space.
+RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u0148\u014a-\u017e]*")
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131-\u017f"
+_RUNS = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|\d|[^\s{_LETTERS}\d]+")
+
+
+class RunIds(dict):
+    """Lower-case run of a text -> its ids as little-endian uint32 bytes.
+
+    The tokenizer lowers a text, splits it into runs (of letters, of marks, single digits)
+    and drops white space; each run is then segmented alone. So a plain text's ids are its
+    runs' ids one after the other. Runs come back, so they are kept in a bounded table that
+    starts anew when full; a new one goes to the tokenizer's own model, in the byte alphabet
+    that its byte-level step would make. Texts that are not plain go to the tokenizer word
+    by word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.model = self.encoder.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        if kinds != ["NFC", "Replace", "Lowercase"] or not (split["type"] == "Split" and split["invert"]):
-            raise ValueError("the vocabulary must drop white space and split words by a pattern")
-        self.runs = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        self.run_ids: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if not _PLAIN.fullmatch(text) or ("<|" in text and any(x in text for x in self.special)):
-            out = self.ids(text)
-        else:
-            out = b"".join([self.run_ids.get(r) or self._run(r) for r in self.runs(text.lower())])
-        if len(word) <= 64:
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        known = [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        if not known or steps[0]["pattern"] != {"Regex": RUN_PATTERN} or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            raise ValueError("the vocabulary must lower texts, split them by the known pattern and drop white space")
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]))
+        seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = iter(range(0x100, 0x200))
+        self.alphabet = {b: chr(b) if b in seen else chr(next(rest)) for b in range(0x100)}
+
+    def __missing__(self, run: str) -> bytes:
+        spelled = run.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        out = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+        if len(run) <= 64:
             if len(self) >= _CACHED:
                 self.clear()
-            self[word] = out
+            self[run] = out
         return out
 
-    def _run(self, run: str) -> bytes:
-        if len(self.run_ids) >= _CACHED:
-            self.run_ids.clear()
-        out = self.ids(run)
-        if len(run) <= 64:
-            self.run_ids[run] = out
-        return out
+    def of(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        if _PLAIN.fullmatch(text) and not self.special.search(text):
+            return b"".join(map(self.__getitem__, _RUNS.findall(text.lower())))
+        parts = []
+        for word in _ASCII_WORDS.findall(text):
+            if _PLAIN.fullmatch(word) and not self.special.search(word):
+                parts += map(self.__getitem__, _RUNS.findall(word.lower()))
+            else:
+                parts.append(array("I", self.encoder.encode(word, add_special_tokens=False).ids).tobytes())
+        return b"".join(parts)
 
 
-_kept: dict[str, WordIds] = {}
+_kept: dict[str, RunIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def run_ids(path: str) -> RunIds:
     """One table for each worker process and vocabulary."""
     if path not in _kept:
-        _kept[path] = WordIds(path)
+        _kept[path] = RunIds(path)
     return _kept[path]
 
 
@@ -94,18 +102,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """``id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document's pieces.
 
     A document is its ids and ``end_id``; one longer than ``capacity`` is cut every
-    ``capacity`` ids. Null text counts as empty. White space beyond ASCII stays inside a
-    word, where the tokenizer drops it.
+    ``capacity`` ids. Null text counts as empty. 
     """
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = word_ids(tokenizer_path).__getitem__
+        ids_of = run_ids(tokenizer_path).of
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             texts = batch.column(1)
             for i in range(batch.num_rows):
-                ids = b"".join([*map(look, (texts[i].as_py() or b"").split()), end])
+                ids = ids_of(texts[i].as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(i)
@@ -117,7 +124,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(out, names=["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
