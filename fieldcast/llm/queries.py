@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import html_text, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc
+from . import html_text, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ FROM bits
 """
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 OP10_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
