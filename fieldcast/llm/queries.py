@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import html_text, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
+from . import html_text, licenses, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, one of 64 folders."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("string")
+    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", folder, F.col("doc_id").cast("string")).alias("path")))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, _grades(spark, sf_dir)))
