@@ -34,10 +34,9 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
     return F.struct(F.coalesce(F.pmod(hue * 60, F.lit(360.0)), F.lit(0.0)).alias("h"), F.coalesce((top - low) / F.nullif(top.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("s"), (top / 255.0).alias("v"))
 
 
-def classify_rgb(r: Column, g: Column, b: Column) -> Column:
-    """Colour name of a map fill; null for outlines, text, paper and sea."""
-    hsv = rgb_to_hsv(r, g, b)
-    h, s, v = hsv["h"], hsv["s"], hsv["v"]
+def _named(p: Column) -> Column:
+    """Class of a struct of r, g, b and their hue, saturation and value."""
+    r, g, b, h, s, v = p["r"], p["g"], p["b"], p["hsv"]["h"], p["hsv"]["s"], p["hsv"]["v"]
     hue = F.lit("red")
     for cut, name in reversed(HUES):
         hue = F.when(h < cut, name).otherwise(hue)
@@ -51,6 +50,15 @@ def classify_rgb(r: Column, g: Column, b: Column) -> Column:
     )
 
 
+def classify_rgb(r: Column, g: Column, b: Column) -> Column:
+    """Colour name of a map fill; null for outlines, text, paper and sea.
+
+    The hue is worked out once, as the one element of an array, not in each comparison.
+    """
+    pixel = F.struct(r.alias("r"), g.alias("g"), b.alias("b"), rgb_to_hsv(r, g, b).alias("hsv"))
+    return F.get(F.transform(F.array(pixel), _named), 0)
+
+
 def channels(value: Column) -> tuple[Column, Column, Column]:
     """Red, green and blue of ``#RRGGBB`` (the # is optional); null for anything else."""
     digits = F.regexp_extract(F.trim(value), "^#?([0-9a-fA-F]{6})$", 1)

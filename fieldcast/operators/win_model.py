@@ -16,14 +16,15 @@ LOSS_FLOOR = 1e-9
 def season_counts(rows: DataFrame, map_keys: list[str], market: str, season: str = "season", game: str = "game") -> DataFrame:
     """Per (season, market, team): ``avail_n`` maps with the team, ``shown_n`` that aired it.
 
-    A map's distinct games are found once; teams are exploded per map and per aired game,
-    not per row and game.
+    A map's distinct games are found once, as an array of its teams with their games; each
+    row joins its map and is one group's input for both counts.
     """
     maps = [*dict.fromkeys([season, *map_keys])]
-    teams = rows.select(*maps, game).distinct().withColumn("team", F.explode(game_teams(F.col(game)))).groupBy(*maps, "team").agg(F.count("*").alias("_games"))
-    avail = rows.join(teams, maps).groupBy(season, market, "team").agg(F.sum("_games").alias("avail_n"))
-    shown = rows.withColumn("team", F.explode(game_teams(F.col(game)))).groupBy(season, market, "team").agg(F.count("*").alias("shown_n"))
-    return avail.join(shown, [season, market, "team"], "left").withColumn("shown_n", F.coalesce("shown_n", F.lit(0)))
+    teams = rows.select(*maps, game).distinct().withColumn("team", F.explode(game_teams(F.col(game)))).groupBy(*maps, "team").agg(F.count("*").alias("games"))
+    teams = teams.groupBy(*maps).agg(F.collect_list(F.struct("team", "games")).alias("_teams"))
+    flat = rows.select(*maps, market, game_teams(F.col(game)).alias("_aired")).join(teams, maps).select(season, market, "_aired", F.inline("_teams"))
+    times = F.size(F.filter("_aired", lambda x: x == F.col("team")))
+    return flat.groupBy(season, market, "team").agg(F.sum("games").alias("avail_n"), F.sum(times).alias("shown_n"))
 
 
 def expanding_folds(seasons: DataFrame, season: str = "season", min_train: int = 1) -> DataFrame:

@@ -229,3 +229,15 @@ def p14_national_broadcast(spark, sf_dir):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     s = table(spark, sf_dir, "orders").select("o_orderkey", F.when(c % 3 == 0, "NBC").otherwise("CBS").alias("broadcast"), F.to_date("o_orderdate").alias("date"), F.concat(F.lit("T"), (o % 9).cast("string")).alias("time"), F.when(o % 4 == 0, "CBS_EARLY").alias("slot"))
     return resolution.national_broadcast(s).select("o_orderkey", "national")
+
+
+@query(
+    f"""WITH {GRIDDED}, actual AS (SELECT week, slot, market, game AS seen FROM src WHERE season = 2000 AND market % 2 = 0),
+    q AS (SELECT pp.week, pp.slot, pp.game, CASE WHEN seen IS NULL THEN p WHEN seen = pp.game THEN 1.0 ELSE 0.0 END AS p, seen IS NOT NULL AS known FROM pp LEFT JOIN actual USING (week, slot, market))
+    SELECT week, slot, game, count(*) AS markets, count(*) FILTER (WHERE p >= 0.5) AS likely, bool_or(known) AS any_confirmed FROM q GROUP BY week, slot, game"""
+)
+def c14_coverage_rollup(spark, sf_dir):
+    src, sched, rates = _grid(spark, sf_dir)
+    actual = src.filter("season = 2000 and market % 2 = 0").select(*W, "market", "game")
+    per_game, _, _ = coverage.coverage_rollup(src, sched, rates, W, "market", actual)
+    return per_game
