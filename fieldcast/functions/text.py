@@ -25,8 +25,10 @@ HEADING_WORDS = [
     ("LATE", ("LATE", "4:05", "4:25", "4 PM", "4PM")),
     ("SINGLE", ("SINGLE",)),
 ]
+#: Patterns of a matchup, of a window marker, and of a remark at a text's end.
 _MATCHUP = r"(?i)([A-Za-z0-9 .'-]+?)\s+(?:at|@|vs\.?|versus)\s+([A-Za-z0-9 .'-]+)"
 _MARKER = r"(?i)\s*\(\s*(late|early)\s*\)\s*$"
+_REMARK = r"(?i)\s*\((?![^)]*\b(?:late|early)\b\s*\))[^)]*(?:announc|blackout|subject)[^)]*\)\s*$"
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -41,8 +43,7 @@ def name_key(name: Column) -> Column:
 def clean_game_text(text: Column) -> Column:
     """Single blanks, no blanks or dashes at the ends, no trailing remark; 180 characters."""
     t = F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" -–—:|\t\r\n"))
-    t = F.regexp_replace(t, r"(?i)\s*\((?![^)]*\b(?:late|early)\b\s*\))[^)]*(?:announc|blackout|subject)[^)]*\)\s*$", "")
-    return F.substring(t, 1, 180)
+    return F.substring(F.regexp_replace(t, _REMARK, ""), 1, 180)
 
 
 def split_matchup(game: Column) -> Column:
@@ -59,7 +60,7 @@ def split_window_marker(game: Column) -> Column:
 
 def game_teams(game: Column) -> Column:
     """The sides of a game text, split at `` @ `` only, markers removed, empty ones dropped."""
-    bare = F.regexp_replace(game, r"(?i)\s*\(\s*(late|early)\s*\)\s*$", "")
+    bare = F.regexp_replace(game, _MARKER, "")
     return F.filter(F.transform(F.split(bare, " @ "), lambda x: F.trim(x)), lambda x: x != "")
 
 

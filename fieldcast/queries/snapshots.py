@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import basic, snapshots
 from ..functions.collections import first_present
-from ..functions.numeric import to_number
 from .registry import cte, query, table, view
 
 ORD = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -64,7 +63,7 @@ def a23_distinct_sets(spark, sf_dir):
 @query("SELECT v AS value, row_number() OVER (ORDER BY v) - 1 AS idx FROM (SELECT c_name AS v FROM customer UNION SELECT s_name FROM supplier)")
 def u1_intern_values(spark, sf_dir):
     a, b = table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")), table(spark, sf_dir, "supplier").select(F.col("s_name").alias("value"))
-    return basic.intern_values(a, b, "value", prefix=16)
+    return basic.intern_values(a, b, "value", prefix=14)
 
 
 @query(
@@ -130,4 +129,3 @@ def t3_final_order(spark, sf_dir):
     return basic.final_order(table(spark, sf_dir, "nation").select("n_name", "n_regionkey", "n_nationkey"), ["n_regionkey", "n_name"])
 
 
-__all__ = ["to_number"]
