@@ -10,7 +10,7 @@ left to right, since every prefix has one last piece.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 INFINITE = float("inf")
 
@@ -26,6 +26,13 @@ class MergeLattice:
             for k in range(1, len(piece)):
                 self.begins.setdefault(piece[:k], False)
             self.begins[piece] = True
+        #: Pieces by their characters from the last to the first; "" holds the piece itself.
+        self.ends: dict = {}
+        for piece in ids:
+            node = self.ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
         self._last: dict[str, tuple[str, str, float] | None] = {}
         self._spines: tuple[dict[str, list], dict[str, list]] = ({}, {})
         self._fits: dict[tuple[str, str], bool] = {}
@@ -92,35 +99,53 @@ class MergeLattice:
             else:
                 j += 1
 
-    def segment(self, text: str) -> list[str] | None:
-        """The pieces of ``text``, or None if some unit is in no piece."""
-        n = len(text)
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        begins, fits = self.begins, self._fits
-        for j in range(n):
-            a = last[j]
-            if a is None:
-                continue
-            for k in range(j + 1, n + 1):
-                p = text[j:k]
-                whole = begins.get(p)
-                if whole is None:
+    def segments(self, texts: Iterable[str]) -> Iterator[list[str] | None]:
+        """The pieces of each text, or None if some unit is in no piece.
+
+        The last piece of a prefix does not depend on what follows, so texts that come in
+        order share the work on their common prefixes.
+        """
+        ends, fits = self.ends, self._fits
+        before, last = "", [""]
+        for text in texts:
+            n, k = len(text), 0
+            for x, y in zip(before, text):
+                if x != y:
                     break
-                if whole and last[k] is None:
-                    if j:
+                k += 1
+            del last[k + 1 :]
+            for i in range(k + 1, n + 1):
+                node, j, found = ends, i, None
+                while j:
+                    j -= 1
+                    node = node.get(text[j])
+                    if node is None:
+                        break
+                    p = node.get("")
+                    if p is not None:
+                        a = last[j]
+                        if not a:
+                            if j == 0:
+                                found = p
+                                break
+                            continue
                         ok = fits.get((a, p))
                         if ok is None:
                             ok = self.fits(a, p)
                         if ok:
-                            last[k] = p
-                    else:
-                        last[k] = p
-        if last[n] is None:
-            return None
-        out, k = [], n
-        while k:
-            p = last[k]
-            out.append(p)
-            k -= len(p)
-        return out[::-1]
+                            found = p
+                            break
+                last.append(found)
+            before = text
+            if last[n] is None:
+                yield None
+                continue
+            out, k = [], n
+            while k:
+                out.append(last[k])
+                k -= len(last[k])
+            out.reverse()
+            yield out
+
+    def segment(self, text: str) -> list[str] | None:
+        return next(self.segments([text]))

@@ -11,7 +11,8 @@ For unigram models an arc's weight is minus the piece's score. For BPE models it
 the arc before, which is the transducer's state: 0 if merging would leave the two pieces side
 by side, infinite if not (:mod:`.merges`), so that one path is finite. Where no piece holds a
 blank after another character, a text's path is that of its blank-led words one after the
-other, and words' paths are kept in a bounded table.
+other; new words' paths are found in the order of the words, so that common beginnings are
+walked once, and are kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -90,7 +91,10 @@ class Transducer:
         self.lattice = MergeLattice(self.ids, lambda a, b: -s if (s := self.score.get(a + b)) is not None else None)
         self.longest = max(map(len, self.ids), default=1)
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self.words = re.compile(f"{BLANK}*[^{BLANK}]*")
+        # control characters that no piece holds stand alone too
+        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids)) or "\n"
+        self.by_word &= not any(c in p for p in self.ids for c in alone)
+        self.words = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|[{alone}]")
         self.kept: dict[str, bytes] = {}
         spell = {NORMAL: lambda p: p.replace(BLANK, " ").encode("utf-8"), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode()}
         self.spelled = [spell[k](p) if k in spell else b"" for p, k in zip(pieces, kinds)]
@@ -145,31 +149,39 @@ class Transducer:
             at -= len(arrive[at])
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
+    def _written(self, path: list[str]) -> bytes:
         ids: list[int] = []
-        path = self.lattice.segment(word) if self.type == BPE else None
-        for p in path or self.shortest_path(word):
+        for p in path:
             i = self.ids.get(p)
-            if i is None:
-                # without byte pieces, neighbouring unknown characters are one unknown id
-                more = self._fallback(p)
-                ids += more if self.bytes or not ids or ids[-1] != self.unknown else []
-            else:
+            if i is not None:
                 ids.append(i)
-        out = array("I", ids).tobytes()
-        if len(word) <= 64:
-            if len(self.kept) >= _CACHED:
-                self.kept.clear()
-            self.kept[word] = out
+            elif self.bytes or not ids or ids[-1] != self.unknown:
+                # without byte pieces, neighbouring unknown characters are one unknown id
+                ids += self._fallback(p)
+        return array("I", ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Put the paths of words that are not kept into the table, in order of the words."""
+        new = sorted(words - self.kept.keys())
+        if len(self.kept) + len(new) > _CACHED:
+            self.kept.clear()
+            new = sorted(words)
+        found = self.lattice.segments(new) if self.type == BPE else (None for _ in new)
+        for word, path in zip(new, found):
+            self.kept[word] = self._written(path or self.shortest_path(word))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes."""
+        split = [self.words.findall(t) if self.by_word else [t] for t in map(self.normalise, texts)]
+        self.learn(set().union(*split))
+        get = self.kept.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if not self.by_word:
+            self.kept.clear()
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32 bytes."""
-        text = self.normalise(text)
-        if not self.by_word:
-            return self._word(text)
-        get, make = self.kept.get, self._word
-        return b"".join([get(w) or make(w) for w in self.words.findall(text) if w])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text that was encoded, up to blanks that the normaliser took out."""
@@ -188,6 +200,20 @@ def transducer(path: str) -> Transducer:
     return _kept[path]
 
 
+def _some(column: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts of a column, some at a time."""
+    held: list[str] = []
+    size = 0
+    for x in column:
+        held.append(x.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every row; null texts have none.
 
@@ -197,7 +223,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for batch in batches:
-            made = [t.encode(x.as_py() or "") for x in batch.column(1)]
+            made = [ids for texts in _some(batch.column(1)) for ids in t.encode_all(texts)]
             ends = array("i", [0])
             for x in made:
                 ends.append(ends[-1] + len(x) // 4)
@@ -235,12 +261,11 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         t = transducer(model_path)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for x in batch.column(1):
-                text = x.as_py() or ""
-                ids = t.encode(text)
-                back = t.decode(ids)
-                for column, value in zip(out, (len(ids) // 4, zlib.crc32(ids), len(back), back == text)):
-                    column.append(value)
+            for texts in _some(batch.column(1)):
+                for text, ids in zip(texts, t.encode_all(texts)):
+                    back = t.decode(ids)
+                    for column, value in zip(out, (len(ids) // 4, zlib.crc32(ids), len(back), back == text)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_())))], names=["id", "n_ids", "ids_crc32", "n_decoded", "same"])
 
     kind = docs.schema[id_col].dataType.simpleString()
