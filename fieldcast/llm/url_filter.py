@@ -5,7 +5,8 @@ all its subdomains are the keys that start with one prefix: an interval. Sorted
 rules before the URLs of the same key, intervals nest like brackets: a sweep keeps a stack of
 the rules that are open, and the URL at hand fits those on the stack whose path begins its own.
 
-URLs are cut into ranges of (key, salt) from a bounded sample, as a range sort does; a host
+URLs are cut into ranges of (key, salt) by the keys of a small sample (it decides where the
+cuts lie, not what is judged), as a range sort does; a host
 with a third of all URLs spans many ranges. A rule goes to the ranges that its interval meets,
 so no rule table is sent to everyone, however many rules there are.
 """
@@ -67,7 +68,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     usable = usable.groupBy(_ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
     usable = usable.withColumn("key", host_key(F.col("host")))
 
-    sample = urls.select("key", "salt").orderBy(F.xxhash64("salt"), "key", "salt").limit(_SAMPLE_PER_RANGE * ranges).collect()
+    share = min(1.0, _SAMPLE_PER_RANGE * ranges / max(pages.count(), 1))  # so many rows are expected, whatever the table's size
+    sample = urls.select("key", "salt").sample(share, seed=7).collect()
     points = sorted((r["key"], r["salt"]) for r in sample)
     bounds = sorted(set(points[_SAMPLE_PER_RANGE // 2 :: _SAMPLE_PER_RANGE]))
 
