@@ -30,7 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies."""
     found = materialize(simhash.simhash_components(docs).select("doc_id", "component_id"))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # the ids that go grow with the corpus: join by sorting at every size
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").take(1):  # repeated rows of one id
         kept = kept.dropDuplicates(["doc_id"])
     return kept
