@@ -27,14 +27,22 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    found = materialize(simhash.simhash_components(docs).select("doc_id", "component_id"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    # the ids that go grow with the corpus: join by sorting at every size
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").take(1):  # repeated rows of one id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """Keep one row of each group of near copies: the smallest id, null last, then by the text's hash.
+
+    Rows are told apart by their texts, not by their ids: a null or repeated id never takes
+    a different text out. Of rows with one text, the one that sorts first is kept.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)
+    first = docs.groupBy(F.coalesce(F.md5("text"), F.lit("")).alias("key")).agg(F.min(order).alias("row"), F.first("text").alias("text"))
+    first = materialize(first.withColumn("node", F.xxhash64("key")))
+    labels = materialize(simhash.simhash_components(first.select("node", "text"), "node").withColumnRenamed("component_id", "component").select("node", "component"))
+    linked = materialize(first.select("key", "node", F.struct("row.none", "row.doc_id", "key").alias("rank")).join(labels, "node"))
+    best = linked.groupBy("component").agg(F.min("rank").alias("rank")).select("rank.key")
+    # the keys that go grow with the corpus: join by sorting at every size
+    gone = linked.select("key").join(best, "key", "left_anti")
+    kept = first.join(gone.hint("merge"), "key", "left_anti")
+    return kept.select("row.*", "text").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

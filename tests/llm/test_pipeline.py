@@ -37,3 +37,17 @@ def test_stages(spark, tmp_path):
     assert left[2] == set(range(150))
     packed = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(range(150))
+
+
+def test_near_dedup_rows_without_ids(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c, d, e = (" ".join(rng.choices(words, k=120)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, c), (7, e), (7, e), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    texts = [x[1] for x in got]
+    assert {(None, a), (None, b), (5, d), (3, c), (7, e)} <= set(got)
+    assert all(texts.count(t) == 1 for t in (a, b, c, d, e))
