@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import packing, quality_classifier, quality_rules, simhash
+from fieldcast.llm import near_text, packing, quality_classifier, quality_rules
 from fieldcast.llm.common import materialize
 
 
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)
     first = docs.groupBy(F.coalesce(F.md5("text"), F.lit("")).alias("key")).agg(F.min(order).alias("row"), F.first("text").alias("text"))
     first = materialize(first.withColumn("node", F.xxhash64("key")))
-    labels = materialize(simhash.simhash_components(first.select("node", "text"), "node").withColumnRenamed("component_id", "component").select("node", "component"))
+    labels = materialize(near_text.near_components(first.select("node", "text")))
     linked = materialize(first.select("key", "node", F.struct("row.none", "row.doc_id", "key").alias("rank")).join(labels, "node"))
     best = linked.groupBy("component").agg(F.min("rank").alias("rank")).select("rank.key")
     # the keys that go grow with the corpus: join by sorting at every size
