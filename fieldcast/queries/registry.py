@@ -34,9 +34,9 @@ VIEWS = {
         SELECT l_partkey AS event, l_suppkey AS book, l_returnflag AS side, CASE WHEN l_tax = 0 THEN NULL ELSE floor(l_extendedprice) END AS price,
                l_quantity AS point, l_shipdate AS updated, l_orderkey FROM {lineitem}""",
     "zips": """
-        SELECT lpad(CAST(c_custkey AS VARCHAR(20)), 5, '0') AS zip,
+        SELECT CASE WHEN c_custkey < 100000 THEN lpad(CAST(c_custkey AS VARCHAR(20)), 5, '0') ELSE CAST(c_custkey AS VARCHAR(20)) END AS zip,
                CASE WHEN CAST(floor(c_custkey / 100) AS INT) % 2 = 0 THEN 'ZONE' ELSE c_mktsegment END AS zone
-        FROM {customer} WHERE c_custkey < 100000""",
+        FROM {customer}""",
     "kickoffs": """
         SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 24 AS INT) AS h, CAST(o_orderkey % 60 AS INT) AS mi, CAST(o_custkey % 5 AS INT) AS zone_no,
                CASE WHEN o_custkey % 2 = 0 THEN 'CBS' ELSE 'FOX' END AS network FROM {orders}""",

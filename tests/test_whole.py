@@ -1,5 +1,6 @@
 """Queries do the whole job: no rows left out of their inputs, hard cases against brute force."""
 
+import collections
 import datetime
 from zoneinfo import ZoneInfo
 
@@ -40,3 +41,20 @@ def test_instants_on_days_of_clock_change(spark, tmp_path):
         assert abbr[i] == utc.astimezone(zones[r["zone_no"]]).tzname(), (r["day"], r["h"])
         hard += at.utcoffset() != at.replace(fold=1).utcoffset()
     assert hard == 4
+
+
+def test_prefix_queries_read_customers_of_every_key(spark, tmp_path):
+    keys = [*range(12_300, 12_700), *range(99_900, 100_300), *range(1_234_000, 1_234_500)]
+    spark.createDataFrame([(k, "ABC"[k % 3]) for k in keys], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    code = {k: str(k).zfill(5) for k in keys}
+    zone = {code[k]: "ZONE" if k // 100 % 2 == 0 else "ABC"[k % 3] for k in keys}
+    assert len(zone) == len(keys)
+    held = collections.defaultdict(collections.Counter)
+    for z, v in zone.items():
+        held[z[:3]][v] += 1
+    major = {p: min(n, key=lambda v: (-n[v], v)) for p, n in held.items()}
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    want = [(p, v, "prefix") for p, v in major.items()] + [(z, v, "exact") for z, v in zone.items() if v != major[z[:3]]]
+    assert sorted((r["code"], r["value"], r["kind"]) for r in run("a2_prefix_majority")) == sorted(want)
+    assert sorted((r["zip"], r["zone"], r["found"]) for r in run("j12_longest_prefix")) == sorted((z, v, v) for z, v in zone.items())
+    assert sorted((r["prefix"], r["n_values"], r["mixed"]) for r in run("a26_purity")) == sorted((p, len(n), len(n) > 1) for p, n in held.items())
