@@ -5,9 +5,12 @@ array functions in one pass over the text. Across documents: each distinct norma
 hashed, the distinct documents that hold it are counted for each host, and lines above the
 limit are removed. A document that loses too many of its words that way is rejected.
 
-Copies count as one document: a document is identified by its longest line, so a text with a
-thousand (near) copies does not turn its own lines into boilerplate, while a notice pasted
-under many different texts is counted once for each of them.
+Copies count as one document: for each of its lines a document is identified by its longest
+other line, so a text with a thousand copies does not turn its own lines into boilerplate,
+while a notice pasted under many different texts is counted once for each of them, even where
+it is their longest line. Lines found over the limit no longer identify a document, and the
+others are counted again until none is found. Documents with the same two longest lines (of
+those not over the limit) are copies: they count once among the host's documents as well.
 """
 
 from __future__ import annotations
@@ -96,22 +99,37 @@ def with_text_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per row of ``docs``: id, host, counts, the row's lines (hash, words), longest line."""
+    """One row per row of ``docs``: id, host, counts, the row's lines (hash, words), the longest first."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("lines", F.transform(lines_of(F.col("_text")), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n"), F.length(x).alias("c"))))
+    # the longest line comes first
+    rows = rows.withColumn("lines", F.transform(lines_of(F.col("_text")), lambda x: F.struct(F.length(x).alias("c"), line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))))
     rows = with_text_counts(rows, "_text")
-    rows = rows.withColumn("sign", F.array_max(F.transform("lines", lambda x: F.struct(x["c"].alias("c"), x["h"].alias("h"))))["h"])
-    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"))))
+    rows = rows.withColumn("lines", F.transform(F.sort_array("lines", asc=False), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"))))
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def frequent_lines(base: DataFrame, max_share: float, min_docs: int) -> DataFrame:
     """``host``, ``h`` of the lines that more than max(min_docs, max_share of the host's
-    documents) distinct documents of the host hold."""
-    held = base.select("host", "sign", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    count = held.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
-    size = base.groupBy("host").agg(F.count("*").alias("docs"))
-    return count.join(size, "host").filter(F.col("n") > max_share * F.col("docs")).select("host", "h")
+    documents) distinct documents of the host hold; copies are folded in both numbers."""
+    docs = base.select("host", F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("hs"))
+    docs = docs.select("host", "hs", F.xxhash64("hs").alias("key"), F.col("hs").alias("left"))
+    over = None
+    while True:
+        signed = docs.select("host", "hs", F.get("left", F.lit(0)).alias("sign"), F.get("left", F.lit(1)).alias("next"))
+        held = signed.select("host", "sign", "next", F.explode("hs").alias("h"))
+        held = held.select("host", "h", F.when(F.col("h") == F.col("sign"), F.col("next")).otherwise(F.col("sign")).alias("sign"))
+        count = held.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+        size = signed.select("host", "sign", "next").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+        found = count.join(size, "host").filter(F.col("n") > max_share * F.col("docs")).select("host", "h")
+        new = materialize(found if over is None else found.join(over, ["host", "h"], "left_anti"))
+        over = new if over is None else over.unionByName(new)
+        first = signed.select("host", F.explode(F.array("sign", "next")).alias("h")).distinct()
+        if not new.take(1) or not new.join(first, ["host", "h"]).take(1):
+            return over
+        docs = docs.select("host", "hs", "key").distinct()
+        gone = docs.select("host", "key", F.explode("hs").alias("h")).join(over, ["host", "h"]).groupBy("host", "key").agg(F.collect_set("h").alias("gone"))
+        docs = docs.join(gone, ["host", "key"], "left")
+        docs = materialize(docs.select("host", "hs", "key", F.array_except("hs", F.coalesce("gone", F.array().cast("array<bigint>"))).alias("left")))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, min_docs: int, min_kept: float) -> DataFrame:
