@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,20 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder of this
-    machine takes its place.
+    Where that setting is absent and all runs in one local process, as in tests, a temporary
+    folder takes its place and goes with the process. Executors of a cluster would each
+    write to their own disk there, so without the setting a cluster's job stops here.
     """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="fieldcast-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if _own_dir is None:
+            _own_dir = tempfile.mkdtemp(prefix="fieldcast-")
+            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         base = _own_dir
-    return f"{base.rstrip('/')}/fieldcast-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/fieldcast-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the folders that this process wrote as cut points.
+
+    Results that are still lazy read them: call it when the job's results are stored.
+    """
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -5,12 +5,10 @@ array functions in one pass over the text. Across documents: each distinct norma
 hashed, the distinct documents that hold it are counted for each host, and lines above the
 limit are removed. A document that loses too many of its words that way is rejected.
 
-Copies count as one document: for each of its lines a document is identified by its longest
-other line, so a text with a thousand copies does not turn its own lines into boilerplate,
-while a notice pasted under many different texts is counted once for each of them, even where
-it is their longest line. Lines found over the limit no longer identify a document, and the
-others are counted again until none is found. Documents with the same two longest lines (of
-those not over the limit) are copies: they count once among the host's documents as well.
+Exact copies are one document, told by the hash of the whole text: a text with a thousand
+copies does not turn its own lines into boilerplate, and the copies don't lift the limit.
+A host has at most (its lines per document / ``max_share``) lines over the limit, so these
+travel as one bounded array for each host, and documents meet them by their host alone.
 """
 
 from __future__ import annotations
@@ -33,7 +31,6 @@ MIN_LINE_DOCS = 20
 MIN_KEPT_SHARE = 0.5
 
 _POSITION_BITS = 20
-_POSITION = (1 << _POSITION_BITS) - 1
 
 
 def words_of(text: Column) -> Column:
@@ -60,7 +57,7 @@ def _neighbour(s: str, test) -> Column:
     )
 
 
-def with_text_counts(docs: DataFrame, text: str) -> DataFrame:
+def with_text_counts(docs: DataFrame, text: str, position_bits: int = _POSITION_BITS) -> DataFrame:
     """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``.
 
     Words in repeated windows: the windows' hashes are sorted with their positions in the
@@ -69,6 +66,7 @@ def with_text_counts(docs: DataFrame, text: str) -> DataFrame:
     more windows than the low bits number, whole (hash, position) pairs are sorted instead.
     """
     long = lambda c: c.cast("long")
+    last = (1 << position_bits) - 1
     df = docs.withColumn("_words", words_of(F.col(text))).withColumn("_lines", lines_of(F.col(text)))
     n = F.size("_words")
     df = df.withColumn(
@@ -85,12 +83,12 @@ def with_text_counts(docs: DataFrame, text: str) -> DataFrame:
     df = df.drop("_words", "_lines", text) if text.startswith("_") else df.drop("_words", "_lines")
     df = df.withColumn("_kinds", F.size(F.array_distinct("_win")))
     repeated = F.col("_kinds") < F.size("_win")
-    df = df.withColumn("_short", F.when(repeated, F.sort_array(F.transform("_win", lambda h, i: h.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least(long(i), F.lit(_POSITION)))))))
-    whole = (F.size("_win") <= _POSITION) & (F.size(F.array_distinct(F.transform("_win", lambda h: h.bitwiseAND(F.lit(~_POSITION))))) == F.col("_kinds"))
+    df = df.withColumn("_short", F.when(repeated, F.sort_array(F.transform("_win", lambda h, i: h.bitwiseAND(F.lit(~last)).bitwiseOR(F.least(long(i), F.lit(last)))))))
+    whole = (F.size("_win") <= last) & (F.size(F.array_distinct(F.transform("_win", lambda h: h.bitwiseAND(F.lit(~last))))) == F.col("_kinds"))
     df = df.withColumn("_pairs", F.when(repeated & ~whole, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), long(i).alias("i"))))))
-    high = lambda a, b: F.shiftright(a, _POSITION_BITS) == F.shiftright(b, _POSITION_BITS)
+    high = lambda a, b: F.shiftright(a, position_bits) == F.shiftright(b, position_bits)
     at = F.when(F.col("_pairs").isNotNull(), F.transform(_neighbour("_pairs", lambda a, b: a["h"] == b["h"]), lambda x: x["i"])).when(
-        repeated, F.transform(_neighbour("_short", high), lambda x: x.bitwiseAND(F.lit(_POSITION)))
+        repeated, F.transform(_neighbour("_short", high), lambda x: x.bitwiseAND(F.lit(last)))
     )
     df = df.withColumn("_at", F.sort_array(F.coalesce(at, F.array().cast("array<bigint>"))))
     gaps = F.transform("_at", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_at", i + 1) - p, F.lit(3).cast("long"))))
@@ -98,49 +96,34 @@ def with_text_counts(docs: DataFrame, text: str) -> DataFrame:
     return df.drop("_win", "_kinds", "_short", "_pairs", "_at")
 
 
-def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per row of ``docs``: id, host, counts, the row's lines (hash, words), the longest first."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("_text"))
-    # the longest line comes first
-    rows = rows.withColumn("lines", F.transform(lines_of(F.col("_text")), lambda x: F.struct(F.length(x).alias("c"), line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))))
+def _base(docs: DataFrame, row: Column, text_col: str, host_col: str) -> DataFrame:
+    """``row`` of each row of ``docs``, its host, the key of its whole text, counts, and its lines (hash, words)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(row.alias("row"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("key"), text.alias("_text"))
+    rows = rows.withColumn("lines", F.transform(lines_of(F.col("_text")), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))))
     rows = with_text_counts(rows, "_text")
-    rows = rows.withColumn("lines", F.transform(F.sort_array("lines", asc=False), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"))))
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def frequent_lines(base: DataFrame, max_share: float, min_docs: int) -> DataFrame:
-    """``host``, ``h`` of the lines that more than max(min_docs, max_share of the host's
-    documents) distinct documents of the host hold; copies are folded in both numbers."""
-    docs = base.select("host", F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("hs"))
-    docs = docs.select("host", "hs", F.xxhash64("hs").alias("key"), F.col("hs").alias("left"))
-    over = None
-    while True:
-        signed = docs.select("host", "hs", F.get("left", F.lit(0)).alias("sign"), F.get("left", F.lit(1)).alias("next"))
-        held = signed.select("host", "sign", "next", F.explode("hs").alias("h"))
-        held = held.select("host", "h", F.when(F.col("h") == F.col("sign"), F.col("next")).otherwise(F.col("sign")).alias("sign"))
-        count = held.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
-        size = signed.select("host", "sign", "next").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-        found = count.join(size, "host").filter(F.col("n") > max_share * F.col("docs")).select("host", "h")
-        new = materialize(found if over is None else found.join(over, ["host", "h"], "left_anti"))
-        over = new if over is None else over.unionByName(new)
-        first = signed.select("host", F.explode(F.array("sign", "next")).alias("h")).distinct()
-        if not new.take(1) or not new.join(first, ["host", "h"]).take(1):
-            return over
-        docs = docs.select("host", "hs", "key").distinct()
-        gone = docs.select("host", "key", F.explode("hs").alias("h")).join(over, ["host", "h"]).groupBy("host", "key").agg(F.collect_set("h").alias("gone"))
-        docs = docs.join(gone, ["host", "key"], "left")
-        docs = materialize(docs.select("host", "hs", "key", F.array_except("hs", F.coalesce("gone", F.array().cast("array<bigint>"))).alias("left")))
-
-
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, min_docs: int, min_kept: float) -> DataFrame:
-    base = materialize(_base(docs, id_col, text_col, host_col))
-    over = materialize(frequent_lines(base, max_share, min_docs))
-    held = base.select("id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    gone = held.join(over, ["host", "h"]).groupBy("host", "id").agg(F.collect_set("h").alias("gone"))
-    df = base.join(gone.withColumnsRenamed({"host": "_host", "id": "_id"}), (F.col("host") == F.col("_host")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn("gone", F.coalesce("gone", none))
-    lost = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains(F.col("gone"), x["h"]), x["n"]).otherwise(0))
+    """``host``, ``gone``: hashes of the lines that more than max(min_docs, max_share of the
+    host's documents) distinct documents of the host hold. Hosts without any have no row."""
+    docs = base.select("host", "key", F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("hs")).distinct()
+    # the null line counts the host's documents
+    held = docs.select("host", F.explode(F.concat(F.col("hs"), F.array(F.lit(None).cast("bigint")))).alias("h"))
+    counts = materialize(held.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("h").isNull() | (F.col("n") > min_docs)))
+    size = counts.filter("h is null").select(F.col("host").alias("of"), F.col("n").alias("docs"))
+    over = counts.filter("h is not null").join(size, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > max_share * F.col("docs"))
+    return over.groupBy("host").agg(F.collect_set("h").alias("gone"))
+
+
+def _judged(docs: DataFrame, row: Column, text_col: str, host_col: str, max_share: float, min_docs: int, min_kept: float) -> DataFrame:
+    base = materialize(_base(docs, row, text_col, host_col))
+    over = materialize(frequent_lines(base, max_share, min_docs)).withColumnRenamed("host", "of")
+    df = base.join(over, F.col("host").eqNullSafe(F.col("of")), "left")
+    hit = F.array_intersect(F.transform("lines", lambda x: x["h"]), F.coalesce("gone", F.array().cast("array<bigint>")))
+    df = df.withColumn("hit", hit)
+    lost = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains(F.col("hit"), x["h"]), x["n"]).otherwise(0))
     df = df.withColumn("words_left", F.col("n_words") - lost)
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_kept * F.col("n_words")))
 
@@ -151,21 +134,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns ``id_col``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept`` and ``words_left`` (after the lines over
     the limit). Null and blank texts have no words and fail. A null host is one host of its
-    own, and equal lines of several rows with one id are judged by all of these rows.
-    Repeated rows come back as often as given. Other columns are not read. An empty table
-    gives an empty result.
+    own. Each row is judged by itself, whatever its id: null and repeated ids are fine, and
+    repeated rows come back as often as given. Texts of any length are read whole. Other
+    columns are not read. An empty table gives an empty result.
     """
-    df = _judged(docs, id_col, text_col, host_col, max_share, min_docs, min_kept)
-    return df.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+    df = _judged(docs, F.struct(F.col(id_col).alias("id")), text_col, host_col, max_share, min_docs, min_kept)
+    return df.select(F.col("row.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_LINE_SHARE, min_docs: int = MIN_LINE_DOCS, min_kept: float = MIN_KEPT_SHARE) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_LINE_SHARE, min_docs: int = MIN_LINE_DOCS, min_kept: float = MIN_KEPT_SHARE) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns, without the lines over the limit.
 
-    Texts without such lines stay byte for byte as they are.
+    Texts without such lines stay byte for byte as they are; of others the remaining lines
+    keep their order. Rows are carried through whole, so ids may be null or repeated and
+    columns may have any name; null texts are not kept; an empty table gives an empty result.
     """
-    df = _judged(docs, id_col, text_col, host_col, max_share, min_docs, min_kept).filter("kept")
-    verdict = df.select(F.col("id").alias("_id"), "host", "gone").groupBy("_id", "host").agg(F.first("gone").alias("_gone")).withColumnRenamed("host", "_host")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"))
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(F.col("_gone"), line_hash(x))), "\n")
-    return docs.join(verdict, on).withColumn(text_col, F.when(F.size("_gone") > 0, left).otherwise(F.col(text_col))).drop("_id", "_host", "_gone")
+    df = _judged(docs, F.struct("*"), text_col, host_col, max_share, min_docs, min_kept).filter("kept")
+    text = F.col("row").getField(text_col)
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("hit"), line_hash(x))), "\n")
+    return df.select(F.when(F.size("hit") > 0, left).otherwise(text).alias("left"), "row").select(*[F.col("left").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -102,7 +102,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH doc AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
@@ -113,24 +113,20 @@ WITH doc AS (
   SELECT r, sum(least(3, coalesce(nxt - i, 3))) AS n
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM win WHERE c > 1) GROUP BY r
 ), base AS (
-  SELECT doc.r, doc_id, host, l, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  SELECT doc.r, doc_id, host, text, l, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM doc LEFT JOIN rep ON doc.r = rep.r
 ), line AS (
-  SELECT r, host, length(x) AS c,
-         lower(array_to_string(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''), ' ')) AS t
-  FROM (SELECT r, host, unnest(l) AS x FROM base)
-), sign AS (
-  SELECT r, arg_max(t, c) AS s FROM line GROUP BY r
+  SELECT r, host, text, lower(array_to_string(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''), ' ')) AS t
+  FROM (SELECT r, host, text, unnest(l) AS x FROM base)
 ), freq AS (
-  SELECT k.host, k.t FROM (
-    SELECT host, t, count(*) AS n FROM (SELECT DISTINCT line.host, line.t, sign.s FROM line JOIN sign ON line.r = sign.r)
-    GROUP BY host, t
-  ) k JOIN (SELECT host, count(*) AS docs FROM base GROUP BY host) h ON k.host = h.host
+  SELECT k.host, k.t
+  FROM (SELECT host, t, count(DISTINCT md5(text)) AS n FROM line GROUP BY host, t) k
+  JOIN (SELECT host, count(DISTINCT md5(text)) AS docs FROM base GROUP BY host) h ON k.host IS NOT DISTINCT FROM h.host
   WHERE k.n > 20 AND k.n > 0.01 * h.docs
 ), lost AS (
-  SELECT r, sum(len(string_split(line.t, ' '))) AS n FROM line JOIN freq ON line.host = freq.host AND line.t = freq.t GROUP BY r
+  SELECT r, sum(len(string_split(line.t, ' '))) AS n FROM line JOIN freq ON line.host IS NOT DISTINCT FROM freq.host AND line.t = freq.t GROUP BY r
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
