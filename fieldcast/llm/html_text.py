@@ -1,11 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read as a stream of tags and text. Block tags cut it into blocks; each knows its
-words, how many are stop words, how many stand in links, and which containers hold it. Pass
-one decides blocks: what stands in navigation, headers, footers, forms and the like, or is
-mostly links, is boilerplate; long text with enough stop words is content; the rest is
-ambiguous. In pass two an ambiguous block takes the label of its nearest decided neighbours
-within the article where the page marks one, else within the page.
+words, how many are stop words, how many characters stand in links, and which containers hold
+it. Pass one decides what it can: blocks of navigation, footers, forms and the like are
+boilerplate, and so are blocks that are mostly link; long text with enough stop words is
+content. Short blocks, and long ones with few stop words, stay ambiguous. In pass two these
+take the label of their nearest decided neighbour.
+
+Where a page marks an article, its borders count as content: what is ambiguous beside them is
+part of it. What links or densities decided against inside an article stays out and draws the
+ambiguous blocks next to it along. Containers speak for what they hold, not for their
+neighbours.
 """
 
 from __future__ import annotations
@@ -45,9 +50,22 @@ STOP_WORDS = {
 _sets = {k: frozenset(v.split()) for k, v in (("drop", DROPPED), ("skip", SKIPPED), ("article", ARTICLE), ("block", BLOCKS), ("void", VOID), ("self", SELF_ENDING), ("role", BOILERPLATE_ROLES), ("word", BOILERPLATE_WORDS), ("layout", LAYOUT_WORDS))}
 _stop = frozenset(w for v in STOP_WORDS.values() for w in v.split())
 
-MIN_CONTENT_CHARS = 70
-MIN_STOP_DENSITY = 0.15
-MAX_LINK_DENSITY = 0.5
+_marks = ".,;:!?()\"'#*$%&|<>"
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds of pass one; lengths in characters, densities as shares."""
+
+    content_chars: int = 70
+    stop_density: float = 0.15
+    #: Above it a block is mostly link.
+    link_density: float = 0.5
+    #: Above it long text with few stop words is boilerplate.
+    some_links: float = 0.2
+    #: In an article so many linked blocks in a row are a list of links.
+    link_run: int = 3
+
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,6 +74,9 @@ _TOKEN = re.compile(
     r"|<(?:!|\?|/?[a-zA-Z])[^>]*>",
     re.S | re.I,
 )
+_CLOSED = re.compile(r"(?:-->|/>|</[a-z]+\s*>|\A<(?!!--)[^>]*>)\Z", re.I)
+_CUT_OFF = re.compile(r"<(?:!|\?|/?[a-zA-Z])[^>]*\Z")  # a tag cut off by the page's end
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -93,21 +114,63 @@ def _marks_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open tags, with the places of each name and of blocks and articles, so that no
+    end tag has to search them."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, bool, int]] = []  # name, boilerplate, article before it
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.articles: list[int] = []
+
+    def push(self, tag: str, bad: bool, article: int) -> None:
+        at = len(self.tags)
+        self.tags.append((tag, bad, article))
+        self.places.setdefault(tag, []).append(at)
+        if tag in _sets["block"]:
+            self.blocks.append(at)
+        if tag in _sets["article"]:
+            self.articles.append(at)
+
+    def pop(self) -> tuple[str, bool, int]:
+        tag, bad, article = self.tags.pop()
+        self.places[tag].pop()
+        if tag in _sets["block"]:
+            self.blocks.pop()
+        if tag in _sets["article"]:
+            self.articles.pop()
+        return tag, bad, article
+
+    def place_of_end(self, tag: str) -> int | None:
+        """Where the element that ``</tag>`` ends began; inline tags don't reach out of an article."""
+        at = self.places.get(tag)
+        if not at or (tag not in _sets["block"] and self.articles and self.articles[-1] > at[-1]):
+            return None
+        return at[-1]
+
+    def place_ended_by(self, tag: str) -> int | None:
+        """Where the paragraph or item began that a new block ``tag`` ends without an end tag."""
+        if not self.blocks:
+            return None
+        name = self.tags[self.blocks[-1]][0]
+        return self.blocks[-1] if name == "p" or (name == tag and tag in _sets["self"]) else None
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+    """The page's blocks with text, in order. Takes time in proportion to the page's length."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, int]] = []  # name, boilerplate, article number
+    tags = _Open()
     skipping, article, articles, links, here = 0, 0, 0, 0, None
     heading = False
 
     def close(at: int) -> None:
         nonlocal skipping, article, links, heading
-        while len(open_tags) > at:
-            name, bad, before = open_tags.pop()
+        while len(tags.tags) > at:
+            name, bad, article = tags.pop()
             skipping -= bad
-            article = before
             links -= name == "a"
-            if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if name in _HEADINGS:
                 heading = False
 
     def text(raw: str) -> None:
@@ -119,8 +182,8 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             here.linked += len(raw)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, end = 0, page.rfind(">") + 1  # no tag ends after that
+    for m in _TOKEN.finditer(page, 0, end):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
@@ -128,6 +191,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             if m["raw"] and m["raw"].lower() in ("title", "textarea"):
                 here = None
+            if at == end and not _CLOSED.search(m[0]):
+                at = len(page)  # a comment or script that never ends takes the rest
             continue
         tag = tag.lower()
         if tag == "br":
@@ -137,79 +202,106 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             here = None
         if m["end"]:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    close(i)
-                    break
-                if open_tags[i][0] in _sets["article"] and tag not in _sets["block"]:
-                    break
+            if (place := tags.place_of_end(tag)) is not None:
+                close(place)
             continue
         if tag in _sets["void"]:
             continue
-        if block:
-            # a block ends a paragraph that is still open, and what is open in it
-            for i in range(len(open_tags) - 1, -1, -1):
-                name = open_tags[i][0]
-                if name == "p" or (name == tag and tag in _sets["self"]):
-                    close(i)
-                    break
-                if name in _sets["block"]:
-                    break
+        if block and (place := tags.place_ended_by(tag)) is not None:
+            close(place)
         attrs = m["attr"] or ""
         bad = tag in _sets["drop"] or _marks_boilerplate(tag, attrs, article > 0)
-        open_tags.append((tag, bad, article))
+        tags.push(tag, bad, article)
         skipping += bad
         links += tag == "a"
-        heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = heading or tag in _HEADINGS
         if tag in _sets["article"] and not skipping and not article:
             articles += 1
             article = articles
     if at < len(page):
         tail = page[at:]
-        cut = re.search(r"<(?:!|\?|/?[a-zA-Z])[^>]*\Z", tail)  # a tag cut off by the page's end
+        cut = _CUT_OFF.search(tail)
         text(tail[: cut.start()] if cut else tail)
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in out if b.text]
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the article, joined by one blank; empty for null or nothing but boilerplate."""
+def stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(_marks) in _stop for w in words) / len(words)
+
+
+def first_pass(blocks: list[Block], rules: Rules = Rules()) -> None:
+    """Label blocks ``good``, ``bad`` or ``unsure``; ``out`` for those of boilerplate containers
+    and, where the page marks an article, for those outside."""
+    marked = any(b.article and not b.skipped for b in blocks)
+    run = 0
+    for k, b in enumerate(blocks):
+        long = len(b.text) >= rules.content_chars
+        share = b.linked / len(b.text)
+        if b.skipped or (marked and not b.article):
+            b.label, run = "out", 0
+            continue
+        mostly = share > rules.link_density
+        run = run + 1 if mostly else 0
+        if mostly:
+            b.label = "unsure" if b.heading or (b.article and not long) else "bad"
+            if run >= rules.link_run:
+                for c in blocks[k + 1 - run : k + 1]:
+                    c.label = "bad"
+        elif long and stop_density(b.text) >= rules.stop_density:
+            b.label = "good"
+        else:
+            b.label = "bad" if long and share > rules.some_links else "unsure"
+
+
+def second_pass(labels: list[str], headings: list[bool], article: bool) -> list[str]:
+    """Labels of one article, or of a page without any, with ``unsure`` decided.
+
+    The nearest decided neighbour decides. As far before as after: a heading goes with what
+    follows, other blocks are content if one of the two is. An article's borders are
+    content; on a page without a decided block everything is.
+    """
+    edge = "good" if article else ""
+
+    def seen(order) -> dict[int, tuple[str, float]]:
+        label, far, out = edge, 0 if edge else float("inf"), {}
+        for i in order:
+            far += 1
+            out[i] = (label, far)
+            if labels[i] != "unsure":
+                label, far = labels[i], 0
+        return out
+
+    before, after = seen(range(len(labels))), seen(reversed(range(len(labels))))
+    out = []
+    for i, x in enumerate(labels):
+        if x == "unsure":
+            (a, near_a), (b, near_b) = before[i], after[i]
+            if near_a != near_b and a and b:
+                x = a if near_a < near_b else b
+            elif a and b:
+                x = b if headings[i] and not (article and i == 0) else "good" if "good" in (a, b) else "bad"
+            else:
+                x = a or b or "good"
+        out.append(x)
+    return out
+
+
+def main_text(page: str | None, rules: Rules = Rules()) -> str:
+    """Blocks of content, joined by one blank; empty for null or nothing but boilerplate."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    marked = any(b.article and not b.skipped for b in blocks)
+    first_pass(blocks, rules)
+    groups: dict[int, list[Block]] = {}
     for b in blocks:
-        size = len(b.text)
-        if b.skipped or (marked and not b.article):
-            b.label = "bad"
-        elif b.linked > MAX_LINK_DENSITY * size and not b.heading:
-            b.label = "bad" if not b.article else "unsure"
-        elif size >= MIN_CONTENT_CHARS:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?()\"'") in _stop for w in words) / len(words)
-            b.label = "good" if density >= MIN_STOP_DENSITY else "unsure"
-        else:
-            b.label = "unsure"
-    # nearest decided neighbours: of the same article; there, or by default there, good wins
-    for group in ([b for b in blocks if b.label != "bad" and b.article] if marked else None, blocks if not marked else None):
-        if not group:
-            continue
-        labels = [b.label for b in group]
-        before: list[str] = []
-        last = ""
-        for x in labels:
-            before.append(last)
-            last = x if x != "unsure" else last
-        after: list[str] = []
-        last = ""
-        for x in reversed(labels):
-            after.append(last)
-            last = x if x != "unsure" else last
-        after.reverse()
-        for b, x, y in zip(group, before, after):
-            if b.label == "unsure":
-                b.label = ("bad" if x == y == "bad" or (not marked and "bad" in (x, y) and "good" not in (x, y)) else "good") if x or y else ("good" if marked or not any(c.label == "bad" for c in blocks) else "bad")
+        if b.label != "out":
+            groups.setdefault(b.article, []).append(b)
+    for article, group in groups.items():
+        for b, label in zip(group, second_pass([b.label for b in group], [b.heading for b in group], article > 0)):
+            b.label = label
     return " ".join(b.text for b in blocks if b.label == "good")
 
 
@@ -217,8 +309,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` of every row of ``pages``.
 
     Null and empty pages, and pages without content, give an empty text. Markup may be cut
-    off or unbalanced anywhere. Repeated rows come back as often as given; other columns are
-    not read.
+    off or unbalanced anywhere; a page takes time in proportion to its length. Null and
+    repeated ids and repeated rows come back as often as given; other columns are not read;
+    an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
