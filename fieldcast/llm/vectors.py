@@ -202,9 +202,12 @@ def _region_links(members: DataFrame, threshold: float) -> DataFrame:
     blocks; a task compares two blocks, so a component of any size is never gathered.
     """
     width = math.acos(min(threshold, 1.0)) + 1e-6
-    first = members.filter("id = comp").select("comp", F.col("v").alias("p"))
+    # pivots are tables of their own: a join with an aggregate on ``comp`` could not split a large component
+    members = materialize(members)
+    first = materialize(members.filter("id = comp").select("comp", F.col("v").alias("p")))
     members = materialize(_angles(members, first, "a1"))
-    second = members.groupBy("comp").agg(F.max_by("id", F.struct("a1", "id")).alias("id")).join(members.select("id", F.col("v").alias("p")), "id").select("comp", "p")
+    second = members.groupBy("comp").agg(F.max_by("id", F.struct("a1", "id")).alias("id"))
+    second = materialize(second.join(members.select("id", F.col("v").alias("p")), "id").select("comp", "p"))
     shells = materialize(_angles(members, second, "a2").select("comp", F.floor(F.col("a1") / width).alias("k1"), F.floor(F.col("a2") / width).alias("k2"), "id", "n", "v"))
 
     key = ["comp", "k1", "k2"]
