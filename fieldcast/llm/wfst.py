@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into three transducers. The normaliser rewrites characters (none for
-an identity normaliser), puts the dummy blank in front and escapes blanks. The lexicon reads a
-piece's characters and writes its id, with a weight. Byte fallback reads a character that is
-in no piece and writes its bytes' ids. An input is composed with them from left to right, and
-its encoding is the shortest path in the tropical semiring (weights add along a path, the
-least total wins).
+A model file is compiled into transducers. The normaliser rewrites the longest match of its
+character map at each place (the map is a compiled automaton in the file), squeezes blanks,
+puts the dummy blank in front and escapes blanks. The lexicon reads a piece's characters and
+writes its id, with a weight. Byte fallback reads a character that is in no piece and writes
+its bytes' ids. An input is composed with them from left to right, and its encoding is the
+shortest path in the tropical semiring (weights add along a path, the least total wins).
 
 For unigram models an arc's weight is minus the piece's score. For BPE models it depends on
-the arc before, which is the transducer's state: 0 if merging would leave the two pieces side
-by side, infinite if not (:mod:`.merges`), so that one path is finite. Where no piece holds a
+the arc before, which is the composed machine's state: 0 if merging would leave the two pieces
+side by side, infinite if not (:mod:`.merges`). Then one path alone is finite for each
+beginning of a text, so keeping the best arc into each place loses nothing.
+
+User-defined symbols are cut out first, the longest at each place. Where no piece holds a
 blank after another character, a text's path is that of its blank-led words one after the
-other; new words' paths are found in the order of the words, so that common beginnings are
-walked once, and are kept in a bounded table.
+other; new words are searched in the order of the words, so that the work on common
+beginnings is done once. Paths of short words are kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +33,13 @@ from pyspark.sql import functions as F
 from .merges import INFINITE, MergeLattice
 
 BLANK = "▁"
-_CACHED = 800_000
+_CACHED, _KEPT_CHARS = 800_000, 64
+_WEIGHTS = 600_000
 _FIELDS = {"pieces": 1, "trainer": 2, "normalizer": 3}
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Fixed value: how much worse than the least piece an unknown character is.
+UNKNOWN_PENALTY = 10.0
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -61,6 +67,72 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normaliser:
+    """The normaliser's settings and its character map.
+
+    The map is a double array: a state is a place in ``units``; reading a byte moves to the
+    place that the unit's offset and the byte give, if the unit there bears that byte. Units
+    with a leaf lead to the place of their output in ``outputs``.
+    """
+
+    def __init__(self, spec: dict[int, int | bytes], symbols: re.Pattern | None):
+        self.dummy, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
+        self.symbols = symbols
+        blob = spec.get(2, b"")
+        size = struct.unpack_from("<I", blob)[0] if blob else 0
+        self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if blob else ()
+        self.outputs = blob[4 + size :]
+        self.known: dict[int, str] = {}
+        # ASCII characters that neither alone nor with another ASCII character begin a match
+        inert = [c for c in range(128) if self.units and not any(self._match(bytes([c, d]), 0) for d in range(128))]
+        self.plain = re.compile(b"[" + re.escape(bytes(inert)) + rb"]+(?=[\x00-\x7f]|\Z)") if inert else None
+
+    def _match(self, data: bytes, at: int) -> tuple[int, str] | None:
+        """Length and output of the longest match at ``at``."""
+        units, n, found = self.units, len(self.units), None
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        place = offset(units[0])
+        for k in range(at, len(data)):
+            place ^= data[k]
+            if place >= n or units[place] & 0x800000FF != data[k]:
+                break
+            unit = units[place]
+            place ^= offset(unit)
+            if unit >> 8 & 1:
+                found = k + 1 - at, units[place] & 0x7FFFFFFF
+        if found is None:
+            return None
+        length, start = found
+        if start not in self.known:
+            self.known[start] = self.outputs[start : self.outputs.index(0, start)].decode("utf-8")
+        return length, self.known[start]
+
+    def _rewrite(self, text: str) -> str:
+        data, out, at = text.encode("utf-8"), [], 0
+        while at < len(data):
+            if self.plain and (run := self.plain.match(data, at)):
+                out.append(run[0].decode())
+                at = run.end()
+            elif hit := self._match(data, at):
+                out.append(hit[1])
+                at += hit[0]
+            else:
+                size = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + size].decode("utf-8"))
+                at += size
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.units:
+            parts = self.symbols.split(text) if self.symbols else [text]
+            text = "".join(part if i % 2 else self._rewrite(part) for i, part in enumerate(parts))
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if self.dummy and text:
+            text = " " + text
+        return text.replace(" ", BLANK) if self.escape else text
+
+
 class Transducer:
     """Compiled from the bytes of a model file."""
 
@@ -79,75 +151,101 @@ class Transducer:
             elif field == _FIELDS["normalizer"]:
                 normal = dict(_fields(value))
         self.type = trainer.get(3, UNIGRAM)
-        if self.type not in (UNIGRAM, BPE) or normal.get(2) or any(k == USER for k in kinds):
-            raise ValueError("only unigram and BPE models with an identity normaliser and no user-defined symbols")
-        self.dummy, self.squeeze = bool(normal.get(3, 1)), bool(normal.get(4, 1))
+        if self.type not in (UNIGRAM, BPE) or trainer.get(24) or (self.type == BPE and UNUSED in kinds):
+            raise ValueError("only unigram and BPE models with blanks in front and, for BPE, without unused pieces")
         self.pieces, self.kinds = pieces, kinds
         self.unknown = kinds.index(UNKNOWN)
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL}
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == BYTE}
-        self.least = min(self.score.values(), default=0.0) - 10.0
+        least, most = min(self.score.values(), default=0.0), max(self.score.values(), default=0.0)
+        users = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == USER}
+        self.symbols = None
+        if users and self.type == BPE:
+            self.symbols = re.compile("(" + "|".join(re.escape(p) for p in sorted(users, key=lambda p: (-len(p), p))) + ")")
+            self.user = users
+        elif users:  # arcs of their own weight among the others
+            self.ids |= users
+            self.score |= {p: len(p.encode()) * most - 0.1 for p in users}
+        matched = re.compile("(" + "|".join(re.escape(p.replace(BLANK, " ")) for p in sorted(users, key=lambda p: (-len(p), p))) + ")") if users else None
+        self.normalise = Normaliser(normal, matched)
+        self.dummy = self.normalise.dummy
         self.lattice = MergeLattice(self.ids, lambda a, b: -s if (s := self.score.get(a + b)) is not None else None)
-        self.longest = max(map(len, self.ids), default=1)
-        self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        # control characters that no piece holds stand alone too
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids)) or "\n"
-        self.by_word &= not any(c in p for p in self.ids for c in alone)
-        self.words = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|[{alone}]")
+        #: Arcs into a place: pieces by their characters from the last to the first; "" holds the piece.
+        self.arcs: dict = {}
+        for piece in self.ids:
+            node = self.arcs
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
+        #: Weight of an arc by the state before it and its piece; unigram models have one state.
+        self.weights: dict[tuple[str, str], float] = {}
+        self.fallback_weight = UNKNOWN_PENALTY - least if self.type == UNIGRAM else 0.0
+        #: No path weighs less, so an arc that reaches it needs no rival.
+        self.floor = 0.0 if self.type == BPE else -INFINITE
+
+        self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids) and (bool(self.bytes) or BLANK in self.ids)
+        # control characters that no piece holds stand alone too, where bytes keep unknown neighbours apart
+        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids)) if self.bytes else ""
+        self.words = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|[{alone}]" if alone else ""))
         self.kept: dict[str, bytes] = {}
-        spell = {NORMAL: lambda p: p.replace(BLANK, " ").encode("utf-8"), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode()}
+        spell = {NORMAL: lambda p: p.replace(BLANK, " ").encode("utf-8"), USER: lambda p: p.replace(BLANK, " ").encode("utf-8"), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode()}
         self.spelled = [spell[k](p) if k in spell else b"" for p, k in zip(pieces, kinds)]
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if self.dummy and text:
-            text = " " + text
-        return text.replace(" ", BLANK)
-
-    def _fallback(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
-
-    def _arcs(self, text: str, at: int) -> Iterator[str]:
-        """What the lexicon can read from here on; failing all, one character by fallback."""
-        begins, single = self.lattice.begins, False
-        for end in range(at + 1, len(text) + 1):
-            p = text[at:end]
-            whole = begins.get(p)
-            if whole is None:
-                break
-            if whole:
-                single |= end == at + 1
-                yield p
-        if not single:
-            yield text[at]
-
     def _weight(self, before: str, piece: str) -> float:
+        """Weight of the arc ``piece`` in state ``before`` (the arc before it; "" at the start)."""
         if self.type == UNIGRAM:
-            return -self.score.get(piece, self.least)
-        if not before or piece not in self.ids or before not in self.ids:
-            return 0.0
-        return 0.0 if self.lattice.fits(before, piece) else INFINITE
-
-    def shortest_path(self, text: str) -> list[str]:
-        """The pieces of a normalised text; characters in no piece stand for themselves."""
-        n = len(text)
-        total = [INFINITE] * (n + 1)
-        arrive: list[str] = [""] * (n + 1)
-        total[0] = 0.0
-        for at in range(n):
-            if total[at] == INFINITE:
-                continue
-            for p in self._arcs(text, at):
-                w = total[at] + self._weight(arrive[at], p)
-                if w < total[at + len(p)]:
-                    total[at + len(p)], arrive[at + len(p)] = w, p
-        out, at = [], n
-        while at:
-            out.append(arrive[at])
-            at -= len(arrive[at])
-        return out[::-1]
+            return -self.score[piece]
+        return 0.0 if not before or before not in self.ids or self.lattice.fits(before, piece) else INFINITE
+
+    def shortest_paths(self, texts: Iterable[str]) -> Iterator[list[str]]:
+        """The arcs of each text's shortest path through its composition with the lexicon and
+        the fallback; a character that is a piece of its own by no arc stands for itself.
+
+        The totals of a beginning don't depend on what follows, so neighbours in ``texts``
+        share those of their common beginning. Of equal totals the longest last arc holds.
+        """
+        arcs, weights, floor, unigram = self.arcs, self.weights, self.floor, self.type == UNIGRAM
+        before, total, last = "", [0.0], [""]
+        for text in texts:
+            n = len(text)
+            k = 0
+            for x, y in zip(before, text):
+                if x != y:
+                    break
+                k += 1
+            del total[k + 1 :], last[k + 1 :]
+            for end in range(k + 1, n + 1):
+                node, at, best, arc = arcs, end, INFINITE, None
+                while at:
+                    at -= 1
+                    node = node.get(text[at])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is None or total[at] > best:
+                        continue
+                    state = "" if unigram else last[at]
+                    w = weights.get((state, piece))
+                    if w is None:
+                        if len(weights) >= _WEIGHTS:
+                            weights.clear()
+                        w = weights[state, piece] = self._weight(state, piece)
+                    w += total[at]
+                    if w <= best and w < INFINITE:
+                        best, arc = w, piece
+                        if best <= floor:
+                            break
+                if text[end - 1] not in self.ids and (w := total[end - 1] + self.fallback_weight) < best:
+                    best, arc = w, text[end - 1]
+                total.append(best)
+                last.append(arc)
+            before = text
+            out, k = [], n
+            while k:
+                out.append(last[k])
+                k -= len(last[k])
+            yield out[::-1]
 
     def _written(self, path: list[str]) -> bytes:
         ids: list[int] = []
@@ -155,36 +253,41 @@ class Transducer:
             i = self.ids.get(p)
             if i is not None:
                 ids.append(i)
-            elif self.bytes or not ids or ids[-1] != self.unknown:
-                # without byte pieces, neighbouring unknown characters are one unknown id
-                ids += self._fallback(p)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in p.encode("utf-8")]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)  # neighbouring unknown characters are one
         return array("I", ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Put the paths of words that are not kept into the table, in order of the words."""
-        new = sorted(words - self.kept.keys())
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of every word: from the table, or by a search that fills it."""
+        new = sorted(w for w in words if w not in self.kept)
         if len(self.kept) + len(new) > _CACHED:
-            self.kept.clear()
-            new = sorted(words)
-        found = self.lattice.segments(new) if self.type == BPE else (None for _ in new)
-        for word, path in zip(new, found):
-            self.kept[word] = self._written(path or self.shortest_path(word))
+            self.kept = {w: self.kept[w] for w in words if w in self.kept}
+        found = dict(zip(new, map(self._written, self.shortest_paths(new))))
+        if len(self.kept) + len(found) <= _CACHED:
+            self.kept.update((w, x) for w, x in found.items() if len(w) <= _KEPT_CHARS)
+        return found
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        split = [self.words.findall(t) if self.by_word else [t] for t in map(self.normalise, texts)]
-        self.learn(set().union(*split))
-        get = self.kept.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if not self.by_word:
-            self.kept.clear()
+        normal = [self.normalise(t) for t in texts]
+        cut = [self.symbols.split(t) for t in normal] if self.symbols else [[t] for t in normal]
+        split = [[self.words.findall(p) if self.by_word else [p] for p in parts[::2]] for parts in cut]
+        found = self._ids_of({w for parts in split for words in parts for w in words})
+        kept, out = self.kept, []
+        for parts, words in zip(cut, split):
+            made = [b"".join([found[w] if w in found else kept[w] for w in x]) for x in words]
+            for k, symbol in enumerate(parts[1::2]):
+                made[k] += struct.pack("<I", self.user[symbol])
+            out.append(b"".join(made))
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        """The text that was encoded, up to blanks that the normaliser took out."""
+        """The text that was encoded, up to what the normaliser rewrote or took out."""
         text = b"".join(map(self.spelled.__getitem__, array("I", ids))).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
@@ -215,9 +318,10 @@ def _some(column: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (array of int) of every row; null texts have none.
+    """``id_col`` and ``ids`` (array of int) of every row; null and empty texts have none.
 
-    Repeated rows come back as often as given; other columns are not read.
+    Texts of any length are read whole. Null ids and repeated rows come back as often as
+    given; other columns are not read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +341,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and ``text`` of every row; null ids give an empty text."""
+    """``id_col`` and ``text`` of every row; null ids give an empty text.
+
+    Repeated rows come back as often as given; other columns are not read; an empty table
+    gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
@@ -254,7 +362,9 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Per row: ``id_col``, ``n_ids``, ``ids_crc32`` (unsigned, little-endian 32-bit ids),
     ``n_decoded`` (code points of the decoded text) and ``same`` (it is the text again).
 
-    Null texts count as empty.
+    Null texts count as empty; texts of any length are read whole. Null ids and repeated rows
+    come back as often as given; other columns are not read; an empty table gives an empty
+    result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fieldcast.llm import common, html_text, licenses, merges, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
+from fieldcast.llm import common, html_text, licenses, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -375,16 +375,6 @@ def test_transducer_agrees_with_the_library(spark):
     assert all(back[i] == (x or "") for i, x in enumerate(texts) if x is None or "▁" not in x)
 
 
-def test_shortest_path_equals_merging():
-    score = {p: -i for i, p in enumerate("a b c ab bc abc ca cab aa aab".split())}
-    lattice = merges.MergeLattice({p: i for i, p in enumerate(score)}, lambda a, b: -score[a + b] if a + b in score else None)
-    rng = random.Random(0)
-    for _ in range(500):
-        text = "".join(rng.choices("abc", k=rng.randint(1, 12)))
-        assert lattice.segment(text) == lattice.greedy(text)[0]
-    assert lattice.segment("ax") is None
-
-
 # ---- 10 quality rules
 
 
