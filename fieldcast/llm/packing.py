@@ -4,7 +4,8 @@ Tokens are made and counted where the documents lie; only numbers travel. The pl
 count of pieces for each length (``capacity`` rows at most, whatever the corpus), so best-fit
 decreasing runs over counts. Pieces then take the planned slots by joining on their rank
 within their length. The rank is made in two steps, a count for each (length, salt) and a
-row number within it, so a length that a third of all pieces share is no single group.
+row number within it; a length has as many salts as its count asks for, so one that a third
+of all pieces share is no single group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import materialize
 
 CAPACITY = 4096
 END_ID = 1
-_SALTS = 256
+#: Rows of one length are ranked in salts of about so many rows.
+_SALTED_ROWS = 20_000
 _CACHED = 1_200_000
 _ASCII_WORDS = re.compile(r"[^ \t-\r]+")
 
@@ -102,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """``id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document's pieces.
 
     A document is its ids and ``end_id``; one longer than ``capacity`` is cut every
-    ``capacity`` ids. Null text counts as empty. 
+    ``capacity`` ids. Null text counts as empty.
     """
     end = array("I", [end_id]).tobytes()
 
@@ -189,13 +191,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(_SALTS)).cast("int")))
+    pieces = materialize(pieces)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = spark.createDataFrame([(length, 1 + n // _SALTED_ROWS) for length, n in histogram.items()], "length long, salts long")
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = pieces.withColumn("place", F.row_number().over(within) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("place"))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = plan_slots(histogram, capacity)
     plan = spark.createDataFrame(slots, "at_length long, first_rank long, n long, per long, first_sequence long, at long")
     if len(slots) <= 200_000:  # some 10 MB; the number follows capacity, not the corpus

@@ -39,7 +39,7 @@ _AHEAD = 6
 _BITS = 40
 _BLOCK = 256
 _AUDIT, _AUDIT_MOST = 256, 1024
-_SALTS = 16
+_SALTS, _SALTED_ROWS = 16, 50_000
 MIN_RECALL, FLOOR = 0.97, 0.9
 
 _log = logging.getLogger(__name__)
@@ -212,7 +212,7 @@ def _region_links(members: DataFrame, threshold: float) -> DataFrame:
 
     key = ["comp", "k1", "k2"]
     place = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("id")) - 1
-    salted = shells.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    salted = shells.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(_SALTS, shells.count() // _SALTED_ROWS))))
     size = salted.groupBy(*key, "salt").agg(F.count("*").alias("m"))
     before = Window.partitionBy(*key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     size = size.select(*key, "salt", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
@@ -221,6 +221,7 @@ def _region_links(members: DataFrame, threshold: float) -> DataFrame:
     around = cells.select(*key, F.explode(step).alias("d1")).withColumn("d2", F.explode(step))
     around = around.select("comp", F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.col("k1") + F.col("d1")).alias("k1"), (F.col("k2") + F.col("d2")).alias("k2")).join(cells, key)
     around = around.groupBy("comp", F.col("c1").alias("k1"), F.col("c2").alias("k2")).agg(F.collect_list(F.struct(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "blocks")).alias("others"))
+    around = materialize(around)
 
     rows = salted.withColumn("place", place).join(size, [*key, "salt"]).withColumn("block", F.floor((F.col("place") + F.col("base")) / _BLOCK))
     rows = rows.join(around, key).select("comp", "k1", "k2", "block", "id", "n", "v", F.inline("others"))
