@@ -170,19 +170,23 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled documents with the lowest id hashes, ``max_fit`` at most.
 
     ``graded``: id and ``grade`` (0..n_grades-1). Null ids and grades are left out; of an
-    id's grades the lowest holds. Without any labelled document, all scores are alike and
-    every grade is as likely.
+    id's grades the lowest holds, of its texts the one with the lowest hash, so no more than
+    ``max_fit`` rows of numbers reach the driver. Null texts count as empty. Without any
+    labelled document, or with empty tables, all scores are alike and every grade is as
+    likely. Other columns are not read.
     """
     rated = graded.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy(id_col).agg(F.min("grade").cast("int").alias("_grade"))
     chosen = rated.orderBy(F.xxhash64(id_col), id_col).limit(max_fit)
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).join(F.broadcast(chosen), id_col).select("_grade", "_text", F.col(id_col).cast("string").alias("_id"))
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).join(F.broadcast(chosen), id_col)
+    rows = rows.select("_grade", "_text", F.col(id_col).cast("string").alias("_id"), F.xxhash64("_text").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([d.tobytes() for _, d in got], pa.binary()), batch.column(2)], names=["grade", "buckets", "dense", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([d.tobytes() for _, d in got], pa.binary()), *batch.columns[2:]], names=["grade", "buckets", "dense", "id", "key"])
 
-    got = rows.mapInArrow(run, "grade int, buckets binary, dense binary, id string").toArrow().sort_by("id")
+    made = rows.mapInArrow(run, "grade int, buckets binary, dense binary, id string, key long")
+    got = made.groupBy("id").agg(F.min_by(F.struct("grade", "buckets", "dense"), "key").alias("x")).select("id", "x.*").toArrow().sort_by("id")
     grades = got.column("grade").to_numpy().astype(np.int64)
     buckets = [np.frombuffer(x, np.uint32) for x in got.column("buckets").to_pylist()]
     dense = np.stack([np.frombuffer(x, np.float32) for x in got.column("dense").to_pylist()]).astype(np.float64) if len(grades) else np.zeros((0, DENSE))
@@ -215,7 +219,12 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
-    """The rows of ``docs`` with ``p_top >= min_tail``, all columns, in one pass over the texts."""
+    """The rows of ``docs`` with ``p_top >= min_tail``, all columns, in one pass over the texts.
+
+    Rows are judged by their text alone and pass whole, so ids may be null or repeated and
+    columns have any name. Texts without a word, null ones too, go; repeated rows stay or go
+    together; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

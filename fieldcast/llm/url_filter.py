@@ -6,8 +6,9 @@ rules before the URLs of the same key, intervals nest like brackets: a sweep kee
 the rules that are open, and the URL at hand fits those on the stack whose path begins its own.
 
 URLs are cut into ranges of (key, salt) by the keys of a small sample (it decides where the
-cuts lie, not what is judged), as a range sort does; a host
-with a third of all URLs spans many ranges. A rule goes to the ranges that its interval meets,
+cuts lie, not what is judged), as a range sort does; a host with a third of all URLs spans
+many ranges, and so does one page's row that comes in many partitions (the salt holds the
+partition, which is the same when a task runs again). A rule goes to the ranges that its interval meets,
 so no rule table is sent to everyone, however many rules there are.
 """
 
@@ -62,7 +63,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("_url"))
     host, path = url_parts(F.col("_url"))
-    urls = urls.select("id", host.alias("host"), path.alias("path"), F.xxhash64("id", "_url").alias("salt"))
+    urls = urls.select("id", host.alias("host"), path.alias("path"), F.xxhash64("id", "_url", F.spark_partition_id()).alias("salt"))
     urls = urls.withColumn("key", host_key(F.col("host")))
     usable = rules.filter("host <> '' and path is not null and verdict is not null")
     usable = usable.groupBy(_ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))

@@ -8,7 +8,10 @@ or of which only headers are asked for, is skipped, not decoded.
 ``df.write.format("warc").mode("append").save(folder)`` writes gzip members, one per record,
 into files of a bounded size. A task writes under a name of its own; the driver makes the
 files of the tasks that succeeded visible by renaming, so a task that runs again leaves none
-twice.
+twice. With mode ``overwrite`` the archives that were there go when the new ones are visible.
+
+The payload of a record whose block is an HTTP message is the message's body, of other
+records the block; revisits have none.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 
@@ -45,6 +48,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _FILE_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
 _BLOCK = 1 << 20
+_SMALL = 500_000
 
 
 def open_store(url: str) -> tuple[fs.FileSystem, str]:
@@ -66,13 +70,18 @@ def _clean(value: str) -> str:
 
 
 def record_bytes(row: dict) -> bytes:
-    """One record, uncompressed: response records carry the payload after HTTP headers."""
+    """One record, uncompressed: responses carry their payload after HTTP headers, records of
+    other types as their block; revisits carry HTTP headers alone."""
+    kind = row["record_type"]
     payload = row["payload"] if row["payload"] is not None else b""
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    body = head + (b"\r\n" if row["record_type"] == "revisit" else b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
-    lines = ["WARC/1.1", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http;msgtype=response"]
+    http = kind in ("response", "revisit")
+    body, media = payload, "application/octet-stream"
+    if http:
+        head, media = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n", "application/http;msgtype=response"
+        body = head + (b"\r\n" if kind == "revisit" else b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
+    lines = ["WARC/1.1", "WARC-Date: 1970-01-01T00:00:00Z", f"Content-Type: {media}"]
     lines += [f"{HEADERS[k]}: {_clean(str(row[k]))}" for k in HEADERS if row.get(k) is not None]
-    if row["record_type"] == "revisit":
+    if kind == "revisit":
         lines.append(f"WARC-Profile: {REVISIT_PROFILE}")
     lines.append(f"Content-Length: {len(body)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -84,8 +93,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = open_store(self.path)
@@ -112,15 +121,25 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         store, folder = open_store(self.path)
         store.create_dir(folder, recursive=True)
+        old = archives_in(store, folder) if self.overwrite else []
         for m in messages:
             for a, b in m.files if m else []:
                 store.move(a, b)
+        for path in old:
+            store.delete_file(path)
 
     def abort(self, messages: list) -> None:
         store, _ = open_store(self.path)
         for m in messages:
             for a, _b in m.files if m else []:
-                store.delete_file(a)
+                if store.get_file_info(a).is_file:
+                    store.delete_file(a)
+
+
+def archives_in(store: fs.FileSystem, folder: str) -> list[str]:
+    """The archives below a folder; hidden files are none."""
+    found = store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+    return sorted(x.path for x in found if x.is_file and not x.base_name.startswith((".", "_")) and x.path.endswith((".warc", ".warc.gz")))
 
 
 @dataclass
@@ -165,6 +184,19 @@ class _Source:
                     raise ValueError("an archive ends inside a record's headers")
                 return None
 
+    def http_head(self, n: int) -> int:
+        """Passes the HTTP headers at the start of a block of ``n`` bytes; their length."""
+        at = -1
+        while at < 0 and len(self.held) < n:
+            at = self.held.find(b"\r\n\r\n", 0, n)
+            if at < 0 and not self._more():
+                raise ValueError("an archive ends inside a record")
+        at = self.held.find(b"\r\n\r\n", 0, n) if at < 0 else at
+        if at < 0 or not self.held.startswith(b"HTTP/") and not self.held[:at].split(b"\r\n")[0].rstrip().endswith((b"HTTP/1.0", b"HTTP/1.1")):
+            return 0
+        del self.held[: at + 4]
+        return at + 4
+
     def take(self, n: int) -> bytes:
         while len(self.held) < n:
             if not self._more():
@@ -198,9 +230,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Archive]:
         store, folder = open_store(self.path)
-        found = store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-        names = sorted(x.path for x in found if x.is_file and not x.base_name.startswith((".", "_")) and x.path.endswith((".warc", ".warc.gz")))
-        return [Archive(x) for x in names] or [Archive("")]
+        return [Archive(x) for x in archives_in(store, folder)] or [Archive("")]
 
     def _wanted(self, row: dict) -> bool:
         for f in self.tests:
@@ -238,12 +268,14 @@ class WarcReader(DataSourceReader):
                 size = int(got["content-length"])
                 row = {k: got.get(h.lower()) for k, h in HEADERS.items()}
                 row["payload_length"] = int(row["payload_length"]) if row["payload_length"] is not None else None
-                if not self._wanted(row) or "payload" not in self.columns or row["record_type"] != "response":
-                    source.skip(size)
-                    row["payload"] = None
-                else:
-                    body = source.take(size)
-                    row["payload"] = body.partition(b"\r\n\r\n")[2] if body.startswith(b"HTTP/") else body
+                row["payload"] = None
+                wanted = self._wanted(row) and row["record_type"] != "revisit"
+                if wanted and ("payload" in self.columns or ("payload_length" in self.columns and row["payload_length"] is None)):
+                    size -= source.http_head(size) if got.get("content-type", "").lower().startswith("application/http") else 0
+                    row["payload_length"] = size
+                    if "payload" in self.columns:
+                        row["payload"], size = source.take(size), 0
+                source.skip(size)
                 if self._wanted(row):
                     yield {k: row[k] for k in self.columns}
 
@@ -260,7 +292,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -274,16 +306,20 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Records for ``pages``, in the source's schema.
 
     Of rows with equal payloads of ``min_bytes`` or more, that with the largest id is the
-    response, the others revisit it. Equal payloads meet as digests: the largest id is a
-    grouped maximum, and the join back is an equi-join that can be split where one payload
-    is a third of all rows. A null html is an empty payload. Rows with a null id are
-    responses, unless an equal payload with an id stands in for them; of repeated rows with
-    the largest id each is a response.
+    response, the others revisit it. Equal payloads meet as digests: the largest id of each
+    shared digest is a grouped maximum. Up to ``_SMALL`` shared digests (some 60 MB) go to
+    where the payloads lie, which then don't move; more are joined by sorting, which can be
+    split where one payload is a third of all rows. A null html is an empty payload, a null
+    url no header. Rows with a null id are responses, unless an equal payload with an id
+    stands in for them; of repeated rows with the largest id each is a response. Other
+    columns are not read; payloads of any length are whole; an empty table gives no record.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("hex", F.sha1("payload")).withColumn("length", F.length("payload").cast("long"))
-    first = rows.groupBy("hex", "length").agg(F.max("id").alias("keeper"))
-    rows = rows.join(first, ["hex", "length"])
+    shared = rows.groupBy("hex", "length").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    shared = materialize(shared.select("hex", "length", "keeper"))
+    few = shared.limit(_SMALL + 1).count() <= _SMALL
+    rows = rows.join(F.broadcast(shared) if few else shared, ["hex", "length"], "left")
     again = (F.col("length") >= min_bytes) & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     uri = lambda c: F.concat(F.lit("<urn:x-page:"), c.cast("string"), F.lit(">"))
 
