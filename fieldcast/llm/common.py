@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 _made: list[str] = []
+_cuts: dict[int, tuple[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +41,9 @@ def clean_up(spark: SparkSession) -> None:
 
     Results that are still lazy read them: call it when the job's results are stored.
     """
-    jvm = spark.sparkContext._jvm
+    _cuts.clear()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -54,7 +54,22 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _cuts[id(out)] = path, out
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote and nothing will read again."""
+    for cut in cuts:
+        path, _ = _cuts.pop(id(cut))
+        _delete(cut.sparkSession, path)
+        _made.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
@@ -82,7 +97,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        release(last)
         before, digest = digest, _digest(e)
         if before == digest:
             break
