@@ -14,35 +14,31 @@ from fieldcast.llm.common import materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the rules reject and lines that are boilerplate of their source."""
+    """Drop documents that the rules reject and lines that are boilerplate of their source.
+
+    Rows are judged one by one, so null and repeated ids are fine; null texts go.
+    """
     kept = quality_rules.keep_good(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose chance of the top grade is below a half."""
+    """Drop documents whose chance of the top grade is below a half, and those without a word.
+
+    Rows are judged by their texts alone, so null and repeated ids are fine.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     graded = labels.select("doc_id", quality_classifier.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, graded))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near copies: the smallest id, null last, then by the text's hash.
+    """Keep one row of each group of near copies: the smallest id, null last.
 
-    Rows are told apart by their texts, not by their ids: a null or repeated id never takes
-    a different text out. Of rows with one text, the one that sorts first is kept.
+    Rows are told apart by where they lie, not by their ids: a null or repeated id never
+    takes a different text out. Null texts are one group of copies; an empty table stays so.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)
-    first = docs.groupBy(F.coalesce(F.md5("text"), F.lit("")).alias("key")).agg(F.min(order).alias("row"), F.first("text").alias("text"))
-    first = materialize(first.withColumn("node", F.xxhash64("key")))
-    labels = materialize(near_text.near_components(first.select("node", "text")))
-    linked = materialize(first.select("key", "node", F.struct("row.none", "row.doc_id", "key").alias("rank")).join(labels, "node"))
-    best = linked.groupBy("component").agg(F.min("rank").alias("rank")).select("rank.key")
-    # the keys that go grow with the corpus: join by sorting at every size
-    gone = linked.select("key").join(best, "key", "left_anti")
-    kept = first.join(gone.hint("merge"), "key", "left_anti")
-    return kept.select("row.*", "text").select(docs.columns)
+    return near_text.keep_one(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
