@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 _made: list[str] = []
-_cuts: dict[int, tuple[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +40,6 @@ def clean_up(spark: SparkSession) -> None:
 
     Results that are still lazy read them: call it when the job's results are stored.
     """
-    _cuts.clear()
     while _made:
         _delete(spark, _made.pop())
 
@@ -55,16 +53,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _cuts[id(out)] = path, out
+    out.cut_path = path  # on the table itself: a registry would keep every plan alive
     return out
 
 
 def release(*cuts: DataFrame) -> None:
     """Delete the files of tables that ``materialize`` wrote and nothing will read again."""
     for cut in cuts:
-        path, _ = _cuts.pop(id(cut))
-        _delete(cut.sparkSession, path)
-        _made.remove(path)
+        _delete(cut.sparkSession, cut.cut_path)
+        _made.remove(cut.cut_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -236,9 +236,9 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
     texts = materialize(texts_of(asked))
     links = _Links(texts, least)
-    links.add(pairs, 2)
+    links.add(pairs, 1)
     if many.take(1):
-        links.add(_outsiders(many.select("band", "node"), nodes, links.labels), 1)
+        links.add(_outsiders(many.select("band", "node"), nodes, links.labels), 0)
     release(texts, held)
     return links.labels if links.labels is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 

@@ -96,3 +96,21 @@ def test_near_dedup_edited_copies(spark):
     # nothing unlinked goes; of the linked pairs at least 97 % are found
     assert want <= got
     assert len(got - want) <= 0.03 * (len(texts) - len(want))
+
+
+def test_near_dedup_odd_tables(spark):
+    """Empty table, clashing column names, very long texts, maps, rows that come from no file."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    edited = [w if rng.random() > 0.01 else "edited" for w in long]
+    rows = [(2, " ".join(long)), (1, " ".join(edited)), (3, "a b c"), (4, "a b c"), (5, "a b"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    for c in ("file", "at", "row", "key", "node", "rank", "bands", "minima", "fp", "component", "_metadata"):
+        docs = docs.selectExpr("*", f"1 AS `{c}`")
+    docs = docs.selectExpr("*", "map('k', 1) AS m")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect()) == [(0, 0), (0, 0), (1, len(" ".join(edited))), (3, 5), (5, 3)]
