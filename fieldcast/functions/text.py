@@ -70,7 +70,7 @@ def canonical_color(raw: Column) -> Column:
 
 
 def injury_label(raw: Column) -> Column:
-    code = F.coalesce(F.nullif(raw, F.lit("")), F.lit("ACTIVE"))
+    code = F.upper(F.coalesce(F.nullif(raw, F.lit("")), F.lit("ACTIVE")))
     return F.coalesce(F.try_element_at(_lookup(INJURY_LABELS), code), F.initcap(F.translate(code, "_", " ")))
 
 
@@ -170,4 +170,4 @@ def color_key(html: Column) -> Column:
 
 
 def swatch_number(src: Column) -> Column:
-    return F.regexp_extract(src, r"(?i)/swatches/(\d+)\.png", 1).try_cast("int")
+    return F.regexp_extract(src, r"(?i)/swatches/(\d+)\.(?:png|gif|jpe?g|webp)", 1).try_cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import resolution
+from ..operators.cuts import written
 
 
 def _scored(markets: DataFrame, schedule: DataFrame, rates: DataFrame, keys: list[str], market: str, temperature: float) -> DataFrame:
@@ -26,10 +27,9 @@ def game_probabilities(markets: DataFrame, schedule: DataFrame, rates: DataFrame
 def resolve_schedule(markets: DataFrame, schedule: DataFrame, actual: DataFrame, rates: DataFrame, keys: list[str], market: str, national: DataFrame | None = None, temperature: float = resolution.TEMPERATURE) -> DataFrame:
     """What every market sees for every game asked, and who says so."""
     spark = schedule.sparkSession
-    games = resolution.competing_games(schedule, keys)
-    asked = resolution.score_market_games(markets, games, market).withColumn("game", F.explode("games")).select(*keys, market, "game")
-    certain = games.filter(F.size("games") == 1).select(*keys, F.get("games", 0).alias("game"))
-    scored = _scored(markets, schedule, rates, keys, market, temperature)
+    scored = written(_scored(markets, schedule, rates, keys, market, temperature))
+    asked = scored.select(*keys, market, F.explode(F.transform("ranked", lambda x: x["game"])).alias("game"))
+    certain = scored.filter(F.size("ranked") == 1).select(*keys, F.get("ranked", 0)["game"].alias("game")).distinct()
     predicted = scored.select(*keys, market, F.get("ranked", 0)["game"].alias("game"), F.get("ranked", 0)["p"].alias("p"))
     if national is None:
         national = spark.createDataFrame([], schedule.select(*keys, "game").schema)
@@ -38,9 +38,10 @@ def resolve_schedule(markets: DataFrame, schedule: DataFrame, actual: DataFrame,
 
 def coverage_rollup(markets: DataFrame, schedule: DataFrame, rates: DataFrame, keys: list[str], market: str, actual: DataFrame, margin: float = resolution.MARGIN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per game, markets led per game, toss-ups) over all markets."""
-    flat = game_probabilities(markets, schedule, rates, keys, market, actual)
+    flat = written(game_probabilities(markets, schedule, rates, keys, market, actual))
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("np"), "game")))
     scored = flat.groupBy(*keys, market).agg(pairs.alias("_r"), F.bool_or("confirmed").alias("confirmed"))
     scored = scored.withColumn("ranked", F.transform("_r", lambda x: F.struct(x["game"].alias("game"), (-x["np"]).alias("p")))).drop("_r")
-    games = resolution.competing_games(schedule, keys)
+    scored = written(scored)
+    games = flat.groupBy(*keys).agg(F.sort_array(F.collect_set("game")).alias("games"))
     return resolution.market_rollup(scored, keys), resolution.leader_footprint(scored, games, keys), resolution.tossup_count(scored, margin)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import PRIOR, apply_calibration, band, game_score, softmax
 from ..functions.text import game_teams
+from .basic import small
 
 #: Default temperature, margin of a toss-up, networks seen everywhere over the air.
 TEMPERATURE, MARGIN = 12.0, 0.12
@@ -26,22 +27,27 @@ def competing_games(schedule: DataFrame, keys: list[str], game: str = "game") ->
 
 def score_market_games(markets: DataFrame, games: DataFrame, market: str) -> DataFrame:
     """Every market with every slot's games as one array row each: the grid is as large as
-    its answer, and competitors stay together. The games' side has a row for each slot."""
-    return markets.select(market).distinct().join(F.broadcast(games))
+    its answer, and competitors stay together. The games' side has a row for each slot; it is
+    broadcast only if a count shows it small."""
+    return small(games).crossJoin(markets.select(market).distinct())
 
 
-def attach_rates(pairs: DataFrame, rates: DataFrame, market: str, prior: float = PRIOR) -> DataFrame:
-    """Add ``rate`` of (market, team); ``prior`` where it is unknown."""
-    return pairs.join(rates.select(market, "team", "rate"), [market, "team"], "left").withColumn("rate", F.coalesce("rate", F.lit(prior)))
+def attach_rates(pairs: DataFrame, rates: DataFrame, market: str, prior: float = PRIOR, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``rate`` of (``by``, market, team); ``prior`` where it is unknown."""
+    on = [*by, market, "team"]
+    return pairs.join(rates.select(*on, "rate"), on, "left").withColumn("rate", F.coalesce("rate", F.lit(prior)))
 
 
 def scored_games(grid: DataFrame, rates: DataFrame, keys: list[str], market: str, temperature: float = TEMPERATURE) -> DataFrame:
-    """Per market and slot: games with probabilities, ranked (ties by name)."""
+    """Per market and slot: games with probabilities, ranked (ties of 12 digits by name).
+
+    Keys that ``rates`` has too, such as the season, choose the rates.
+    """
     flat = grid.withColumn("game", F.explode("games")).withColumn("team", F.explode(game_teams(F.col("game"))))
-    per = attach_rates(flat, rates, market).groupBy(*keys, market, "game").agg(game_score(F.collect_list("rate")).alias("s"))
+    per = attach_rates(flat, rates, market, by=tuple(k for k in keys if k in rates.columns)).groupBy(*keys, market, "game").agg(game_score(F.collect_list("rate")).alias("s"))
     g = per.groupBy(*keys, market).agg(F.array_sort(F.collect_list(F.struct("game", "s"))).alias("o"))
     g = g.withColumn("p", softmax(F.transform("o", lambda x: x["s"]), temperature))
-    g = g.withColumn("r", F.array_sort(F.zip_with("o", "p", lambda o, p: F.struct((-p).alias("np"), o["game"].alias("game")))))
+    g = g.withColumn("r", F.array_sort(F.zip_with("o", "p", lambda o, p: F.struct((-F.round(p, 12)).alias("np"), o["game"].alias("game")))))
     return g.select(*keys, market, F.transform("r", lambda x: F.struct(x["game"].alias("game"), (-x["np"]).alias("p"))).alias("ranked"))
 
 

@@ -61,10 +61,13 @@ def decisions(rows: DataFrame, rates: DataFrame, map_keys: list[str], market: st
 
 
 def predictions(dec: DataFrame, temperature: Column | float) -> DataFrame:
-    """Add ``ranked`` (game, p by p then name), ``n``, ``p_top``, ``hit``, ``hit2``, ``p_true``."""
+    """Add ``ranked`` (game, p by p then name), ``n``, ``p_top``, ``hit``, ``hit2``, ``p_true``.
+
+    Probabilities have 12 digits, so that equal ones tie whatever order they were summed in.
+    """
     p = softmax(F.transform("options", lambda o: o["score"]), temperature)
     df = dec.withColumn("_p", p)
-    pairs = F.zip_with(F.transform("options", lambda o: o["game"]), F.col("_p"), lambda g, x: F.struct((-x).alias("np"), g.alias("game")))
+    pairs = F.zip_with(F.transform("options", lambda o: o["game"]), F.col("_p"), lambda g, x: F.struct((-F.round(x, 12)).alias("np"), g.alias("game")))
     df = df.withColumn("_r", F.array_sort(pairs))
     df = df.withColumn("ranked", F.transform("_r", lambda r: F.struct(r["game"].alias("game"), (-r["np"]).alias("p"))))
     first, second = F.get("ranked", 0), F.get("ranked", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..jobs import coverage, prediction
 from ..operators import basic, resolution, win_model
+from ..operators.cuts import written
 from .registry import query
 from .voting import CELLS, assignments
 
@@ -77,36 +78,39 @@ def w9_softmax_predictions(spark, sf_dir):
     return _pred(spark, sf_dir).select(*M, "market", "truth", "n", F.round("p_top", 6).alias("p_top"), F.round("p_true", 6).alias("p_true"))
 
 
-@query(f"WITH {DECIDED} SELECT count(*) AS decisions, round(avg(-ln(greatest(p_true, 1e-9))), 6) AS log_loss FROM pred")
+@query(f"WITH {DECIDED} SELECT count(*) AS decisions, round(avg(hit::INT), 6) AS top1, round(avg(hit2::INT), 6) AS top2, round(avg(-ln(greatest(p_true, 1e-9))), 6) AS log_loss FROM pred")
 def a5_evaluate(spark, sf_dir):
     e = win_model.evaluate(_pred(spark, sf_dir))
-    return e.select("decisions", F.round("log_loss", 6).alias("log_loss"))
+    return e.select("decisions", *[F.round(c, 6).alias(c) for c in ("top1", "top2", "log_loss")])
 
 
-@query(f"WITH {DECIDED} SELECT n::INT AS n, count(*) AS decisions FROM pred GROUP BY n")
+@query(f"WITH {DECIDED} SELECT n::INT AS n, count(*) AS decisions, round(avg(hit::INT), 6) AS accuracy FROM pred GROUP BY n")
 def a6_accuracy_by(spark, sf_dir):
-    return win_model.accuracy_by(_pred(spark, sf_dir)).select("n", "decisions")
+    return win_model.accuracy_by(_pred(spark, sf_dir)).select("n", "decisions", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query(f"WITH {DECIDED} SELECT band, n, round(mid, 2) AS mid FROM bins")
+@query(f"WITH {DECIDED} SELECT band, n, round(rate, 6) AS rate, round(mid, 2) AS mid FROM bins")
 def a7_calibration_bins(spark, sf_dir):
-    return win_model.calibration_bins(_pred(spark, sf_dir)).select("band", "n", F.round("mid", 2).alias("mid"))
+    return win_model.calibration_bins(_pred(spark, sf_dir)).select("band", "n", F.round("rate", 6).alias("rate"), F.round("mid", 2).alias("mid"))
 
 
-@query(f"WITH {DECIDED} SELECT season, count(*) AS decisions, round(avg(p_top), 6) AS p_top FROM pred GROUP BY season")
+@query(f"WITH {DECIDED} SELECT season, week, slot, market, game, r::INT AS rank, round(p, 6) AS p FROM ranked")
 def w7_rank_games(spark, sf_dir):
-    return _pred(spark, sf_dir).groupBy("season").agg(F.count("*").alias("decisions"), F.round(F.avg("p_top"), 6).alias("p_top"))
+    """Every option of every decision with its rank."""
+    ranked = _pred(spark, sf_dir).select(*M, "market", F.posexplode("ranked").alias("rank", "g"))
+    return ranked.select(*M, "market", "g.game", (F.col("rank") + 1).alias("rank"), F.round("g.p", 6).alias("p"))
 
 
-_BINS = "bins AS (SELECT CAST(l_quantity AS INT) % 10 AS band, count(*) AS n, avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END) AS rate, (CAST(l_quantity AS INT) % 10 + 0.5) / 10 AS mid FROM lineitem WHERE CAST(l_quantity AS INT) % 10 NOT IN (0, 4) GROUP BY 1, 4)"
+# bands 0 and 4 move out of the ten, so that two gaps are to be filled; no row is left out
+_BINS = "bins AS (SELECT CASE b WHEN 0 THEN 10 WHEN 4 THEN 14 ELSE b END AS band, count(*) AS n, avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END) AS rate, (b + 0.5) / 10 AS mid FROM (SELECT *, CAST(l_quantity AS INT) % 10 AS b FROM lineitem) GROUP BY 1, 4)"
 
 
 def _bins(spark, sf_dir):
     from .registry import table
 
     b = F.col("l_quantity").cast("int") % 10
-    df = table(spark, sf_dir, "lineitem").filter(~b.isin(0, 4))
-    return df.groupBy(b.alias("band")).agg(F.count("*").alias("n"), F.avg((F.col("l_discount") > 0.04).cast("double")).alias("rate")).withColumn("mid", (F.col("band") + 0.5) / 10)
+    df = table(spark, sf_dir, "lineitem").select("l_discount", b.alias("b"), F.when(b.isin(0, 4), b + 10).otherwise(b).alias("band"))
+    return df.groupBy("band", "b").agg(F.count("*").alias("n"), F.avg((F.col("l_discount") > 0.04).cast("double")).alias("rate")).select("band", "n", "rate", ((F.col("b") + 0.5) / 10).alias("mid"))
 
 
 @query(
@@ -134,89 +138,103 @@ def a9_fit_temperature(spark, sf_dir):
     return win_model.fit_temperature(_decisions(spark, sf_dir)).select("temperature", F.round("log_loss", 6).alias("log_loss"))
 
 
-SCHED = "sched AS (SELECT DISTINCT season, week, slot, game FROM src WHERE season = 2000), prior_rates AS (SELECT market, team, rate FROM rates WHERE fold = 2000)"
-GRIDDED = f"""{RATES}, {SCHED}, markets AS (SELECT DISTINCT market FROM src),
-sg AS (SELECT week, slot, market, game, 0.75 * max(rate) + 0.25 * avg(rate) AS s FROM (
-  SELECT x.week, x.slot, x.market, x.game, coalesce(r.rate, 0.25) AS rate FROM (SELECT week, slot, market, game, trim(unnest(string_split(game, ' @ '))) AS team FROM sched CROSS JOIN markets) x LEFT JOIN prior_rates r ON r.market = x.market AND r.team = x.team) GROUP BY ALL),
-pp AS (SELECT week, slot, market, game, exp((s - ms) * 12) / sum(exp((s - ms) * 12)) OVER (PARTITION BY week, slot, market) AS p FROM (SELECT *, max(s) OVER (PARTITION BY week, slot, market) AS ms FROM sg)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY week, slot, market ORDER BY p DESC, game) AS r FROM pp)"""
-W = ["week", "slot"]
+GRIDDED = f"""{RATES}, sched AS (SELECT DISTINCT season, week, slot, game FROM src), markets AS (SELECT DISTINCT market FROM src),
+actual AS (SELECT season, week, slot, market, game AS seen FROM src WHERE NOT review),
+sg AS (SELECT season, week, slot, market, game, 0.75 * max(rate) + 0.25 * avg(rate) AS s FROM (
+  SELECT x.season, x.week, x.slot, x.market, x.game, coalesce(r.rate, 0.25) AS rate FROM (SELECT season, week, slot, market, game, trim(unnest(string_split(game, ' @ '))) AS team FROM sched CROSS JOIN markets) x
+  LEFT JOIN rates r ON r.fold = x.season AND r.market = x.market AND r.team = x.team) GROUP BY ALL),
+pp AS (SELECT season, week, slot, market, game, round(exp((s - ms) * 12) / sum(exp((s - ms) * 12)) OVER (PARTITION BY season, week, slot, market), 12) AS p FROM (SELECT *, max(s) OVER (PARTITION BY season, week, slot, market) AS ms FROM sg)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY season, week, slot, market ORDER BY p DESC, game) AS r FROM pp),
+q AS (SELECT pp.* EXCLUDE (p), CASE WHEN seen IS NULL THEN p WHEN seen = pp.game THEN 1.0 ELSE 0.0 END AS p, seen IS NOT NULL AS known FROM pp LEFT JOIN actual USING (season, week, slot, market)),
+qr AS (SELECT *, row_number() OVER (PARTITION BY season, week, slot, market ORDER BY p DESC, game) AS r FROM q)"""
 
 
 def _grid(spark, sf_dir):
-    src = _src(spark, sf_dir)
-    sched = src.filter("season = 2000").select(*W, "game").distinct()
-    rates = prediction.train_rates(src, M, "market").filter("fold = 2000")
-    return src, sched, rates
+    """Rows, schedule, each season's rates from the seasons before it, and what is known of the markets."""
+    src = written(_src(spark, sf_dir))
+    rates = prediction.train_rates(src, M, "market").withColumnRenamed("fold", "season")
+    return src, src.select(*M, "game").distinct(), rates, src.filter("not review").select(*M, "market", "game")
 
 
 def _scored(spark, sf_dir):
-    src, sched, rates = _grid(spark, sf_dir)
-    games = resolution.competing_games(sched, W)
-    grid = resolution.score_market_games(src, games, "market")
-    return src, games, resolution.scored_games(grid, rates, W, "market")
+    src, sched, rates, actual = _grid(spark, sf_dir)
+    games = resolution.competing_games(sched, M)
+    scored = resolution.scored_games(resolution.score_market_games(src, games, "market"), rates, M, "market")
+    known = actual.select(*M, "market", F.lit(True).alias("confirmed"))
+    return src, games, written(scored.join(known, [*M, "market"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False))))
 
 
-@query(f"WITH {GRIDDED} SELECT week, slot, string_agg(game, '|' ORDER BY game) AS games FROM (SELECT DISTINCT week, slot, game FROM sched) GROUP BY week, slot")
+@query(f"WITH {GRIDDED} SELECT season, week, slot, string_agg(game, '|' ORDER BY game) AS games FROM sched GROUP BY season, week, slot")
 def j6_competing_games(spark, sf_dir):
-    _, sched, _ = _grid(spark, sf_dir)
-    return resolution.competing_games(sched, W).withColumn("games", F.array_join("games", "|"))
+    sched = _src(spark, sf_dir).select(*M, "game")
+    return resolution.competing_games(sched, M).withColumn("games", F.array_join("games", "|"))
 
 
-@query(f"WITH {GRIDDED} SELECT week, slot, market, game, round(p, 6) AS p FROM pp")
+@query(f"WITH {GRIDDED} SELECT season, week, slot, market, game, round(p, 6) AS p, known AS confirmed FROM q")
 def c5_j7_j8_game_probabilities(spark, sf_dir):
-    src, sched, rates = _grid(spark, sf_dir)
-    df = coverage.game_probabilities(src, sched, rates, W, "market")
-    return df.select(*W, "market", "game", F.round("p", 6).alias("p"))
+    src, sched, rates, actual = _grid(spark, sf_dir)
+    df = coverage.game_probabilities(src, sched, rates, M, "market", actual)
+    return df.select(*M, "market", "game", F.round("p", 6).alias("p"), "confirmed")
 
 
 CAL = [((i + 1) / 10, round(0.05 + 0.1 * i, 2)) for i in range(10)]
+_CONFIDENCE = "CASE " + " ".join(f"WHEN p <= {u} THEN {v}" for u, v in CAL[:-1]) + f" ELSE {CAL[-1][1]} END"
+_BAND = "CASE WHEN p >= 0.6 THEN 'likely' WHEN p >= 0.35 THEN 'maybe' WHEN p >= 0.15 THEN 'possibly' ELSE 'unlikely' END"
 
 
-@query(f"WITH {GRIDDED} SELECT week, slot, market, count(*)::INT AS n, round(max(p), 6) AS p, CASE WHEN round(max(p), 9) >= 0.6 THEN 'likely' WHEN round(max(p), 9) >= 0.35 THEN 'maybe' WHEN round(max(p), 9) >= 0.15 THEN 'possibly' ELSE 'unlikely' END AS band FROM pp GROUP BY week, slot, market")
+@query(
+    f"""WITH {GRIDDED}, nxt AS (SELECT season, week, slot, market, string_agg(game, '|' ORDER BY r) AS alternatives FROM rk WHERE r IN (2, 3) GROUP BY season, week, slot, market)
+    SELECT season, week, slot, market, game AS leader, {_CONFIDENCE} AS confidence, round(p, 6) AS p, {_BAND} AS band, coalesce(alternatives, '') AS alternatives
+    FROM rk LEFT JOIN nxt USING (season, week, slot, market) WHERE r = 1"""
+)
 def a25_leader(spark, sf_dir):
     _, _, scored = _scored(spark, sf_dir)
-    df = resolution.leader_and_alternatives(scored.withColumn("n", F.size("ranked")), CAL)
-    return df.select(*W, "market", "n", F.round("p", 6).alias("p"), "band")
+    df = resolution.leader_and_alternatives(scored, CAL)
+    return df.select(*M, "market", "leader", "confidence", F.round("p", 6).alias("p"), "band", F.array_join("alternatives", "|").alias("alternatives"))
 
 
-@query(f"WITH {GRIDDED}, m AS (SELECT week, slot, market, max(CASE WHEN r = 1 THEN p END) - coalesce(max(CASE WHEN r = 2 THEN p END), 0) AS margin FROM rk GROUP BY ALL) SELECT week, slot, market, round(margin, 6) AS margin FROM m")
+@query(f"WITH {GRIDDED} SELECT season, week, slot, market, round(max(CASE WHEN r = 1 THEN p END) - coalesce(max(CASE WHEN r = 2 THEN p END), 0), 6) AS margin FROM rk GROUP BY season, week, slot, market")
 def w8_lead_margin(spark, sf_dir):
     _, _, scored = _scored(spark, sf_dir)
-    return resolution.lead_margin(scored).select(*W, "market", F.round("margin", 6).alias("margin"))
+    return resolution.lead_margin(scored).select(*M, "market", F.round("margin", 6).alias("margin"))
 
 
-@query(f"WITH {GRIDDED} SELECT week, slot, game, count(*) AS markets, count(*) FILTER (WHERE p >= 0.5) AS likely, false AS any_confirmed FROM pp GROUP BY week, slot, game")
+@query(f"WITH {GRIDDED} SELECT season, week, slot, pp.game, count(*) AS markets, count(*) FILTER (WHERE p >= 0.5) AS likely, bool_or(seen IS NOT NULL) AS any_confirmed FROM pp LEFT JOIN actual USING (season, week, slot, market) GROUP BY season, week, slot, pp.game")
 def a18_market_rollup(spark, sf_dir):
     _, _, scored = _scored(spark, sf_dir)
-    return resolution.market_rollup(scored.withColumn("confirmed", F.lit(False)), W)
+    return resolution.market_rollup(scored, M)
 
 
-@query(f"WITH {GRIDDED} SELECT week, slot, sum(1)::BIGINT AS led FROM rk WHERE r = 1 GROUP BY week, slot")
+@query(f"WITH {GRIDDED} SELECT season, week, slot, game, coalesce(led, 0) AS led FROM sched LEFT JOIN (SELECT season, week, slot, game, count(*) AS led FROM rk WHERE r = 1 GROUP BY ALL) USING (season, week, slot, game)")
 def a19_leader_footprint(spark, sf_dir):
     _, games, scored = _scored(spark, sf_dir)
-    return resolution.leader_footprint(scored, games, W).groupBy(*W).agg(F.sum("led").alias("led"))
+    return resolution.leader_footprint(scored, games, M)
+
 
+_TOSSUPS = "SELECT count(*) FILTER (WHERE NOT known AND n > 1 AND m < 0.12) AS tossups, count(*) AS cells FROM (SELECT max(CASE WHEN r = 1 THEN p END) - coalesce(max(CASE WHEN r = 2 THEN p END), 0) AS m, count(*) AS n, bool_or(known) AS known FROM {} GROUP BY season, week, slot, market)"
 
-@query(f"WITH {GRIDDED} SELECT count(*) FILTER (WHERE m < 0.12) AS tossups, count(*) AS cells FROM (SELECT max(CASE WHEN r = 1 THEN p END) - coalesce(max(CASE WHEN r = 2 THEN p END), 0) AS m, count(*) AS n FROM rk GROUP BY week, slot, market)")
+
+@query(f"WITH {GRIDDED}, mark AS (SELECT rk.*, seen IS NOT NULL AS known FROM rk LEFT JOIN actual USING (season, week, slot, market)) {_TOSSUPS.format('mark')}")
 def a20_tossup_count(spark, sf_dir):
     _, _, scored = _scored(spark, sf_dir)
-    return resolution.tossup_count(scored.withColumn("confirmed", F.lit(False)))
+    return resolution.tossup_count(scored)
 
 
 @query(
-    f"""WITH {GRIDDED}, asked AS (SELECT s.week, s.slot, m.market, s.game FROM (SELECT DISTINCT week, slot, game FROM sched) s CROSS JOIN markets m),
-    actual AS (SELECT week, slot, market, game FROM src WHERE season = 2000 AND market % 2 = 0),
-    certain AS (SELECT week, slot, min(game) AS game FROM sched GROUP BY week, slot HAVING count(DISTINCT game) = 1),
-    top AS (SELECT week, slot, market, max(p) AS p FROM pp GROUP BY ALL)
-    SELECT a.week, a.slot, a.market, a.game, CASE WHEN x.game IS NOT NULL THEN 'actual' WHEN c.game IS NOT NULL THEN 'certain' ELSE 'predicted' END AS source,
-    CASE WHEN x.game IS NULL AND c.game IS NULL THEN CASE WHEN t.p >= 0.6 THEN 'likely' WHEN t.p >= 0.35 THEN 'maybe' WHEN t.p >= 0.15 THEN 'possibly' ELSE 'unlikely' END END AS band
-    FROM asked a LEFT JOIN actual x USING (week, slot, market) LEFT JOIN certain c ON c.week = a.week AND c.slot = a.slot LEFT JOIN top t ON t.week = a.week AND t.slot = a.slot AND t.market = a.market"""
+    f"""WITH {GRIDDED}, national AS (SELECT season, week, slot, min(game) AS game FROM sched WHERE week = 1 GROUP BY ALL),
+    certain AS (SELECT season, week, slot, min(game) AS game FROM sched GROUP BY ALL HAVING count(*) = 1),
+    told AS (SELECT pp.season, pp.week, pp.slot, pp.market, pp.game, CASE WHEN n.game IS NOT NULL THEN 'national' WHEN a.seen IS NOT NULL THEN 'actual' WHEN c.game IS NOT NULL THEN 'certain' ELSE 'predicted' END AS source,
+      coalesce(n.game, a.seen, c.game, t.game) AS seen, t.p
+      FROM pp JOIN rk t ON t.r = 1 AND t.season = pp.season AND t.week = pp.week AND t.slot = pp.slot AND t.market = pp.market
+      LEFT JOIN national n ON n.season = pp.season AND n.week = pp.week AND n.slot = pp.slot LEFT JOIN certain c ON c.season = pp.season AND c.week = pp.week AND c.slot = pp.slot
+      LEFT JOIN actual a ON a.season = pp.season AND a.week = pp.week AND a.slot = pp.slot AND a.market = pp.market)
+    SELECT season, week, slot, market, game, source, seen, seen = game AS local, CASE WHEN source = 'predicted' THEN {_BAND} END AS band FROM told"""
 )
 def j9_c4_resolve_schedule(spark, sf_dir):
-    src, sched, rates = _grid(spark, sf_dir)
-    actual = src.filter("season = 2000 and market % 2 = 0").select(*W, "market", "game")
-    return coverage.resolve_schedule(src, sched, actual, rates, W, "market").select(*W, "market", "game", "source", "band")
+    """The first week's slots are shown nationally; elsewhere what is known, certain or predicted."""
+    src, sched, rates, actual = _grid(spark, sf_dir)
+    national = sched.filter("week = 1").groupBy(*M).agg(F.min("game").alias("game"))
+    return coverage.resolve_schedule(src, sched, actual, rates, M, "market", national)
 
 
 @query(
@@ -231,13 +249,60 @@ def p14_national_broadcast(spark, sf_dir):
     return resolution.national_broadcast(s).select("o_orderkey", "national")
 
 
+def _rollups(spark, sf_dir):
+    src, sched, rates, actual = _grid(spark, sf_dir)
+    return coverage.coverage_rollup(src, sched, rates, M, "market", actual)
+
+
+@query(f"WITH {GRIDDED} SELECT season, week, slot, game, count(*) AS markets, count(*) FILTER (WHERE p >= 0.5) AS likely, bool_or(known) AS any_confirmed FROM q GROUP BY season, week, slot, game")
+def c14_coverage_rollup(spark, sf_dir):
+    return _rollups(spark, sf_dir)[0]
+
+
+@query(f"WITH {GRIDDED} SELECT season, week, slot, game, coalesce(led, 0) AS led FROM sched LEFT JOIN (SELECT season, week, slot, game, count(*) AS led FROM qr WHERE r = 1 GROUP BY ALL) USING (season, week, slot, game)")
+def c14_leader_footprint(spark, sf_dir):
+    return _rollups(spark, sf_dir)[1]
+
+
+@query(f"WITH {GRIDDED} {_TOSSUPS.format('qr')}")
+def c14_tossups(spark, sf_dir):
+    return _rollups(spark, sf_dir)[2]
+
+
+FITTED = f"""{DECIDED}, tried AS (SELECT t, season, week, slot, market, truth, game, exp((s - max(s) OVER w) * t) AS e FROM score CROSS JOIN {GRID_SQL} WINDOW w AS (PARTITION BY t, season, week, slot, market, truth)),
+tp AS (SELECT t, season, week, slot, market, truth, game, round(e / sum(e) OVER (PARTITION BY t, season, week, slot, market, truth), 12) AS p FROM tried),
+held AS (SELECT max(season) AS season FROM score), trained AS (SELECT max(season) AS season FROM score WHERE season < (SELECT season FROM held)),
+best AS (SELECT t FROM (SELECT t, round(avg(-ln(greatest(p, 1e-9))), 9) AS loss FROM tp WHERE game = truth AND season = (SELECT season FROM trained) GROUP BY t) ORDER BY loss, t LIMIT 1),
+fr AS (SELECT *, row_number() OVER (PARTITION BY season, week, slot, market, truth ORDER BY p DESC, game) AS r FROM tp WHERE t = (SELECT t FROM best)),
+fp AS (SELECT season, market, count(*) AS n, max(CASE WHEN r = 1 THEN p END) AS p_top, bool_or(r = 1 AND game = truth) AS hit, bool_or(r <= 2 AND game = truth) AS hit2, max(CASE WHEN game = truth THEN p END) AS p_true FROM fr GROUP BY season, week, slot, market, truth),
+fb AS (SELECT least(floor(p_top * 10), 9)::INT AS band, count(*) AS n, avg(hit::INT) AS rate FROM fp WHERE season < (SELECT season FROM held) GROUP BY 1)"""
+
+
+def _fit(spark, sf_dir):
+    src = written(_src(spark, sf_dir))
+    return prediction.fit(src, M, "market", src.agg(F.max("season")).first()[0])
+
+
+@query(f"WITH {FITTED} SELECT (SELECT CAST(t AS DOUBLE) FROM best) AS temperature, count(*) AS decisions, round(avg(hit::INT), 6) AS top1, round(avg(hit2::INT), 6) AS top2, round(avg(-ln(greatest(p_true, 1e-9))), 6) AS log_loss FROM fp WHERE season = (SELECT season FROM held)")
+def c3_fit_holdout(spark, sf_dir):
+    """The last season is held out: the others' temperature, and the metrics on it."""
+    got = _fit(spark, sf_dir)
+    return got["metrics"].select(F.lit(got["temperature"]).alias("temperature"), "decisions", *[F.round(c, 6).alias(c) for c in ("top1", "top2", "log_loss")])
+
+
 @query(
-    f"""WITH {GRIDDED}, actual AS (SELECT week, slot, market, game AS seen FROM src WHERE season = 2000 AND market % 2 = 0),
-    q AS (SELECT pp.week, pp.slot, pp.game, CASE WHEN seen IS NULL THEN p WHEN seen = pp.game THEN 1.0 ELSE 0.0 END AS p, seen IS NOT NULL AS known FROM pp LEFT JOIN actual USING (week, slot, market))
-    SELECT week, slot, game, count(*) AS markets, count(*) FILTER (WHERE p >= 0.5) AS likely, bool_or(known) AS any_confirmed FROM q GROUP BY week, slot, game"""
+    f"""WITH {FITTED}, c0 AS (SELECT b.band, (b.band + 1) / 10.0 AS upper, CASE WHEN fb.n >= 100 THEN rate END AS r FROM (SELECT unnest(generate_series(0, 9))::INT AS band) b LEFT JOIN fb ON b.band = fb.band)
+    SELECT band, upper, round(max(coalesce(lr, 0.1)) OVER (ORDER BY band), 4) AS value FROM (SELECT band, upper, last_value(r IGNORE NULLS) OVER (ORDER BY band ROWS UNBOUNDED PRECEDING) AS lr FROM c0)"""
 )
-def c14_coverage_rollup(spark, sf_dir):
-    src, sched, rates = _grid(spark, sf_dir)
-    actual = src.filter("season = 2000 and market % 2 = 0").select(*W, "market", "game")
-    per_game, _, _ = coverage.coverage_rollup(src, sched, rates, W, "market", actual)
-    return per_game
+def c3_fit_calibration(spark, sf_dir):
+    return _fit(spark, sf_dir)["calibration"]
+
+
+@query(f"WITH {FITTED} SELECT n::INT AS n, count(*) AS decisions, round(avg(hit::INT), 6) AS accuracy FROM fp WHERE season = (SELECT season FROM held) GROUP BY n")
+def c3_fit_by_games(spark, sf_dir):
+    return _fit(spark, sf_dir)["by_games"].select("n", "decisions", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"WITH {RATES}, w AS (SELECT season, pow(2, dense_rank() OVER (ORDER BY season) - 1) AS weight FROM seasons) SELECT market, team, round((sum(shown_n * weight) + 1.25) / (sum(avail_n * weight) + 5), 3) AS rate FROM counts JOIN w USING (season) GROUP BY market, team")
+def c3_export_model(spark, sf_dir):
+    return prediction.export_model(_src(spark, sf_dir), M, "market")

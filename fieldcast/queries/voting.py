@@ -51,9 +51,15 @@ def a1_majority_vote(spark, sf_dir):
     return cells(spark, sf_dir).select(*KEYS, "color", "valid", "total", F.round("confidence", 6).alias("confidence"), F.round("valid_share", 6).alias("valid_share"), counts.alias("counts"))
 
 
-@query(f"WITH {CELLS} SELECT season, week, slot, market, status, review FROM flagged")
+@query(
+    f"""WITH {CELLS} SELECT season, week, slot, market, status, review,
+    CASE WHEN color = 3 THEN 'ambiguous' WHEN color <> 7 THEN 'resolved' WHEN color IS NULL THEN 'not_applicable' ELSE 'unresolved' END AS legend_status FROM flagged"""
+)
 def p12_p13_status_review(spark, sf_dir):
-    return assignments(spark, sf_dir).select(*KEYS, "status", "review")
+    """Colour 3 is ambiguous, colour 7 has no game."""
+    game = F.when(F.col("color") != 7, F.col("game"))
+    status = voting.legend_status(F.col("color").cast("string"), game, F.col("color") == 3)
+    return assignments(spark, sf_dir).select(*KEYS, "status", "review", status.alias("legend_status"))
 
 
 @query(f"WITH {CELLS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE game IS NOT NULL) AS resolved, count(*) FILTER (WHERE review) AS review FROM flagged")
@@ -97,11 +103,15 @@ def a14_map_diagnostics(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CELLS}, {LEGENDED} SELECT season, week, slot, color, count(*) AS markets, 'no_legend' AS reason
-    FROM named WHERE color IS NOT NULL AND game IS NULL GROUP BY season, week, slot, color"""
+    f"""WITH {CELLS}, {LEGENDED}, hued AS (SELECT *, CASE WHEN slot = 'A' THEN 'grey' ELSE 'c' || color END AS hue FROM named WHERE color IS NOT NULL AND game IS NULL)
+    SELECT season, week, slot, hue, count(*) AS markets, CASE WHEN hue = 'grey' AND count(*) <= 2 THEN 'stray_grey' WHEN week % 3 = 0 THEN 'revision_mismatch' ELSE 'no_legend' END AS reason
+    FROM hued GROUP BY season, week, slot, hue"""
 )
 def a15_legend_review_queue(spark, sf_dir):
-    return voting.legend_review_queue(_named(spark, sf_dir), MAP)
+    """Unnamed colours are grey in slot A; pages of every third week show another revision."""
+    hue = F.when(F.col("slot") == "A", "grey").otherwise(F.concat(F.lit("c"), F.col("color").cast("string")))
+    df = _named(spark, sf_dir).withColumn("hue", F.when(F.col("color").isNotNull(), hue)).withColumn("wrong", F.col("week") % 3 == 0)
+    return voting.legend_review_queue(df, MAP, "hue", "wrong")
 
 
 @query(
