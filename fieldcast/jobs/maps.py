@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import frame_status
 from ..functions.text import normalize_slot, revision_from_url, split_matchup, split_window_marker
 from ..operators import basic, compaction, images, legends, snapshots, voting
 
@@ -21,12 +22,20 @@ def final_manifest(manifest: DataFrame) -> DataFrame:
 def build_assignments(manifest: DataFrame, files: DataFrame, polygons: DataFrame, pages: DataFrame, override: DataFrame, samples: int = images.SAMPLES, min_valid: int = voting.MIN_VALID) -> DataFrame:
     """One row per map and market: colour, game, confidence, status, review.
 
-    ``files``: decoded images with ``origin``; a manifest row's ``local_path`` names its
+    Markets without a polygon, and off the map's frame, have status ``empty_polygon`` and
+    ``outside_map``. ``files``: decoded images with ``origin``; a manifest row's ``local_path`` names its
     image. ``pages``: season, week, html. ``override``: season, week, slot, color, game.
     """
     maps = final_manifest(manifest).select(*KEYS, F.col("local_path").alias("origin"), "revision")
     px = images.sample_polygons(files.join(maps.select("origin").distinct(), "origin", "left_semi"), polygons, samples)
-    votes = images.vote_polygons(px).withColumnRenamed("poly", "market").join(maps, "origin")
+    xs, ys = F.expr("flatten(transform(edges, e -> array(e.x1, e.x2)))"), F.expr("flatten(transform(edges, e -> array(e.y1, e.y2)))")
+    bounds = [f(c).alias(n) for f, c, n in ((F.array_min, xs, "lx"), (F.array_min, ys, "ly"), (F.array_max, xs, "hx"), (F.array_max, ys, "hy"))]
+    shapes = basic.small(polygons.select(F.col("poly").alias("market"), "frame_w", "frame_h", *bounds))
+    every = maps.join(files.filter("width > 0").select("origin", "width", "height"), "origin").crossJoin(shapes)
+    wide, high = F.col("width") / F.col("frame_w"), F.col("height") / F.col("frame_h")
+    every = every.select(*KEYS, "origin", "revision", "market", frame_status(F.col("lx") * wide, F.col("ly") * high, F.col("hx") * wide, F.col("hy") * high, F.col("width"), F.col("height")).alias("frame"))
+    votes = every.join(images.vote_polygons(px).withColumnRenamed("poly", "market"), ["origin", "market"], "left")
+    votes = votes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_top", "valid", "total")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("confidence", "valid_share")})
     legend = legends.extract_legend(pages, ["season", "week"])
     auto = legend.filter("not ambiguous").select(*KEYS, "color", "game")
     rows = voting.apply_legend(votes, auto, override, [*KEYS, "color"])
@@ -35,7 +44,7 @@ def build_assignments(manifest: DataFrame, files: DataFrame, polygons: DataFrame
     marked = split_window_marker(F.col("game"))
     rows = rows.withColumn("effective_window", F.coalesce(F.nullif(marked["window"], F.lit("")), F.regexp_extract("slot", "_(.*)$", 1))).withColumn("game", marked["game"])
     sides = split_matchup(F.col("game"))
-    status = voting.classification_status(F.col("valid"), F.col("total"), F.col("confidence"), min_valid)
+    status = F.when(F.col("frame") != "ok", F.col("frame")).otherwise(voting.classification_status(F.col("valid"), F.col("total"), F.col("confidence"), min_valid))
     rows = rows.withColumns({"away_team": sides["away"], "home_team": sides["home"], "status": status, "legend_status": voting.legend_status(F.col("color"), F.col("game"), F.col("ambiguous"))})
     return rows.withColumn("review", voting.review_flag(F.col("status"), F.col("color"), F.col("game"), F.col("ambiguous"), F.col("confidence")))
 

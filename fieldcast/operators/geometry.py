@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def decode_deltas(arcs: DataFrame, scale: tuple[float, float], translate: tuple[float, float]) -> DataFrame:
-    """Positions of delta-coded arc points (arc_id, pos, dx, dy) as ``x``, ``y``."""
-    w = Window.partitionBy("arc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def decode_deltas(arcs: DataFrame, scale: tuple[float, float], translate: tuple[float, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Positions of delta-coded arc points (``keys``, arc_id, pos, dx, dy) as ``x``, ``y``."""
+    w = Window.partitionBy(*keys, "arc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return arcs.withColumn("x", F.sum("dx").over(w) * scale[0] + translate[0]).withColumn("y", F.sum("dy").over(w) * scale[1] + translate[1])
 
 
@@ -25,15 +25,18 @@ def point_in_polygon(points: DataFrame, rings: DataFrame, order: DataFrame, cell
 
     Even-odd rule over all edges of a part, so holes count out. Points meet polygons through
     the grid cells of the polygons' bounds; a ray to the right crosses an edge where it
-    spans the point's height. Points in no polygon have no row.
+    spans the point's height, counted over the polygon's edges as one array, so there is
+    one row for each candidate. Points in no polygon have no row.
     """
     box = rings.groupBy("poly", "part").agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
     at = lambda c: F.floor(F.col(c) / cell)
     cells = box.withColumn("cx", F.explode(F.sequence(at("lx"), at("hx")))).withColumn("cy", F.explode(F.sequence(at("ly"), at("hy"))))
     near = points.select("id", "x", "y").withColumn("cx", at("x")).withColumn("cy", at("y")).join(cells, ["cx", "cy"]).filter("x >= lx and x <= hx and y >= ly and y <= hy")
-    met = near.select("id", "x", "y", "poly", "part").join(polygon_edges(rings), ["poly", "part"])
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = met.groupBy("id", "poly", "part").agg(F.count_if(crosses).alias("n")).filter("n % 2 = 1")
+    edges = polygon_edges(rings).groupBy("poly", "part").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    met = near.select("id", "x", "y", "poly", "part").join(edges, ["poly", "part"])
+    x, y = F.col("x"), F.col("y")
+    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    inside = met.filter(F.size(F.filter("edges", crosses)) % 2 == 1)
     return inside.join(order, "poly").groupBy("id").agg(F.min_by("poly", "ord").alias("poly"))
 
 

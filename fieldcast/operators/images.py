@@ -13,6 +13,8 @@ from ..functions.color import classify_rgb
 from .voting import majority_vote
 
 SAMPLES = 240
+#: All polygons travel with each task; more of them than this stop the job.
+MAX_POLYGONS = 20_000
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +37,14 @@ def sample_polygons(images: DataFrame, polygons: DataFrame, target: int = SAMPLE
     ``polygons``: poly, ``edges`` array<struct<x1,y1,x2,y2>> in the pixels of a frame of
     ``frame_w`` by ``frame_h``; they are scaled once for each image. The grid's spacing
     follows the polygon's bounds for about ``target`` points, at least 2 pixels; its offset
-    comes from the polygon's name, so a run gives the same points again. The polygons of all
-    markets (some hundred) travel with the task; images are handled one by one.
+    comes from the polygon's place by name, so a run gives the same points again. The
+    polygons of all markets (some hundred, ``MAX_POLYGONS`` at most) travel with the task;
+    images are handled one by one. Polygons without edges, or off the frame, have no row.
     """
-    shapes = [(r["poly"], np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in r["edges"]], float), r["frame_w"], r["frame_h"]) for r in polygons.select("poly", "edges", "frame_w", "frame_h").orderBy("poly").collect()]
+    found = polygons.select("poly", "edges", "frame_w", "frame_h").filter("size(edges) > 0").limit(MAX_POLYGONS + 1).collect()
+    if len(found) > MAX_POLYGONS:
+        raise ValueError(f"more than {MAX_POLYGONS} polygons")
+    shapes = [(r["poly"], np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in r["edges"]], float), r["frame_w"], r["frame_h"]) for r in sorted(found, key=lambda r: r["poly"])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -43,6 +43,7 @@ def depth_trim(df: DataFrame, keys: list[str], position: str, points: str, name:
     depth = MIN_DEPTH if min_depth is None else min_depth
     limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in depth.items() for x in p]), F.col(position)), F.lit(0)) if depth else F.lit(0)
     order = [F.desc(points), F.col(name), *ord_cols]
-    df = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, position).orderBy(*order)))
+    # no row beyond the cap of its position can be under the cap of its group: they go before the second sort
+    df = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, position).orderBy(*order))).filter(F.col("_k") <= cap)
     df = df.withColumn("_free", (F.col("_k") > limit).cast("int"))
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("_free", *order))).filter(F.col("_i") <= cap).drop("_k", "_free", "_i")

@@ -53,7 +53,7 @@ def f6_canonical_color(spark, sf_dir):
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Healthy' WHEN 'O' THEN 'IR' ELSE 'Some New Code' END AS label FROM orders")
 def f7_injury_label(spark, sf_dir):
     s = F.col("o_orderstatus")
-    raw = F.when(s == "F", F.lit(None).cast("string")).when(s == "O", "INJURY_RESERVE").otherwise("SOME_NEW_CODE")
+    raw = F.when(s == "F", F.lit(None).cast("string")).when((s == "O") & (F.col("o_orderkey") % 2 == 0), "INJURY_RESERVE").when(s == "O", "injury_reserve").otherwise("some_NEW_code")
     return table(spark, sf_dir, "orders").select("o_orderkey", text.injury_label(raw).alias("label"))
 
 
@@ -188,22 +188,49 @@ def p8_p9_slot_revision(spark, sf_dir):
     return _map_urls(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", text.normalize_slot(u, F.lit(""), F.lit("")).alias("slot"), text.revision_from_url(u).alias("revision"))
 
 
-@query("SELECT page_id, array_to_string(list_sort(['0' || (page_id % 7) || '.png', 'z.png']), ',') AS images, 3 AS swatch FROM pages")
+# the pages hold no map images or comments with keys: both are put in front of each page's own markup
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '0' ELSE '' END || (page_id % 7) || '.png,z.png' AS images, (page_id % 90)::INT AS swatch, length(html) AS chars FROM pages WHERE html IS NOT NULL")
 def f31_f33_page_images(spark, sf_dir):
-    html = F.concat(F.lit("<img src='/swatches/3.png?v' ><IMG SRC=\"a/z.png\"><img src='https://x.example/q/0"), (F.col("page_id") % 7).cast("string"), F.lit(".png'><img src='a/z.png'>"))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.page_images(html), ",").alias("images"), text.swatch_number(html).alias("swatch"))
+    p = F.col("page_id")
+    name = F.concat(F.when(p % 2 == 0, "0").otherwise(""), (p % 7).cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("png", "gif", "jpeg", "webp"))), (p % 4 + 1).cast("int"))
+    html = F.concat(F.lit("<img src='/swatches/"), (p % 90).cast("string"), F.lit("."), kind, F.lit("?v' ><IMG SRC=\"a/z.png\"><img src='https://x.example/q/"), name, F.lit(".png'><img src='a/z.png'>"), F.col("html"))
+    df = table(spark, sf_dir, "pages").filter("html is not null")
+    return df.select("page_id", F.array_join(text.page_images(html), ",").alias("images"), text.swatch_number(html).alias("swatch"), F.length("html").cast("long").alias("chars"))
 
 
-@query("SELECT page_id, 'grey:#00AA' || lpad((page_id % 90 + 10)::VARCHAR, 2, '0') || ',red:#FF7F7F' AS key FROM pages")
+@query("SELECT page_id, 'grey:#00AA' || lpad((page_id % 90 + 10)::VARCHAR, 2, '0') || ',red:#FF7F7F' AS key FROM pages WHERE html IS NOT NULL")
 def f32_color_key(spark, sf_dir):
-    html = F.concat(F.lit("<b>blue: #111111</b><!-- Red: #ff7f7f Gray=#00aa"), (F.col("page_id") % 90 + 10).cast("string"), F.lit("-->"))
+    html = F.concat(F.lit("<b>blue: #111111</b><!-- Red: #ff7f7f Gray=#00aa"), (F.col("page_id") % 90 + 10).cast("string"), F.lit("-->"), F.col("html"))
     entries = F.array_sort(F.map_entries(text.color_key(html)))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("key"))
+    df = table(spark, sf_dir, "pages").filter("html is not null")
+    return df.select("page_id", F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("key"))
 
 
-@query()
-def c7_w11_page_sections(spark, sf_dir):
-    """Lines of every page with the heading line above them."""
-    nodes = legends.page_nodes(table(spark, sf_dir, "pages"), ["page_id"])
-    nodes = nodes.withColumn("heading", F.when(F.col("tag").isin("h1", "h2", "h3"), F.col("text")))
-    return legends.section_fill(nodes, ["page_id"]).groupBy("page_id", "slot").agg(F.count("*").alias("lines"))
+@query(
+    r"""WITH item AS (SELECT page_id, html, unnest(generate_series(1, len(regexp_extract_all(html, '<p>')))) AS i FROM pages)
+    SELECT page_id, 'h' AS slot, count(*) AS lines FROM item GROUP BY page_id"""
+)
+def w11_section_fill(spark, sf_dir):
+    """Every paragraph of a page stands under the latest heading before it: the lines under it."""
+    found = F.regexp_extract_all("html", F.lit("<(h1|p)>"), 1)
+    nodes = table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.posexplode(found).alias("pos", "tag"))
+    nodes = nodes.withColumn("heading", F.when(F.col("tag") == "h1", "h"))
+    return legends.section_fill(nodes, ["page_id"]).filter("tag = 'p'").groupBy("page_id", "slot").agg(F.count("*").alias("lines"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 5 AS k FROM pages)
+    SELECT page_id, 'CBS_EARLY' AS slot, 'red' AS color, 'Home' || k || ' @ Away' AS game, false AS ambiguous FROM p
+    UNION ALL SELECT page_id, 'FOX_LATE', 'light_blue', CASE WHEN k > 0 THEN 'X' || k || ' at Y' END, k = 0 FROM p
+    UNION ALL SELECT page_id, 'FOX_LATE', 'green', 'No Game', false FROM p"""
+)
+def c7_extract_legend(spark, sf_dir):
+    """Legends put before each page's own markup: swatches, colour keys, leading names, a disagreement."""
+    k = (F.col("page_id") % 5).cast("string")
+    legend = F.concat(
+        F.lit("<h3>CBS EARLY</h3><p><img src='/swatches/1.png'> Home"), k, F.lit(" @ Away</p><!-- Cyan: #123456 --><h3>FOX LATE</h3><p><font color='#123456'>X"), k, F.lit(" at Y</font></p>"),
+        F.when(k == "0", "<p>Light Blue: Other vs Y</p>").otherwise(""), F.lit("<p>Green: No Game</p>"),
+    )
+    df = table(spark, sf_dir, "pages").select("page_id", F.concat(legend, F.coalesce("html", F.lit(""))).alias("html"))
+    return legends.extract_legend(df, ["page_id"]).drop("games")

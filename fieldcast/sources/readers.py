@@ -53,20 +53,21 @@ def _rings(text: Column, many: Column, one: str, more: str) -> Column:
 def read_topology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(arc points, ring references) of TopoJSON files.
 
-    Arc points: arc_id, pos, dx, dy (delta-coded) and the scale and translation of the file;
-    references: code, name, part, ring, pos, arc_idx (negative: reversed).
+    Arc points: file, arc_id, pos, dx, dy (delta-coded) and the scale and translation of the
+    file; references: file, code, name, part, ring, pos, arc_idx (negative: reversed).
     """
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", TOPOLOGY).alias("t")).select("t.*").filter("type = 'Topology'")
-    arcs = doc.select("transform", F.posexplode("arcs").alias("arc_id", "a")).select("arc_id", "transform", F.posexplode("a").alias("pos", "d"))
-    arcs = arcs.select("arc_id", "pos", F.get("d", 0).alias("dx"), F.get("d", 1).alias("dy"), F.col("transform.scale").alias("scale"), F.col("transform.translate").alias("translate"))
-    g = doc.select(F.explode("objects").alias("layer", "o")).select(F.explode("o.geometries").alias("g")).select("g.*")
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", TOPOLOGY).alias("t")).select("file", "t.*").filter("type = 'Topology'")
+    arcs = doc.select("file", "transform", F.posexplode("arcs").alias("arc_id", "a")).select("file", "arc_id", "transform", F.posexplode("a").alias("pos", "d"))
+    arcs = arcs.select("file", "arc_id", "pos", F.get("d", 0).alias("dx"), F.get("d", 1).alias("dy"), F.col("transform.scale").alias("scale"), F.col("transform.translate").alias("translate"))
+    g = doc.select("file", F.explode("objects").alias("layer", "o")).select("file", F.explode("o.geometries").alias("g")).select("file", "g.*")
     g = g.select(
+        "file",
         F.coalesce("id", F.try_element_at("properties", F.lit("id")), F.try_element_at("properties", F.lit("dma"))).alias("code"),
         F.coalesce(F.try_element_at("properties", F.lit("name")), F.lit("")).alias("name"),
         _rings(F.col("arcs"), F.col("type") == "MultiPolygon", "array<array<int>>", "array<array<array<int>>>").alias("parts"),
     )
-    refs = g.select("code", "name", F.posexplode("parts").alias("part", "p")).select("code", "name", "part", F.posexplode("p").alias("ring", "r"))
-    return arcs, refs.select("code", "name", "part", "ring", F.posexplode("r").alias("pos", "arc_idx"))
+    refs = g.select("file", "code", "name", F.posexplode("parts").alias("part", "p")).select("file", "code", "name", "part", F.posexplode("p").alias("ring", "r"))
+    return arcs, refs.select("file", "code", "name", "part", "ring", F.posexplode("r").alias("pos", "arc_idx"))
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
