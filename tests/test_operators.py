@@ -129,7 +129,7 @@ def test_images_to_assignments(spark, tmp_path):
     pages = spark.createDataFrame([(2024, 1, html)], "season int, week int, html string")
     none = spark.createDataFrame([], "season int, week int, slot string, color string, game string")
     got = {r["market"]: r for r in maps.build_assignments(manifest, files, polys, pages, none).collect()}
-    assert {m: (r["color"], r["game"], r["status"]) for m, r in got.items()} == {"501": ("red", "Pittsburgh @ NY Jets", "ok"), "502": ("blue", "Miami at Buffalo", "ok")}
+    assert {m: (r["color"], r["game"], r["status"]) for m, r in got.items()} == {"501": ("red", "Pittsburgh @ NY Jets", "ok"), "502": ("blue", "Miami at Buffalo", "ok"), "503": (None, None, "outside_map")}
     assert (got["501"]["away_team"], got["501"]["home_team"], got["501"]["effective_window"], got["501"]["review"]) == ("Pittsburgh", "NY Jets", "LATE", False)
     assert {r["color"] for r in images.dominant_color(files).collect()} <= {"red", "blue"}
 
