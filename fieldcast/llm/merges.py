@@ -23,7 +23,6 @@ class MergeLattice:
         self.ids, self.rank, self.symbols = ids, rank, symbols
         self._last: dict[str, tuple[str, str, float] | None] = {}
         self._spines: tuple[dict[str, list], dict[str, list]] = ({}, {})
-        self._fits: dict[tuple[str, str], bool] = {}
 
     def greedy(self, text: str) -> tuple[list[str], tuple[str, str, float] | None]:
         """Merge the soonest pair, the leftmost of equals, until none is left; the last merge."""
@@ -60,15 +59,6 @@ class MergeLattice:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether merging the two pieces' text ends in exactly these two."""
-        key = (a, b)
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > 600_000:
-                self._fits.clear()
-            known = self._fits[key] = self._compare(a, b)
-        return known
-
-    def _compare(self, a: str, b: str) -> bool:
         try:
             left, right = self._spine(a, 1), self._spine(b, 0)
         except ValueError:

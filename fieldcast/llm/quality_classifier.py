@@ -120,12 +120,12 @@ def fit(buckets: list[np.ndarray], dense: np.ndarray, grades: np.ndarray, n_grad
     """
     n = len(grades)
     flat = np.concatenate(buckets) if buckets else np.zeros(0, np.uint32)
-    row = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
+    row = np.repeat(np.arange(len(buckets), dtype=np.int32), [len(b) for b in buckets])
     docs_with = np.bincount(flat, minlength=BUCKETS)
     away = grades - grades.mean() if n else np.zeros(0)
     lean = np.bincount(flat, away[row], BUCKETS) / np.sqrt(np.maximum(docs_with, 1) * max(away.var() if n else 0, 1e-9))
     used = np.flatnonzero((docs_with >= min_docs) & (np.abs(lean) >= min_lean))
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     col = place[flat]
     row, col = row[col >= 0], col[col >= 0]
