@@ -10,9 +10,10 @@ select by), and, since at a similarity of 0.8 two SimHashes differ in about ten
 that share a band: a pair at 0.8 does with a chance of 99.6 %. Candidates whose sketches agree
 in too few minima go; the others are confirmed by the two whole sets of shingles.
 
-Groups with an equal band are compared in full if small. In a large one all are first compared
-with one member, another for each band; what is then not in the group's largest component is
-compared with every member outside its own component, sketch by sketch in blocks, so only
+In a group with an equal band each text is first compared with one member, another for each
+band: once for its largest group, once for one where it is still apart from that member. What
+is then not in a group's largest component is compared with every member of the group outside
+its own component, sketch by sketch in blocks, so no group's pairs are written out and only
 pairs whose sketches agree leave a task. Nothing is capped.
 """
 
@@ -39,7 +40,6 @@ TRIE_BITS = 3
 #: Equal minima of 70 below which a pair is no candidate: at 0.8 they are 56 with a deviation
 #: of 3.3, so 99.9 % of such pairs have more.
 AGREE = 45
-_SMALL = 32
 _BLOCK = 512
 _CHUNK = 100_000
 _RNG = np.random.default_rng(20)
@@ -174,21 +174,33 @@ class _Links:
             left = left.join(ask, ["a", "b"], "left_anti")
 
 
-def _outsiders(many: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``a``, ``b``, ``agree`` of pairs in large groups (``band``, ``node``) of which one end is
-    not in its group's largest component and the other in another component than the first.
+def _stars(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``a``, ``b``: a text of ``held`` and the first member of one of its groups: of the largest,
+    or, where ``labels`` are known, of any whose first member is in another component still."""
+    order = F.struct("n", F.xxhash64("band"))
+    if labels is not None:
+        for s in ("node", "y"):
+            held = held.join(labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")), s, "left")
+        held = held.filter(F.coalesce("cnode", "node") != F.coalesce("cy", "y"))
+        order = F.xxhash64("band", "node")
+    return held.filter("node <> y").groupBy(F.col("node").alias("a")).agg(F.max_by("y", order).alias("b"))
+
+
+def _outsiders(held: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``a``, ``b``, ``agree`` of pairs in one group (``band``, ``node``) of which one end is not
+    in its group's largest component and the other in another component than the first.
 
     A group is cut into blocks of its members; those outside the largest component go to each
-    of its blocks, in blocks of their own.
+    of its blocks, in blocks of their own. Groups within one component have no pair to compare.
     """
-    many = many.join(nodes.select("node", "minima"), "node")
+    of = held.select("band", "node", F.col("node").alias("comp"))
     if labels is not None:
-        many = many.join(labels, "node", "left")
-    many = materialize(many.select("band", "node", "minima", F.coalesce("component", "node").alias("comp") if labels is not None else F.col("node").alias("comp")))
-    main = many.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.ceil(F.sum("n") / _BLOCK).alias("blocks"))
-    rows = materialize(many.join(materialize(main), "band").withColumn("h", F.xxhash64("node", F.lit(3))).withColumn("outside", F.col("comp") != F.col("main")))
-    out_blocks = rows.filter("outside").groupBy("band").agg(F.ceil(F.count("*") / _BLOCK).alias("others"))
-    rows = rows.join(materialize(out_blocks), "band")  # groups with outsiders only
+        of = held.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+    of = materialize(of)
+    kinds = of.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
+    kinds = kinds.select("band", "main", F.ceil(F.col("n") / _BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / _BLOCK).alias("others"))
+    rows = of.join(materialize(kinds), "band").join(nodes.select("node", "minima"), "node")
+    rows = materialize(rows.withColumn("h", F.xxhash64("node", F.lit(3))).withColumn("outside", F.col("comp") != F.col("main")))
     block, other = F.pmod("h", "blocks"), F.pmod(F.shiftright("h", 20), F.col("others"))
     inside = rows.select("band", block.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("y"), F.lit(0).alias("side"), "node", "comp", "minima")
     outside = rows.filter("outside").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), other.alias("y"), F.lit(1).alias("side"), "node", "comp", "minima")
@@ -207,7 +219,7 @@ def _outsiders(many: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> D
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[k])), pa.array(np.maximum(node[at], node[k])), pa.array(agree[at - lo].astype(np.int32))], names=["a", "b", "agree"])
 
-    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return units.repartition(parts, "unit").sortWithinPartitions("unit", "side", "node").mapInArrow(run, "a long, b long, agree int").distinct()
 
 
@@ -228,17 +240,14 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     held = nodes.select("node", F.explode("bands").alias("band"))
     size = held.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "band")).alias("y")).filter("n > 1")
     held = materialize(held.join(materialize(size), "band"))
-    few = held.filter(F.col("n") <= _SMALL).groupBy("band").agg(F.collect_list("node").alias("s"))
-    few = few.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.lit(_SMALL))).alias("b"))
-    many = held.filter(F.col("n") > _SMALL)
-    pairs = same.unionByName(trie).unionByName(few).unionByName(many.select(F.col("node").alias("a"), F.col("y").alias("b")))
-    pairs = materialize(_agreeing(pairs, nodes))
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
+    pairs = materialize(_agreeing(same.unionByName(trie).unionByName(_stars(held, None)), nodes))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(held.select("node")).distinct()
     texts = materialize(texts_of(asked))
     links = _Links(texts, least)
-    links.add(pairs, 1)
-    if many.take(1):
-        links.add(_outsiders(many.select("band", "node"), nodes, links.labels), 0)
+    links.add(pairs, 0)
+    if held.take(1):
+        links.add(_agreeing(_stars(held, links.labels), nodes), 0)
+        links.add(_outsiders(held, nodes, links.labels), 1)
     release(texts, held)
     return links.labels if links.labels is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 

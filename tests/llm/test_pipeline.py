@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from fieldcast.llm import queries
+import pytest
+from fieldcast.llm import near_text, queries
 
 
 def test_registered():
@@ -77,7 +78,9 @@ def _brute_links(texts):
     return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
-def test_near_dedup_edited_copies(spark):
+@pytest.mark.parametrize("block", [near_text._BLOCK, 4])
+def test_near_dedup_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(near_text, "_BLOCK", block)
     texts = _edited_copies()
     links = _brute_links(texts)
     root = list(range(len(texts)))
