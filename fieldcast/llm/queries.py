@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import html_text, licenses, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
+from . import html_text, licenses, merkle, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", {"n_chars": F.col("n_chars") + 1}, changed)
+
+
 OP10_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text,
