@@ -142,9 +142,63 @@ FROM base LEFT JOIN lost ON base.r = lost.r
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text's bytes, as DuckDB SQL: bits shifted out one by one."""
+    shifted = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    by_byte = f"CASE WHEN b >= 256 THEN b ELSE xor(c // 256, {shifted.replace('xor(c, b)', 'xor(c, b) % 256')}) END"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {by_byte}))"
+
+
+def _encoded(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE leaf AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256({_encoded("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN sha256({_encoded("doc_id", "source", "lang", "(n_chars + 1)", "text")}) ELSE sha256({_encoded("doc_id", "source", "lang", "n_chars", "text")}) END AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+), low(lang, l, pos, n, d) AS (
+  SELECT lang, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, l + 1, pos // 2, (n + 1) // 2, sha256(d || coalesce(d2, ''))
+  FROM (SELECT *, lead(d) OVER (PARTITION BY lang ORDER BY pos) AS d2 FROM low WHERE n > 1) WHERE pos % 2 = 0
+), sub AS (
+  SELECT lang, d, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high(l, pos, n, d) AS (
+  SELECT 0, pos, n, d FROM sub
+  UNION ALL
+  SELECT l + 1, pos // 2, (n + 1) // 2, sha256(d || coalesce(d2, ''))
+  FROM (SELECT *, lead(d) OVER (ORDER BY pos) AS d2 FROM high WHERE n > 1) WHERE pos % 2 = 0
+), step AS (
+  SELECT p.r, 0 AS part, k.l, k.pos % 2 AS side, k.d
+  FROM placed p JOIN (SELECT DISTINCT lang, l FROM low WHERE n > 1) h ON p.lang IS NOT DISTINCT FROM h.lang
+  JOIN low k ON k.lang IS NOT DISTINCT FROM p.lang AND k.l = h.l AND k.pos = xor((p.pos // (1 << h.l))::BIGINT, 1::BIGINT)
+  UNION ALL
+  SELECT p.r, 1, k.l, k.pos % 2, k.d
+  FROM placed p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT DISTINCT l FROM high WHERE n > 1) h ON true
+  JOIN high k ON k.l = h.l AND k.pos = xor((s.pos // (1 << h.l))::BIGINT, 1::BIGINT)
+), lone AS (
+  SELECT p.r, 0 AS part, h.l FROM placed p JOIN (SELECT DISTINCT lang, l FROM low WHERE n > 1) h ON p.lang IS NOT DISTINCT FROM h.lang
+  UNION ALL
+  SELECT p.r, 1, h.l FROM placed p JOIN (SELECT DISTINCT l FROM high WHERE n > 1) h ON true
+), path AS (
+  SELECT lone.r, list(CASE WHEN step.side = 0 THEN 'L' ELSE 'R' END || coalesce(step.d, '') ORDER BY lone.part, lone.l) AS steps
+  FROM lone LEFT JOIN step USING (r, part, l) GROUP BY lone.r
+)
+SELECT doc_id, leaf, sub.d AS subroot, root.d AS root,
+       sha256(coalesce(array_to_string(list_transform(steps, lambda x: x[2:]), ''), '')) AS proof_sha256,
+       list_reduce(list_prepend('R' || claimed, coalesce(steps, [])), lambda a, b: 'R' || CASE WHEN b[1] = 'L' THEN sha256(b[2:] || a[2:]) ELSE sha256(a[2:] || b[2:]) END)[2:] AS folded_root,
+       folded_root = root.d AS verified
+FROM placed LEFT JOIN path USING (r) JOIN sub ON placed.lang IS NOT DISTINCT FROM sub.lang, (SELECT d FROM high WHERE n = 1) AS root
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
