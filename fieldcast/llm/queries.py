@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import html_text, licenses, merkle, packing, quality_classifier, quality_rules, simhash, url_filter, vectors, warc, wfst
+from . import html_text, licenses, merkle, packing, quality_classifier, quality_rules, simhash, spelling, url_filter, vectors, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     docs = _table(spark, sf_dir, "documents")
@@ -143,16 +147,48 @@ FROM base LEFT JOIN lost ON base.r = lost.r
 
 
 def _crc32(text: str) -> str:
-    """CRC-32 of an ASCII text's bytes, as DuckDB SQL: bits shifted out one by one."""
-    shifted = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
-    by_byte = f"CASE WHEN b >= 256 THEN b ELSE xor(c // 256, {shifted.replace('xor(c, b)', 'xor(c, b) % 256')}) END"
-    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {by_byte}))"
+    """CRC-32 of a text's UTF-8 bytes (code points to 255), as DuckDB SQL: bits shifted out one by one."""
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda z: CASE WHEN unicode(z) < 128 THEN [unicode(z)::BIGINT] ELSE [192::BIGINT + unicode(z) // 64, 128::BIGINT + unicode(z) % 64] END))"
+    shifted = "list_reduce([xor(c, b) % 256, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {utf8}), lambda c, b: xor(c // 256, {shifted})))"
 
 
 def _encoded(*columns: str) -> str:
     return " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
 
 
+OP11_SQL = f"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents)
+  GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, n, {_crc32("(coalesce(doc_id::VARCHAR, '') || ':' || w)")} AS h FROM run
+), word AS (
+  SELECT w, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5
+), hole AS (
+  SELECT w, n, i, w[: i - 1] AS a, w[i + 1 :] AS b FROM (SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM word)
+), pair AS (
+  SELECT x.w, x.n, y.w AS v, y.n AS m FROM hole x JOIN hole y ON x.a = y.a AND x.b = y.b WHERE x.w <> y.w
+  UNION
+  SELECT x.w, x.n, y.w, y.n FROM hole x JOIN word y ON x.a || x.b = y.w
+  UNION
+  SELECT y.w, y.n, x.w, x.n FROM hole x JOIN word y ON x.a || x.b = y.w
+), best AS (
+  SELECT w, n, count(*) AS n_near, max(m) AS m FROM pair GROUP BY w, n
+), form AS (
+  SELECT best.w, min(pair.v) AS form, best.m FROM best JOIN pair ON best.w = pair.w AND best.m = pair.m WHERE best.m >= 5 * best.n GROUP BY best.w, best.m
+), walk(w, z, k) AS (
+  SELECT w, w, 0 FROM word
+  UNION ALL
+  SELECT walk.w, form.form, k + 1 FROM walk JOIN form ON walk.z = form.w
+), root AS (SELECT w, arg_max(z, k) AS root FROM walk GROUP BY w)
+SELECT word.w AS word, form.form AS form, root.root AS root, word.n AS n, coalesce(best.n_near, 0)::BIGINT AS n_near, form.m AS form_n
+FROM word LEFT JOIN best ON word.w = best.w LEFT JOIN form ON word.w = form.w JOIN root ON word.w = root.w
+"""
+
 OP12_SQL = f"""
 WITH RECURSIVE leaf AS (
   SELECT row_number() OVER () AS r, doc_id, lang, sha256({_encoded("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
@@ -201,4 +237,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op3_warc": OP3_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
