@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import html_text, licenses, merkle, packing, quality_classifier, quality_rules, simhash, spelling, url_filter, vectors, warc, wfst
+from . import fingerprints, html_text, licenses, merkle, packing, quality_classifier, quality_rules, simhash, spelling, url_filter, vectors, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", {"n_chars": F.col("n_chars") + 1}, changed)
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text,
