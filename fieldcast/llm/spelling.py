@@ -228,14 +228,14 @@ def _near(words: DataFrame, shard_words: int, broadcast_bytes: int) -> list[Data
             room = broadcast_bytes
         turns[-1].append(row["id"])
         room -= row["bytes"]
-    spread = materialize(words.repartition(max(1, 2 * spark.sparkContext.defaultParallelism, total // 50_000)))
+    spread = words.select("word").repartition(max(2 * spark.sparkContext.defaultParallelism, total // 20_000))
     out = []
     for turn in turns:
         held = [(r["labels"], bytes(r["starts"]), bytes(r["counts"])) for r in tries.filter(F.col("id").isin(turn)).collect()]
         shards = spark.sparkContext.broadcast(held)
-        out.append(materialize(spread.select("word").mapInArrow(_search(shards), "word string, n_near long, form_n long, form string")))
+        out.append(materialize(spread.mapInArrow(_search(shards), "word string, n_near long, form_n long, form string")))
         shards.destroy()
-    release(tries, spread)
+    release(tries)
     return out
 
 
