@@ -33,3 +33,8 @@ def sorted_json(values: Column) -> Column:
 def parse_json(text: Column, schema: DataType | str) -> Column:
     """Typed value of JSON text; null if it does not parse."""
     return F.from_json(text, schema)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .collections import let
+
 #: Cuts of the named bands, of the intensity classes, and the model's constants.
 BANDS = [(0.60, "likely"), (0.35, "maybe"), (0.15, "possibly")]
 INTENSITIES = [(0.85, "highest"), (0.60, "high"), (0.35, "medium"), (0.15, "low"), (0.05, "trace")]
@@ -33,15 +35,16 @@ def win_rate(shown: Column, avail: Column, k: float = PRIOR_WEIGHT, prior: float
 
 def game_score(rates: Column, max_weight: float = MAX_WEIGHT) -> Column:
     """Weighted best and mean rate of a game's teams; null for no team."""
-    mean = F.aggregate(rates, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(rates), F.lit(0))
-    return max_weight * F.array_max(rates) + (1 - max_weight) * mean
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x)
+    return let(rates, lambda r: max_weight * F.array_max(r) + (1 - max_weight) * total(r) / F.nullif(F.size(r), F.lit(0)))
 
 
 def softmax(scores: Column, temperature: Column | float) -> Column:
     """Array of exp(t * (s - max)) over their sum."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = F.transform(scores, lambda s: F.exp((s - F.array_max(scores)) * t))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    weights = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp((x - top) * t)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return let(let(scores, weights), lambda e: let(total(e), lambda n: F.transform(e, lambda x: x / n)))
 
 
 def apply_calibration(p: Column, table: list[tuple[float, float]]) -> Column:

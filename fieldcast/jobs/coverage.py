@@ -24,16 +24,23 @@ def game_probabilities(markets: DataFrame, schedule: DataFrame, rates: DataFrame
     return df.withColumn("p", F.when(known, (F.col("_seen") == F.col("game")).cast("double")).otherwise(F.col("p"))).withColumn("confirmed", known).drop("_seen")
 
 
-def resolve_schedule(markets: DataFrame, schedule: DataFrame, actual: DataFrame, rates: DataFrame, keys: list[str], market: str, national: DataFrame | None = None, temperature: float = resolution.TEMPERATURE) -> DataFrame:
-    """What every market sees for every game asked, and who says so."""
-    spark = schedule.sparkSession
-    scored = written(_scored(markets, schedule, rates, keys, market, temperature))
-    asked = scored.select(*keys, market, F.explode(F.transform("ranked", lambda x: x["game"])).alias("game"))
-    certain = scored.filter(F.size("ranked") == 1).select(*keys, F.get("ranked", 0)["game"].alias("game")).distinct()
-    predicted = scored.select(*keys, market, F.get("ranked", 0)["game"].alias("game"), F.get("ranked", 0)["p"].alias("p"))
+def resolve_schedule(markets: DataFrame, schedule: DataFrame, actual: DataFrame, rates: DataFrame, keys: list[str], market: str, national: DataFrame | None = None, calibration: list[tuple[float, float]] | None = None, temperature: float = resolution.TEMPERATURE) -> DataFrame:
+    """What every market sees for every game of the schedule, who says so, and how surely.
+
+    Games in no slot (a null key) depend on no market: those that ``national`` lists are local
+    everywhere, the others have no row.
+    """
+    slotted = schedule.dropna(subset=keys)
     if national is None:
-        national = spark.createDataFrame([], schedule.select(*keys, "game").schema)
-    return resolution.resolve_coverage(asked, [*keys, market], national, actual, certain, predicted)
+        national = schedule.select(*keys, "game").limit(0)
+    scored = _scored(markets, slotted, rates, keys, market, temperature)
+    df = resolution.resolve_coverage(scored, keys, market, national, actual, calibration)
+    outside = national.join(national.dropna(subset=keys).select(*keys, "game"), [*keys, "game"], "left_anti")
+    alone = resolution.score_market_games(markets, outside.select(*keys, F.array("game").alias("games")), market)
+    alone = alone.withColumn("ranked", F.transform("games", lambda g: F.struct(g.alias("game"), F.lit(1.0).alias("p")))).drop("games")
+    none = actual.limit(0)
+    everywhere = resolution.resolve_coverage(alone, keys, market, outside.limit(0), none)
+    return df.unionByName(everywhere.withColumn("source", F.lit("national")).withColumn("own_p", F.lit(1.0)))
 
 
 def coverage_rollup(markets: DataFrame, schedule: DataFrame, rates: DataFrame, keys: list[str], market: str, actual: DataFrame, margin: float = resolution.MARGIN) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import MAX_WEIGHT, PRIOR, PRIOR_WEIGHT, game_score, softmax, win_rate
 from ..functions.text import game_teams
+from .resolution import attach_rates, rates_of
 
 #: Temperatures tried, and the floor of probabilities in the log loss.
 GRID = [2, 4, 6, 8, 10, 12, 15, 20, 25, 30, 40]
@@ -49,15 +50,15 @@ def fold_rates(counts: DataFrame, weights: DataFrame, market: str, k: float = PR
 def decisions(rows: DataFrame, rates: DataFrame, map_keys: list[str], market: str, fold: str = "season", game: str = "game", prior: float = PRIOR, max_weight: float = MAX_WEIGHT) -> DataFrame:
     """Per row of a test season: its game and the array of (game, score) it chose from.
 
-    Maps with one game are no decision. Games keep the order of their name.
+    Maps with one game are no decision. Games keep the order of their name. A row meets its
+    map's games and its market's rates as one array and one map, so no game is ever a row.
     """
     maps = [*dict.fromkeys([fold, *map_keys])]
     games = rows.select(*maps, game).distinct().groupBy(*maps).agg(F.sort_array(F.collect_set(game)).alias("_games")).filter(F.size("_games") > 1)
     asked = rows.select(*maps, market, F.col(game).alias("truth")).join(games, maps)
-    flat = asked.withColumn("_g", F.explode("_games")).withColumn("team", F.explode(game_teams(F.col("_g"))))
-    got = flat.join(rates.select(F.col("fold").alias(fold), market, "team", "rate"), [fold, market, "team"], "left")
-    per = got.groupBy(*maps, market, "truth", "_g").agg(game_score(F.collect_list(F.coalesce("rate", F.lit(prior))), max_weight).alias("_s"))
-    return per.groupBy(*maps, market, "truth").agg(F.array_sort(F.collect_list(F.struct(F.col("_g").alias("game"), F.col("_s").alias("score")))).alias("options"))
+    asked = attach_rates(asked, rates.withColumnRenamed("fold", fold), market, (fold,))
+    score = lambda g: game_score(rates_of(g, F.col("rates"), prior), max_weight)
+    return asked.select(*maps, market, "truth", F.transform("_games", lambda g: F.struct(g.alias("game"), score(g).alias("score"))).alias("options"))
 
 
 def predictions(dec: DataFrame, temperature: Column | float) -> DataFrame:

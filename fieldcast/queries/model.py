@@ -182,15 +182,21 @@ _CONFIDENCE = "CASE " + " ".join(f"WHEN p <= {u} THEN {v}" for u, v in CAL[:-1])
 _BAND = "CASE WHEN p >= 0.6 THEN 'likely' WHEN p >= 0.35 THEN 'maybe' WHEN p >= 0.15 THEN 'possibly' ELSE 'unlikely' END"
 
 
+_CELL = "season, week, slot, market"
+_LEAD = f"lead AS (SELECT {_CELL}, max(CASE WHEN r = 1 THEN game END) AS leader, max(CASE WHEN r = 1 THEN p END) AS best, coalesce(string_agg(game, '|' ORDER BY r) FILTER (WHERE r IN (2, 3)), '') AS alternatives, max(CASE WHEN r = 2 THEN p END) AS next_p, count(*) AS n FROM rk GROUP BY {_CELL})"
+
+
 @query(
-    f"""WITH {GRIDDED}, nxt AS (SELECT season, week, slot, market, string_agg(game, '|' ORDER BY r) AS alternatives FROM rk WHERE r IN (2, 3) GROUP BY season, week, slot, market)
-    SELECT season, week, slot, market, game AS leader, {_CONFIDENCE} AS confidence, round(p, 6) AS p, {_BAND} AS band, coalesce(alternatives, '') AS alternatives
-    FROM rk LEFT JOIN nxt USING (season, week, slot, market) WHERE r = 1"""
+    f"""WITH {GRIDDED}, {_LEAD}
+    SELECT {_CELL}, game, leader, {_CONFIDENCE.replace("p <=", "best <=")} AS confidence, round(p, 6) AS own_p, {_BAND} AS band, alternatives, round(next_p, 6) AS next_p
+    FROM rk JOIN lead USING ({_CELL})"""
 )
 def a25_leader(spark, sf_dir):
+    """For every game of every market and slot: the leader, and the game's own probability."""
     _, _, scored = _scored(spark, sf_dir)
     df = resolution.leader_and_alternatives(scored, CAL)
-    return df.select(*M, "market", "leader", "confidence", F.round("p", 6).alias("p"), "band", F.array_join("alternatives", "|").alias("alternatives"))
+    names = F.array_join(F.transform("alternatives", lambda x: x["game"]), "|")
+    return df.select(*M, "market", "game", "leader", "confidence", F.round("own_p", 6).alias("own_p"), "band", names.alias("alternatives"), F.round(F.get("alternatives", 0)["p"], 6).alias("next_p"))
 
 
 @query(f"WITH {GRIDDED} SELECT season, week, slot, market, round(max(CASE WHEN r = 1 THEN p END) - coalesce(max(CASE WHEN r = 2 THEN p END), 0), 6) AS margin FROM rk GROUP BY season, week, slot, market")
@@ -221,20 +227,30 @@ def a20_tossup_count(spark, sf_dir):
 
 
 @query(
-    f"""WITH {GRIDDED}, national AS (SELECT season, week, slot, min(game) AS game FROM sched WHERE week = 1 GROUP BY ALL),
-    certain AS (SELECT season, week, slot, min(game) AS game FROM sched GROUP BY ALL HAVING count(*) = 1),
-    told AS (SELECT pp.season, pp.week, pp.slot, pp.market, pp.game, CASE WHEN n.game IS NOT NULL THEN 'national' WHEN a.seen IS NOT NULL THEN 'actual' WHEN c.game IS NOT NULL THEN 'certain' ELSE 'predicted' END AS source,
-      coalesce(n.game, a.seen, c.game, t.game) AS seen, t.p
-      FROM pp JOIN rk t ON t.r = 1 AND t.season = pp.season AND t.week = pp.week AND t.slot = pp.slot AND t.market = pp.market
-      LEFT JOIN national n ON n.season = pp.season AND n.week = pp.week AND n.slot = pp.slot LEFT JOIN certain c ON c.season = pp.season AND c.week = pp.week AND c.slot = pp.slot
-      LEFT JOIN actual a ON a.season = pp.season AND a.week = pp.week AND a.slot = pp.slot AND a.market = pp.market)
-    SELECT season, week, slot, market, game, source, seen, seen = game AS local, CASE WHEN source = 'predicted' THEN {_BAND} END AS band FROM told"""
+    f"""WITH {GRIDDED}, {_LEAD}, national AS (SELECT season, week, slot, min(game) AS game FROM sched WHERE week = 1 GROUP BY ALL),
+    known AS (SELECT {_CELL}, game || CASE WHEN market % 2 = 0 THEN ' (LATE)' ELSE '' END AS seen, CASE WHEN review THEN confidence END AS sure FROM src WHERE NOT review OR market % 3 = 0),
+    told AS (SELECT {_CELL}, rk.game, p, leader, best, alternatives, n.game IS NOT NULL AS is_national, k.seen, k.sure,
+      CASE WHEN n.game IS NOT NULL THEN 'national' WHEN k.seen IS NOT NULL THEN 'actual' WHEN lead.n = 1 THEN 'certain' ELSE 'predicted' END AS source
+      FROM rk JOIN lead USING ({_CELL}) LEFT JOIN known k USING ({_CELL}) LEFT JOIN national n ON n.season = rk.season AND n.week = rk.week AND n.slot = rk.slot AND n.game = rk.game),
+    local AS (SELECT * EXCLUDE (seen), CASE source WHEN 'national' THEN game WHEN 'actual' THEN seen ELSE leader END AS seen FROM told),
+    banded AS (SELECT *, regexp_replace(seen, '[ ]*[(](LATE|EARLY)[)][ ]*$', '') = game AS local, CASE source WHEN 'actual' THEN sure IS NULL WHEN 'predicted' THEN best >= 0.6 ELSE true END AS confident FROM local),
+    final AS (SELECT *, CASE WHEN source = 'predicted' THEN {_BAND} WHEN NOT local THEN 'unlikely' WHEN confident THEN 'certain' ELSE 'maybe' END AS band FROM banded)
+    SELECT {_CELL}, game, source, seen, local, band, NOT local AND band IN ('maybe', 'possibly') AS possibly_local, confident,
+      round(CASE source WHEN 'actual' THEN coalesce(sure, 1.0) WHEN 'predicted' THEN {_CONFIDENCE.replace("p <=", "best <=")} ELSE 1.0 END, 6) AS confidence,
+      round(CASE source WHEN 'predicted' THEN p WHEN 'national' THEN 1.0 END, 6) AS own_p, CASE WHEN source = 'predicted' THEN alternatives ELSE '' END AS alternatives FROM final"""
 )
 def j9_c4_resolve_schedule(spark, sf_dir):
-    """The first week's slots are shown nationally; elsewhere what is known, certain or predicted."""
-    src, sched, rates, actual = _grid(spark, sf_dir)
+    """The first game of the first week's slots is shown nationally; elsewhere what is known
+    (with a marker in every second market, uncertain where it is under review), certain or
+    predicted."""
+    src, sched, rates, _ = _grid(spark, sf_dir)
     national = sched.filter("week = 1").groupBy(*M).agg(F.min("game").alias("game"))
-    return coverage.resolve_schedule(src, sched, actual, rates, M, "market", national)
+    known = src.filter(~F.col("review") | (F.col("market") % 3 == 0))
+    marked = F.concat("game", F.when(F.col("market") % 2 == 0, " (LATE)").otherwise(""))
+    known = known.select(*M, "market", marked.alias("game"), F.when(F.col("review"), F.col("confidence")).alias("confidence"))
+    df = coverage.resolve_schedule(src, sched, known, rates, M, "market", national, CAL)
+    names = F.array_join(F.transform("alternatives", lambda x: x["game"]), "|")
+    return df.withColumns({"confidence": F.round("confidence", 6), "own_p": F.round("own_p", 6), "alternatives": names})
 
 
 @query(
