@@ -80,15 +80,14 @@ def f28_frame_status(spark, sf_dir):
 
 KICK = cte("kickoffs")
 _TIME = "CASE WHEN h = 23 THEN 'TBD' ELSE ((h + 11) % 12 + 1) || ':' || lpad(mi::VARCHAR, 2, '0') || CASE WHEN h < 12 THEN ' AM' ELSE ' PM' END END"
-ZONES = ["America/New_York", "America/Chicago", "America/Denver", "America/Phoenix", "America/Los_Angeles"]
-_ZONE = "CASE zone_no WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'America/Chicago' WHEN 2 THEN 'America/Denver' WHEN 3 THEN 'America/Phoenix' ELSE 'America/Los_Angeles' END"
+_ZONE = "CASE WHEN zone_no < 34 THEN [" + ", ".join(f"'{z}'" for z in time.ZONES) + "][zone_no + 1] END"
 
 
 def _kick(spark, sf_dir):
     k = view(spark, sf_dir, "kickoffs")
     h = F.col("h")
     text = F.concat(((h + 11) % 12 + 1).cast("string"), F.lit(":"), F.lpad(F.col("mi").cast("string"), 2, "0"), F.when(h < 12, " AM").otherwise(" PM"))
-    return k.withColumn("time", F.when(h == 23, "TBD").otherwise(text)).withColumn("zone", F.get(F.array(*map(F.lit, ZONES)), F.col("zone_no")))
+    return k.withColumn("time", F.when(h == 23, "TBD").otherwise(text)).withColumn("zone", F.get(F.array(*map(F.lit, time.ZONES)), F.col("zone_no")))
 
 
 @query(f"WITH {KICK} SELECT id, CASE WHEN h = 23 THEN NULL ELSE h * 60 + mi END AS minutes FROM kickoffs")
@@ -96,26 +95,47 @@ def f11_parse_et_time(spark, sf_dir):
     return _kick(spark, sf_dir).select("id", time.parse_et_time(F.col("time")).alias("minutes"))
 
 
-_INSTANT = f"k AS (SELECT *, {_ZONE} AS zone, CASE WHEN h < 23 THEN timezone('UTC', timezone('America/New_York', day + to_minutes(h * 60 + mi))) END AS t FROM kickoffs)"
+# of a wall clock that comes twice, the earlier instant counts
+_INSTANT = f"""k0 AS (SELECT *, {_ZONE} AS zone, day + to_minutes(h * 60 + mi) AS wall FROM kickoffs),
+k1 AS (SELECT *, timezone('America/New_York', wall) AS u FROM k0),
+k AS (SELECT *, CASE WHEN h < 23 THEN timezone('UTC', CASE WHEN timezone('America/New_York', u - INTERVAL 1 HOUR) = wall THEN u - INTERVAL 1 HOUR ELSE u END) END AS t FROM k1)"""
 
 
 @query(f"WITH {KICK}, {_INSTANT} SELECT id, t AS instant FROM k")
 def f12_et_instant(spark, sf_dir):
-    return _kick(spark, sf_dir).select("id", time.et_instant(F.col("day"), F.col("time")).alias("instant"))
-
-
-@query(f"WITH {KICK}, {_INSTANT}, l AS (SELECT id, timezone(zone, timezone('UTC', t)) AS there, timezone('America/New_York', timezone('UTC', t)) AS home FROM k) SELECT id, strftime(there, '%-I:%M %p') AS time, strftime(there, '%Y-%m-%d') AS day, CAST(there AS DATE) <> CAST(home AS DATE) AS shifted FROM l")
+    """From the table of clocks; the column function must agree."""
+    k = _kick(spark, sf_dir).withColumn("wall", time.wall_clock(F.col("day"), time.parse_et_time(F.col("time"))))
+    k = time.to_instants(k, "wall", F.lit(time.HOME_ZONE), time.zone_rules(spark)).withColumn("alone", time.et_instant(F.col("day"), F.col("time")))
+    same = F.col("instant").eqNullSafe(F.col("alone"))
+    return k.select("id", F.when(same, F.col("instant")).otherwise(F.raise_error(F.lit("instants differ")).cast("timestamp_ntz")).alias("instant"))
+
+
+# standard time is the lesser offset of January and July of a year; in three zones it changed within one
+_MOVES = [("America/North_Dakota/Center", "1992-10-25 08:00", -360), ("America/Ojinaga", "1998-04-05 09:00", -420), ("America/Kentucky/Monticello", "2000-10-29 07:00", -300)]
+_MOVED = " ".join(f"WHEN zone = '{z}' AND year(t) = {at[:4]} AND t >= TIMESTAMP '{at}' THEN {m}" for z, at, m in _MOVES)
+_NAMED = f"""z AS (SELECT *, date_diff('minute', t, timezone(coalesce(zone, 'America/New_York'), timezone('UTC', t))) AS m,
+  CASE {_MOVED} ELSE least(date_diff('minute', make_timestamp(year(t), 1, 15, 12, 0, 0.0), timezone(coalesce(zone, 'America/New_York'), timezone('UTC', make_timestamp(year(t), 1, 15, 12, 0, 0.0)))),
+        date_diff('minute', make_timestamp(year(t), 7, 15, 12, 0, 0.0), timezone(coalesce(zone, 'America/New_York'), timezone('UTC', make_timestamp(year(t), 7, 15, 12, 0, 0.0))))) END AS std FROM k),
+n AS (SELECT *, CASE std WHEN -240 THEN 'A' WHEN -300 THEN 'E' WHEN -360 THEN 'C' WHEN -420 THEN 'M' WHEN -480 THEN 'P' WHEN -540 THEN 'AK' WHEN -600 THEN 'H' END || CASE WHEN m > std THEN 'DT' ELSE 'ST' END AS abbr FROM z)"""
+
+
+@query(
+    f"""WITH {KICK}, {_INSTANT}, {_NAMED}, l AS (SELECT *, {_TIME} AS text, zone IS NOT NULL AND t IS NOT NULL AS told, timezone(coalesce(zone, 'America/New_York'), timezone('UTC', t)) AS there FROM n)
+    SELECT id, CASE WHEN told THEN strftime(there, '%-I:%M %p') ELSE text END AS time, coalesce(abbr, '') AS abbr, rtrim(CASE WHEN told THEN strftime(there, '%-I:%M %p') ELSE text END || ' ' || coalesce(abbr, '')) AS label,
+      CASE WHEN told THEN strftime(there, '%Y-%m-%d') ELSE strftime(day, '%Y-%m-%d') END AS day, CASE WHEN told THEN CAST(there AS DATE) <> day ELSE false END AS shifted, NOT told OR zone = 'America/New_York' AS at_home FROM l"""
+)
 def f13_c12_local_clock(spark, sf_dir):
+    """All 34 zones, and viewers without one; the hours of both changes and TBD are kept."""
     from ..jobs.kickoffs import kickoff_localised
 
     df = kickoff_localised(_kick(spark, sf_dir), "day", "time", "zone")
-    return df.select("id", F.col("local_time").alias("time"), F.date_format("local_date", "yyyy-MM-dd").alias("day"), "shifted")
+    return df.select("id", F.col("local_time").alias("time"), F.col("zone_abbr").alias("abbr"), "label", F.date_format("local_date", "yyyy-MM-dd").alias("day"), "shifted", "at_home")
 
 
-@query(f"WITH {KICK}, {_INSTANT}, o AS (SELECT id, zone, date_diff('minute', t, timezone(zone, timezone('UTC', t))) AS m FROM k WHERE t IS NOT NULL) SELECT id, CASE WHEN zone = 'America/Phoenix' THEN 'MST' ELSE CASE zone WHEN 'America/New_York' THEN 'E' WHEN 'America/Chicago' THEN 'C' WHEN 'America/Denver' THEN 'M' ELSE 'P' END || CASE WHEN m = CASE zone WHEN 'America/New_York' THEN -240 WHEN 'America/Chicago' THEN -300 WHEN 'America/Denver' THEN -360 ELSE -420 END THEN 'DT' ELSE 'ST' END END AS abbr FROM o")
+@query(f"WITH {KICK}, {_INSTANT}, {_NAMED} SELECT id, zone, CASE WHEN zone IS NOT NULL THEN abbr END AS abbr FROM n")
 def f14_zone_abbr(spark, sf_dir):
-    k = _kick(spark, sf_dir).withColumn("t", time.et_instant(F.col("day"), F.col("time"))).filter("t is not null")
-    return time.zone_abbr(k, "t", "zone").select("id", F.col("zone_abbr").alias("abbr"))
+    k = _kick(spark, sf_dir).withColumn("t", time.et_instant(F.col("day"), F.col("time")))
+    return time.zone_abbr(k, "t", "zone").select("id", "zone", F.col("zone_abbr").alias("abbr"))
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS INT) AS season, dayofweek(o_orderdate) = 0 AS sunday FROM orders")

@@ -38,7 +38,7 @@ VIEWS = {
                CASE WHEN CAST(floor(c_custkey / 100) AS INT) % 2 = 0 THEN 'ZONE' ELSE c_mktsegment END AS zone
         FROM {customer}""",
     "kickoffs": """
-        SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 24 AS INT) AS h, CAST(o_orderkey % 60 AS INT) AS mi, CAST(o_custkey % 5 AS INT) AS zone_no,
+        SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 24 AS INT) AS h, CAST(o_orderkey % 60 AS INT) AS mi, CAST(o_custkey % 35 AS INT) AS zone_no,
                CASE WHEN o_custkey % 2 = 0 THEN 'CBS' ELSE 'FOX' END AS network FROM {orders}""",
 }
 

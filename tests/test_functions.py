@@ -60,6 +60,38 @@ def test_time(spark):
     assert {r["z"]: r["zone_abbr"] for r in time.zone_abbr(names, "t", "z").collect()} == {"America/Phoenix": "MST", "America/New_York": "EDT", "America/Puerto_Rico": "AST", "Europe/Paris": "GMT+2"}
 
 
+def test_every_wall_clock_has_one_period(spark):
+    """Through a year and more of five zones, minute steps at the changes: instants and wall
+    clocks each lie in one period, and equal the zone database's."""
+    from zoneinfo import ZoneInfo
+
+    zones = ["America/New_York", "America/Phoenix", "America/Adak", "America/Indiana/Knox", "America/Winnipeg"]
+    rules = time.zone_rules(spark, tuple(zones), 2005, 2007)
+    walls = spark.range(0, 2 * 366 * 24 * 2).selectExpr("timestamp_ntz'2005-12-30 00:15:00' + id * interval 30 minutes AS w")
+    df = walls.join(rules.select("zone").distinct()).cache()
+    df = time.in_zones(time.to_instants(df, "w", F.col("zone"), rules), "instant", F.col("zone"), rules)
+    rows = df.filter("year(w) < 2008 and year(instant) < 2008").collect()
+    assert len(rows) == df.filter("year(w) < 2008 and year(instant) < 2008").select("w", "zone").distinct().count()
+    for r in rows:
+        at = r.w.replace(tzinfo=ZoneInfo(r.zone))
+        utc = at.astimezone(dt.timezone.utc)
+        assert r.instant == utc.replace(tzinfo=None), (r.zone, r.w)
+        there = utc.astimezone(ZoneInfo(r.zone))
+        assert (r.there, r.zone_abbr) == (there.replace(tzinfo=None), there.tzname()), (r.zone, r.w)
+
+
+def test_kickoffs_in_words(spark):
+    from fieldcast.jobs.kickoffs import kickoff_localised
+
+    rows = [(dt.date(2026, 9, 13), "8:20 PM", "America/Los_Angeles"), (dt.date(2026, 9, 13), "11:30 PM", "America/Juneau"), (dt.date(2026, 1, 4), "TBD", "America/Boise"), (dt.date(2026, 9, 13), "1:00 PM", None), (dt.date(2026, 9, 13), "12:30 AM", "America/Indiana/Knox")]
+    got = [tuple(r)[4:] for r in kickoff_localised(spark.createDataFrame(rows, "day date, text string, zone string").coalesce(1), "day", "text", "zone").collect()]
+    assert got[0] == ("5:20 PM", "PDT", "5:20 PM PDT", dt.date(2026, 9, 13), False, False)
+    assert got[1] == ("7:30 PM", "AKDT", "7:30 PM AKDT", dt.date(2026, 9, 13), False, False)
+    assert got[2] == ("TBD", "", "TBD", dt.date(2026, 1, 4), False, True)
+    assert got[3] == ("1:00 PM", "EDT", "1:00 PM EDT", dt.date(2026, 9, 13), False, True)
+    assert got[4] == ("11:30 PM", "CDT", "11:30 PM CDT", dt.date(2026, 9, 12), True, False)
+
+
 def test_numbers(spark):
     for p, want in ((0.60, "likely"), (0.35, "maybe"), (0.15, "possibly"), (0.149, "unlikely")):
         assert one(spark, numeric.band(F.col("p")), p=p) == want
