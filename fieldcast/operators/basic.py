@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
+from .ordering import number_rows
 
 #: A lookup table is broadcast only up to so many rows; beyond, Spark joins by shuffling.
 BROADCAST_ROWS = 100_000
@@ -67,24 +68,20 @@ def final_order(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def final_places(df: DataFrame, keys: list[str], name: str = "place") -> DataFrame:
+    """Add each row's place in the final order, from 1; equal keys in the order of the input."""
+    return number_rows(df, [], [F.asc(k) for k in keys], name=name)
+
+
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; ``order`` should end in a unique column."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def intern_values(a: DataFrame, b: DataFrame, column: str, prefix: int = 3) -> DataFrame:
-    """Distinct values of both tables, sorted and numbered from 0.
-
-    Ranks are counted within each ``prefix`` of the value's text, and prefixes are numbered
-    by a running count over their small table, so the values are never sorted in one task.
-    """
+def intern_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Distinct values of both tables, sorted and numbered from 0, over any number of tasks."""
     values = a.select(column).unionByName(b.select(column)).filter(F.col(column).isNotNull()).distinct()
-    values = values.withColumn("_p", F.substring(F.col(column).cast("string"), 1, prefix))
-    heads = values.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(column))
-    return values.withColumn("_r", within).join(heads, "_p").select(column, (F.col("_base") + F.col("_r") - 1).alias("idx"))
+    return number_rows(values, [], [F.asc(column)], name="idx", first=0)
 
 
 def overlay(defaults: DataFrame, live: DataFrame, key: str, value: str) -> DataFrame:
@@ -101,7 +98,7 @@ def append_batches(*frames: DataFrame) -> DataFrame:
 
 
 def ordered_concat_except(first: Column, rest: Column) -> Column:
-    """The first array's elements, then those of the second that are not among them."""
+    """The first array's elements, then those of the second that are not among them, each once."""
     return F.array_distinct(F.concat(first, F.array_except(rest, first)))
 
 

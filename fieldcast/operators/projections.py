@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import number_rows
+
 #: Reserved players of a position for each team and week, and the cap.
 MIN_DEPTH = {"QB": 2, "RB": 3, "WR": 4, "TE": 2, "K": 1, "DEF": 1}
 CAP = 16
@@ -13,18 +15,11 @@ CAP = 16
 def position_rank(df: DataFrame, keys: list[str], position: str, points: str, ord_cols: list[str]) -> DataFrame:
     """Add ``rank`` (1.. by points, ties in feed order) and its label, like ``WR4``.
 
-    Few and large groups are cut into bands of points first: a band's rows are numbered
-    alone and start where the better bands end, so no group is sorted in one task.
+    Groups are few and large, and many rows have no points: they are numbered across ranges of
+    the whole order, so neither a group nor a value is sorted in one task.
     """
-    band = F.floor(F.coalesce(F.col(points), F.lit(0.0)))
-    df = df.withColumn("_band", band)
-    n = df.groupBy(*keys, position, "_band").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy(*keys, position).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.select(*keys, position, "_band", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*keys, position, "_band").orderBy(F.desc(points), *ord_cols)
-    df = df.withColumn("_r", F.row_number().over(within)).join(n, [*keys, position, "_band"])
-    rank = (F.col("_base") + F.col("_r")).cast("long")
-    return df.withColumn("rank", rank).withColumn("position_rank", F.concat(F.col(position), F.col("rank").cast("string"))).drop("_band", "_r", "_base")
+    df = number_rows(df, [*keys, position], [F.desc(points), *[F.col(c) for c in ord_cols]], name="rank")
+    return df.withColumn("rank", F.col("rank").cast("long")).withColumn("position_rank", F.concat(F.col(position), F.col("rank").cast("string")))
 
 
 def drop_zero(df: DataFrame, column: str) -> DataFrame:

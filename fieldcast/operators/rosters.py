@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.collections import first_present
-from .basic import small
+from ..functions.collections import first_present, let
+from .basic import top_k_per_group
+from .cuts import written
 from .snapshots import best_row
 
-#: Starting slots in their order (bench slots follow), and who may fill FLEX.
-SLOTS = [("QB", "QB"), ("RB1", "RB"), ("RB2", "RB"), ("WR1", "WR"), ("WR2", "WR"), ("TE", "TE"), ("FLEX", None), ("K", "K"), ("DEF", "DEF")]
-FLEX = ("RB", "WR", "TE")
+#: Starting slots in their order with the positions that may fill them; bench slots follow.
+SLOTS = [
+    ("QB", ["QB"]), ("RB1", ["RB"]), ("RB2", ["RB"]), ("WR1", ["WR"]), ("WR2", ["WR"]), ("TE", ["TE"]),
+    ("FLEX", ["RB", "WR", "TE"]), ("K", ["K"]), ("DEF", ["DEF"]),
+]
 BENCH = 6
+#: Length of the substrings that names are indexed by.
+GRAM = 3
 
 
 def roster_week(projections: DataFrame, roster: DataFrame, week: int, key: str = "name_key") -> DataFrame:
@@ -52,55 +57,143 @@ def rosters_with_owner(rosters: DataFrame, users: DataFrame) -> DataFrame:
     return df.select("roster_id", "owner_id", name.alias("name"), clean("starters").alias("starters"), clean("players").alias("players"))
 
 
+def grams(text: Column, size: Column | int) -> Column:
+    """Distinct substrings of ``size`` characters; empty for shorter texts."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    made = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+    return F.when(F.length(text) >= size, made).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(keys: DataFrame, key: str = "name_key") -> DataFrame:
+    """(gram, key): every key under each of its substrings of one to ``GRAM`` characters.
+
+    Written once; a key has at most ``GRAM`` times its length rows.
+    """
+    names = keys.select(key).filter(F.length(key) > 0).distinct()
+    every = F.flatten(F.array(*[grams(F.col(key), n) for n in range(1, GRAM + 1)]))
+    return written(names.select(F.explode(every).alias("gram"), key))
+
+
+def gram_counts(index: DataFrame, key: str = "name_key") -> DataFrame:
+    """(gram, n, only): how many keys hold a gram, and the least of them."""
+    return index.groupBy("gram").agg(F.count("*").alias("n"), F.min(key).alias("only"))
+
+
+def containing(queries: DataFrame, index: DataFrame, counts: DataFrame, key: str = "name_key") -> DataFrame:
+    """(query, key): keys that contain the query's text.
+
+    A query reads the keys of its rarest gram alone, so how its text begins does not matter; one
+    with a gram that no key holds reads none. Queries of fewer characters are grams themselves.
+    """
+    q = queries.select("query").filter("query <> ''").distinct()
+    parts = q.withColumn("gram", F.explode(grams(F.col("query"), F.least(F.length("query"), F.lit(GRAM)))))
+    weighed = parts.join(counts.select("gram", "n"), "gram", "left")
+    rarest = weighed.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
+    pairs = rarest.select("query", F.col("least.gram").alias("gram")).join(index, "gram")
+    return pairs.filter(F.contains(F.col(key), F.col("query"))).select("query", key)
+
+
 def resolve_name(queries: DataFrame, index: DataFrame) -> DataFrame:
     """``query`` key -> ``name_key`` found: the same key, else the only key that contains it.
 
-    The substring search runs on what has no equal key. Each key's substrings of three
-    characters are the join key of a query's first three, so it is no cross join; queries of
-    fewer characters are compared with every key of the index if that is small.
+    What has no equal key is looked up in the gram index: short queries are answered by the
+    counts, longer ones compare the keys of their rarest gram. Empty queries find nothing.
     """
     q = queries.select("query").filter("query <> ''").distinct()
     keys = index.select("name_key").distinct()
     exact = q.join(keys, q["query"] == keys["name_key"]).select("query", "name_key")
     rest = q.join(exact.select("query"), "query", "left_anti")
-    grams = keys.filter(F.length("name_key") >= 3).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name_key") - 2), lambda i: F.substring(F.col("name_key"), i, F.lit(3))))))
-    long = rest.filter(F.length("query") >= 3).withColumn("g", F.substring("query", 1, 3)).join(grams, "g").filter(F.contains("name_key", "query"))
-    short = rest.filter(F.length("query") < 3).join(small(keys), F.contains("name_key", "query"))
-    hits = long.select("query", "name_key").unionByName(short.select("query", "name_key"))
+    held = gram_index(keys)
+    counts = written(gram_counts(held))
+    short = rest.filter(F.length("query") <= GRAM).join(counts.filter("n = 1"), F.col("query") == F.col("gram")).select("query", F.col("only").alias("name_key"))
+    hits = containing(rest.filter(F.length("query") > GRAM), held, counts)
     one = hits.groupBy("query").agg(F.count("*").alias("n"), F.min("name_key").alias("name_key")).filter("n = 1").select("query", "name_key")
-    return exact.unionByName(one)
-
-
-def suggest(pool: DataFrame, prefix: str, rostered: DataFrame, k: int = 6) -> DataFrame:
-    """The ``k`` best names: those that start with the key, then those that contain it."""
-    free = pool.join(rostered.select("name_key").distinct(), "name_key", "left_anti").filter(F.col("name_key").contains(prefix))
-    starts = F.col("name_key").startswith(prefix)
-    return free.orderBy(starts.desc(), F.desc("points"), "name_key").limit(k)
+    return exact.unionByName(short).unionByName(one)
 
 
-def candidates_for(pool: DataFrame, positions: list[str], contains: str, placed: DataFrame, week: int, k: int) -> DataFrame:
-    """Players who may fill a slot: eligible, not placed elsewhere, named like the query;
-    best by that week's points (0 if none)."""
-    free = pool.filter(F.col("position").isin(*positions) & F.col("name_key").contains(contains)).join(placed.select("name_key").distinct(), "name_key", "left_anti")
-    return free.withColumn("points", F.coalesce(F.when(F.col("week") == week, F.col("points")), F.lit(0.0))).orderBy(F.desc("points"), "name_key").limit(k)
+def suggest(queries: DataFrame, pool: DataFrame, rostered: DataFrame, k: int = 6) -> DataFrame:
+    """For each ``query`` the ``k`` best free names with ``rank``: those that start with it, then
+    those that contain it, each by points.
 
-
-def auto_assign(players: DataFrame, roster: str = "roster_id", bench: int = BENCH) -> DataFrame:
-    """Fill the slots of every roster, best points first (ties by ``ord``).
-
-    Starters are ranks within their position; FLEX takes the best remaining RB, WR or TE;
-    the bench takes the rest in order. A roster is a bounded group.
+    ``pool``: name_key (unique), points. Each task keeps the best ``k`` of a query before they
+    meet, however many names a short query hits.
+    """
+    free = pool.join(rostered.select("name_key").distinct(), "name_key", "left_anti")
+    index = gram_index(free)
+    hits = containing(queries, index, written(gram_counts(index))).join(free, "name_key")
+    order = [F.desc(F.startswith("name_key", "query")), F.desc("points"), F.col("name_key")]
+    return top_k_per_group(hits, ["query"], order, k)
+
+
+def candidates_for(asks: DataFrame, pool: DataFrame, entries: DataFrame, placed: DataFrame, slots: list[tuple[str, list[str] | None]], k: int) -> DataFrame:
+    """Players who may fill a slot, the ``k`` best of each ask with ``rank``: eligible by
+    position, not placed in another slot of the roster, named like the query; by the points of
+    the asked week (0 without an entry), then name.
+
+    ``asks``: ask (unique), roster, slot, query ('' asks for all), week; ``pool``: name_key
+    (unique), position; ``entries``: name_key, week, points, ord (the first row of a week
+    counts); ``placed``: roster, slot, name_key. An ask without a query needs no more than the
+    best of its positions and week, as many as ``k`` and a roster's players: longer lists are
+    never joined.
+    """
+    table = F.array(*[F.struct(F.lit(i).alias("id"), (F.array(*map(F.lit, p)) if p is not None else F.lit(None).cast("array<string>")).alias("positions")) for i, p in slots])
+    slot = F.get(F.filter(table, lambda x: x["id"] == F.col("slot")), F.lit(0))
+    asks = asks.withColumn("_slot", slot).filter("_slot is not null").withColumn("_positions", F.col("_slot.positions")).drop("_slot")
+    pool, entries = pool.select("name_key", "position"), entries.select("name_key", "week", "points", "ord")
+    index = gram_index(pool)
+    named = asks.filter("query <> ''").join(containing(asks, index, written(gram_counts(index))), "query").join(pool, "name_key")
+    named = named.filter(F.col("_positions").isNull() | F.array_contains("_positions", F.col("position")))
+    points = week_entry(named.select("name_key", "week").distinct(), entries).select("name_key", "week", F.coalesce("points", F.lit(0.0)).alias("points"))
+    named = named.join(points, ["name_key", "week"])
+
+    most = k + (placed.groupBy("roster").count().agg(F.max("count")).first()[0] or 0)
+    weeks = asks.filter("query = ''").select("week").distinct()
+    every = week_entry(pool.select("name_key").join(F.broadcast(weeks)), entries).join(pool.select("name_key", "position"), "name_key")  # weeks of a season
+    every = every.select("name_key", "week", "position", F.coalesce("points", F.lit(0.0)).alias("points"))
+    best = top_k_per_group(every, ["week", "position"], [F.desc("points"), F.col("name_key")], most).drop("rank")
+    kinds = pool.select("position").distinct().agg(F.collect_set("position").alias("_all"))  # positions of a game
+    free = asks.filter("query = ''").join(F.broadcast(kinds)).withColumn("position", F.explode(F.coalesce("_positions", "_all"))).join(best, ["week", "position"])
+
+    columns = ["ask", "roster", "slot", "name_key", "points"]
+    hits = named.select(*columns).unionByName(free.select(*columns))
+    held = placed.select(F.col("roster").alias("_r"), F.col("slot").alias("_s"), F.col("name_key").alias("_k"))
+    hits = hits.join(held, (F.col("roster") == F.col("_r")) & (F.col("name_key") == F.col("_k")) & (F.col("slot") != F.col("_s")), "left_anti")
+    return top_k_per_group(hits, ["ask"], [F.desc("points"), F.col("name_key")], k)
+
+
+def line_up(players: Column, slots: list[tuple[str, list[str]]]) -> Column:
+    """Map of a player's place to the slot taken: in slot order, each takes the first player of
+    the sorted array ``players`` (structs with ``position``) who is eligible and unused."""
+    table = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, p)).alias("positions")) for i, p in slots])
+    open_ = F.transform(players, lambda p, i: F.struct(i.alias("i"), p["position"].alias("position")))
+    start = F.struct(open_.alias("open"), F.array().cast("array<struct<i:int,slot:string>>").alias("taken"))
+
+    def fill(state: Column, slot: Column) -> Column:
+        pick = F.get(F.filter(state["open"], lambda p: F.array_contains(slot["positions"], p["position"])), F.lit(0))
+
+        def put(p: Column) -> Column:
+            rest = F.filter(state["open"], lambda x: x["i"] != p["i"])
+            one = F.array(F.struct(p["i"].alias("i"), slot["id"].alias("slot")))
+            return F.when(p.isNull(), state).otherwise(F.struct(rest.alias("open"), F.concat(state["taken"], one).alias("taken")))
+
+        return let(pick, put)
+
+    return F.map_from_entries(F.aggregate(table, start, fill, lambda s: s["taken"]))
+
+
+def auto_assign(players: DataFrame, roster: str = "roster_id", bench: int = BENCH, slots: list[tuple[str, list[str]]] = SLOTS) -> DataFrame:
+    """Add ``slot``: the slots of every roster filled in their order, best points first (ties by
+    ``ord``), from any table of slots and eligible positions; the bench takes the rest in order.
+
+    A roster is a bounded group: its players are one array, folded over the slots.
     """
-    order = [F.desc("points"), F.col("ord")]
-    df = players.withColumn("_pr", F.row_number().over(Window.partitionBy(roster, "position").orderBy(*order)))
-    starts = F.create_map(*[F.lit(x) for x in ("QB", 1, "RB", 2, "WR", 2, "TE", 1, "K", 1, "DEF", 1)])
-    most = F.coalesce(F.try_element_at(starts, F.col("position")), F.lit(0))
-    slot = F.when(F.col("position").isin("RB", "WR"), F.concat("position", F.col("_pr").cast("string"))).otherwise(F.col("position"))
-    df = df.withColumn("slot", F.when(F.col("_pr") <= most, slot))
-    flexible = F.col("slot").isNull() & F.col("position").isin(*FLEX)
-    df = df.withColumn("_fr", F.row_number().over(Window.partitionBy(roster, flexible).orderBy(*order)))
-    df = df.withColumn("slot", F.when(flexible & (F.col("_fr") == 1), "FLEX").otherwise(F.col("slot")))
-    return bench_order(df.drop("_pr", "_fr"), roster, bench)
+    each = F.struct((-F.coalesce("points", F.lit(0.0))).alias("_np"), "ord", "position", F.struct(*[c for c in players.columns if c != roster]).alias("_row"))
+    held = players.groupBy(roster).agg(F.array_sort(F.collect_list(each)).alias("_players"))
+    held = held.withColumn("_taken", line_up(F.col("_players"), slots))
+    flat = held.select(roster, "_taken", F.posexplode("_players").alias("_i", "_p"))
+    rows = flat.select(F.col(roster), *[F.col("_p._row").getField(c).alias(c) for c in players.columns if c != roster], F.try_element_at("_taken", F.col("_i")).alias("slot"))
+    return bench_order(rows.select(*players.columns, "slot"), roster, bench)
 
 
 def bench_order(df: DataFrame, roster: str, bench: int = BENCH) -> DataFrame:

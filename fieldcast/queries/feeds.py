@@ -88,17 +88,46 @@ def _pool(spark, sf_dir):
     return df, best_row(df, ["name_key"], [-F.col("week"), -F.col("points"), F.col("team")])
 
 
-@query(f"WITH {PLAYERS} SELECT name_key, points FROM pool WHERE contains(name_key, 'p1') AND name_key NOT IN ('p1', 'p17') ORDER BY starts_with(name_key, 'p1') DESC, points DESC, name_key LIMIT 6")
+_ASKED = "(SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'p' || s_suppkey WHEN 1 THEN 'p' || s_suppkey % 10 ELSE '' || s_suppkey % 100 END AS query FROM supplier)"
+
+
+def _asked(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("p"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("p"), (k % 10).cast("string"))).otherwise((k % 100).cast("string"))
+    return table(spark, sf_dir, "supplier").select(text.alias("query"))
+
+
+@query(
+    f"""WITH {PLAYERS}, free AS (SELECT name_key, points FROM pool WHERE position <> 'PROMO'), hit AS (SELECT query, name_key, points FROM {_ASKED} q JOIN free ON contains(name_key, query))
+    SELECT query, name_key, points, row_number() OVER (PARTITION BY query ORDER BY starts_with(name_key, query) DESC, points DESC, name_key) AS rank FROM hit QUALIFY rank <= 6"""
+)
 def t1_suggest(spark, sf_dir):
+    """Every supplier's number as typed text: names that start with it, then those that hold it."""
     _, pool = _pool(spark, sf_dir)
-    taken = pool.filter(F.col("name_key").isin("p1", "p17"))
-    return rosters.suggest(pool, "p1", taken).select("name_key", "points")
+    taken = pool.filter("position = 'PROMO'")
+    return rosters.suggest(_asked(spark, sf_dir), pool.select("name_key", "points"), taken).select("query", "name_key", "points", "rank")
+
+
+_ASKS = "(SELECT s_suppkey AS ask, CAST(s_suppkey % 50 AS INT) AS roster, CASE s_suppkey % 3 WHEN 0 THEN 'FLEX' WHEN 1 THEN 'QB' ELSE 'BN1' END AS slot, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '' || s_suppkey % 40 END AS query, CAST(s_suppkey % 12 + 1 AS INT) AS week FROM supplier)"
+_TABLE = [("QB", ["ECONOMY"]), ("FLEX", ["SMALL", "LARGE"]), ("BN1", None)]
 
 
-@query(f"WITH {PLAYERS} SELECT name_key, CASE WHEN week = 12 THEN points ELSE 0.0 END AS points FROM pool WHERE position IN ('ECONOMY', 'SMALL') AND contains(name_key, '2') AND name_key <> 'p2' ORDER BY 2 DESC, name_key LIMIT 10")
+@query(
+    f"""WITH {PLAYERS}, placed AS (SELECT CAST(substr(name_key, 2)::INT % 50 AS INT) AS roster, CASE WHEN substr(name_key, 2)::INT % 3 = 0 THEN 'QB' ELSE 'FLEX' END AS slot, name_key FROM pool WHERE points > 60 AND substr(name_key, 2)::INT % 7 = 0),
+    first AS (SELECT name_key, week, points FROM players QUALIFY row_number() OVER (PARTITION BY name_key, week ORDER BY team, points) = 1),
+    hit AS (SELECT a.ask, a.roster, a.slot, p.name_key, coalesce(f.points, 0.0) AS points FROM {_ASKS} a JOIN pool p ON (a.slot = 'BN1' OR (a.slot = 'QB' AND p.position = 'ECONOMY') OR (a.slot = 'FLEX' AND p.position IN ('SMALL', 'LARGE'))) AND contains(p.name_key, a.query)
+      LEFT JOIN first f ON f.name_key = p.name_key AND f.week = a.week
+      WHERE NOT EXISTS (SELECT 1 FROM placed x WHERE x.roster = a.roster AND x.name_key = p.name_key AND x.slot <> a.slot))
+    SELECT ask, roster, slot, name_key, points, row_number() OVER (PARTITION BY ask ORDER BY points DESC, name_key) AS rank FROM hit QUALIFY rank <= 5"""
+)
 def t2_candidates_for(spark, sf_dir):
-    _, pool = _pool(spark, sf_dir)
-    return rosters.candidates_for(pool, ["ECONOMY", "SMALL"], "2", pool.filter("name_key = 'p2'"), 12, 10).select("name_key", "points")
+    """Every supplier asks for a slot of its roster; every second one types a number."""
+    players, pool = _pool(spark, sf_dir)
+    s, n = F.col("s_suppkey"), F.substring("name_key", 2, 20).cast("int")
+    asks = table(spark, sf_dir, "supplier").select(s.alias("ask"), (s % 50).cast("int").alias("roster"), F.when(s % 3 == 0, "FLEX").when(s % 3 == 1, "QB").otherwise("BN1").alias("slot"), F.when(s % 2 == 0, "").otherwise((s % 40).cast("string")).alias("query"), (s % 12 + 1).cast("int").alias("week"))
+    placed = pool.filter((F.col("points") > 60) & (n % 7 == 0)).select((n % 50).alias("roster"), F.when(n % 3 == 0, "QB").otherwise("FLEX").alias("slot"), "name_key")
+    entries = players.withColumn("ord", F.struct("team", "points"))
+    return rosters.candidates_for(asks, pool.select("name_key", "position"), entries, placed, _TABLE, 5).select("ask", "roster", "slot", "name_key", "points", "rank")
 
 
 _SIX = "CASE position WHEN 'ECONOMY' THEN 'QB' WHEN 'STANDARD' THEN 'RB' WHEN 'SMALL' THEN 'WR' WHEN 'LARGE' THEN 'TE' WHEN 'MEDIUM' THEN 'K' ELSE 'DEF' END"
@@ -118,13 +147,41 @@ def t4_w14_auto_assign(spark, sf_dir):
     return rosters.auto_assign(df)
 
 
-@query(f"WITH {PLAYERS} SELECT week, name_key, points, team FROM players WHERE week = 5 AND substr(name_key, 2)::INT % 50 = 0 AND team IN (0, 2, 4, 8, 16)")
+_LINE_UP = [("QB", ["QB"]), ("RB1", ["RB"]), ("FLEX1", ["RB", "WR", "TE"]), ("FLEX2", ["RB", "WR", "TE"]), ("SUPER", ["QB", "RB", "WR", "TE"]), ("K", ["K"])]
+
+
+@query(
+    f"""WITH RECURSIVE {PROJ}, pl AS (SELECT week * 100 + team AS roster_id, {_SIX} AS position, name AS ord, points FROM projections),
+    p AS (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY points DESC, ord) AS r FROM pl),
+    slots AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{k}', {e})" for i, (k, e) in enumerate(_LINE_UP))}) t(i, slot, eligible)),
+    fold(roster_id, i, used, took) AS (
+      SELECT DISTINCT roster_id, 0, []::BIGINT[], NULL::BIGINT FROM p
+      UNION ALL
+      SELECT f.roster_id, f.i + 1, CASE WHEN min(p.r) IS NULL THEN f.used ELSE list_append(f.used, min(p.r)) END, min(p.r)
+      FROM fold f JOIN slots s ON s.i = f.i + 1 LEFT JOIN p ON p.roster_id = f.roster_id AND list_contains(s.eligible, p.position) AND NOT list_contains(f.used, p.r)
+      GROUP BY f.roster_id, f.i, f.used),
+    taken AS (SELECT f.roster_id, took AS r, slot FROM fold f JOIN slots s ON s.i = f.i WHERE took IS NOT NULL),
+    st AS (SELECT p.*, slot FROM p LEFT JOIN taken USING (roster_id, r)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY roster_id, slot IS NULL ORDER BY points DESC, ord) AS br FROM st)
+    SELECT roster_id, position, ord, points, CASE WHEN slot IS NULL AND br <= 4 THEN 'BN' || br ELSE slot END AS slot FROM b"""
+)
+def t4_flexible_slots(spark, sf_dir):
+    """Two FLEX slots and a superflex that takes quarterbacks too."""
+    df = _proj(spark, sf_dir).select((F.col("week") * 100 + F.col("team")).alias("roster_id"), F.expr(_SIX).alias("position"), F.col("name").alias("ord"), "points")
+    return rosters.auto_assign(df, bench=4, slots=_LINE_UP)
+
+
+@query(
+    f"""WITH {PLAYERS}, mine AS (SELECT DISTINCT 'p' || l_partkey AS name_key FROM lineitem WHERE l_linenumber = 1)
+    SELECT w.week, name_key, points, team FROM players w JOIN mine USING (name_key) WHERE team IN (week, week + 12)"""
+)
 def j13_j14_roster_rows(spark, sf_dir):
+    """Every week of a roster that holds the parts of each order's first line; a week's game is
+    between the teams of its number and twelve more."""
     df, _ = _pool(spark, sf_dir)
-    roster = df.filter(F.substring("name_key", 2, 20).cast("int") % 50 == 0).select("name_key")
-    rows = rosters.roster_week(df, roster, 5)
-    out = rosters.roster_game(rows, 0, 2).unionByName(rosters.roster_game(rows, 4, 8)).unionByName(rosters.roster_game(rows, 16, 16))
-    return out.select("week", "name_key", "points", "team")
+    roster = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name_key"))
+    weeks = [rosters.roster_game(rosters.roster_week(df, roster, w), w, w + 12) for w in range(1, 13)]
+    return basic.append_batches(*weeks).select("week", "name_key", "points", "team")
 
 
 @query(
@@ -161,15 +218,18 @@ def j16_rosters_with_owner(spark, sf_dir):
 
 
 @query(
-    """WITH keys AS (SELECT DISTINCT 'customer' || lpad(c_custkey::VARCHAR, 9, '0') AS name_key FROM customer), q AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'customer' || lpad(s_suppkey::VARCHAR, 9, '0') ELSE lpad(s_suppkey::VARCHAR, 4, '0') END AS query FROM supplier),
+    """WITH keys AS (SELECT DISTINCT 'customer' || lpad(c_custkey::VARCHAR, 9, '0') AS name_key FROM customer),
+    q AS (SELECT DISTINCT CASE s_suppkey % 5 WHEN 0 THEN 'customer' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN 1 THEN 'customer' || lpad((s_suppkey // 10)::VARCHAR, 8, '0') WHEN 2 THEN 'r0000' || s_suppkey WHEN 3 THEN '' || s_suppkey ELSE lpad(s_suppkey::VARCHAR, 4, '0') END AS query FROM supplier),
     ex AS (SELECT query, name_key FROM q JOIN keys ON query = name_key), sub AS (SELECT query, count(*) AS n, min(name_key) AS name_key FROM q JOIN keys ON contains(name_key, query) WHERE query NOT IN (SELECT query FROM ex) GROUP BY query)
     SELECT query, name_key FROM ex UNION ALL SELECT query, name_key FROM sub WHERE n = 1"""
 )
 def j17_resolve_name(spark, sf_dir):
-    pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
-    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer"), pad("c_custkey", 9)).alias("name_key"))
-    q = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("customer"), pad("s_suppkey", 9))).otherwise(pad("s_suppkey", 4)).alias("query"))
-    return rosters.resolve_name(q, keys)
+    """Whole keys, keys without their last digit (all start alike), middles, ends."""
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer"), pad(F.col("c_custkey"), 9)).alias("name_key"))
+    s, start = F.col("s_suppkey"), F.lit("customer")
+    q = F.when(s % 5 == 0, F.concat(start, pad(s, 9))).when(s % 5 == 1, F.concat(start, pad(F.floor(s / 10), 8))).when(s % 5 == 2, F.concat(F.lit("r0000"), s.cast("string"))).when(s % 5 == 3, s.cast("string")).otherwise(pad(s, 4))
+    return rosters.resolve_name(table(spark, sf_dir, "supplier").select(q.alias("query")), keys)
 
 
 @query(

@@ -63,7 +63,7 @@ def a23_distinct_sets(spark, sf_dir):
 @query("SELECT v AS value, row_number() OVER (ORDER BY v) - 1 AS idx FROM (SELECT c_name AS v FROM customer UNION SELECT s_name FROM supplier)")
 def u1_intern_values(spark, sf_dir):
     a, b = table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")), table(spark, sf_dir, "supplier").select(F.col("s_name").alias("value"))
-    return basic.intern_values(a, b, "value", prefix=14)
+    return basic.intern_values(a, b, "value")
 
 
 @query(
@@ -82,12 +82,12 @@ def u3_append_batches(spark, sf_dir):
     return basic.append_batches(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
-@query("SELECT o_orderkey, array_to_string(list_concat([o_custkey % 5, o_custkey % 3], list_filter([o_custkey % 7, 9], lambda x: x <> o_custkey % 5 AND x <> o_custkey % 3)), ',') AS players FROM orders WHERE o_custkey % 5 <> o_custkey % 3 AND o_custkey % 7 <> 9")
+@query("WITH l AS (SELECT o_orderkey, [o_custkey % 5, o_custkey % 3, o_custkey % 7, 9, o_custkey % 5] AS p FROM orders) SELECT o_orderkey, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ',') AS players FROM l")
 def u4_ordered_concat_except(spark, sf_dir):
+    """Starters, then the players not among them; repeats on either side count once."""
     c = F.col("o_custkey")
-    df = table(spark, sf_dir, "orders").filter((c % 5 != c % 3) & (c % 7 != 9))
-    out = basic.ordered_concat_except(F.array(c % 5, c % 3), F.array(c % 7, F.lit(9)))
-    return df.select("o_orderkey", F.array_join(out.cast("array<string>"), ",").alias("players"))
+    out = basic.ordered_concat_except(F.array(c % 5, c % 3), F.array(c % 7, F.lit(9), c % 5))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(out.cast("array<string>"), ",").alias("players"))
 
 
 @query("SELECT l_partkey, l_suppkey FROM lineitem EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 3")
@@ -129,3 +129,8 @@ def t3_final_order(spark, sf_dir):
     return basic.final_order(table(spark, sf_dir, "nation").select("n_name", "n_regionkey", "n_nationkey"), ["n_regionkey", "n_name"])
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM orders")
+def t3_final_places(spark, sf_dir):
+    """Every order's place in the final order, though a few priorities hold all of them."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return basic.final_places(df, ["o_orderpriority", "o_orderdate", "o_orderkey"]).select("o_orderkey", "place")
