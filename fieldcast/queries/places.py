@@ -29,14 +29,14 @@ def _shapes(spark, sf_dir):
 
 @query(f"WITH {INSIDE} SELECT id, poly FROM found")
 def j11_point_in_polygon(spark, sf_dir):
-    return geometry.point_in_polygon(*_shapes(spark, sf_dir), cell=5.0)
+    return geometry.point_in_polygon(*_shapes(spark, sf_dir), max_edges=4)
 
 
 @query(f"WITH {INSIDE} SELECT p.id, CASE WHEN p.id % 3 = 0 THEN 100 + p.id % 7 ELSE poly END AS market, CASE WHEN p.id % 3 = 0 THEN 'direct-table' WHEN poly IS NOT NULL THEN 'centroid-polygon' ELSE 'unresolved' END AS method FROM points p LEFT JOIN found f ON p.id = f.id")
 def j10_zip_to_market(spark, sf_dir):
     points, rings, order = _shapes(spark, sf_dir)
     direct = points.filter("id % 3 = 0").select("id", (100 + F.col("id") % 7).alias("market"))
-    return geometry.zip_to_market(points, direct, rings, order, cell=5.0)
+    return geometry.zip_to_market(points, direct, rings, order)
 
 
 @query("SELECT l_orderkey AS arc_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, sum(l_linenumber) OVER w * 0.5 + 10 AS x, sum(l_quantity) OVER w * 0.5 + 20 AS y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)")
