@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import frame_status
 from ..functions.text import normalize_slot, revision_from_url, split_matchup, split_window_marker
 from ..operators import basic, compaction, images, legends, snapshots, voting
 
@@ -19,24 +18,36 @@ def final_manifest(manifest: DataFrame) -> DataFrame:
     return snapshots.select_final(df, KEYS, "revision", "page_source", "capture_timestamp", "bytes", ["ord"])
 
 
-def build_assignments(manifest: DataFrame, files: DataFrame, polygons: DataFrame, pages: DataFrame, override: DataFrame, samples: int = images.SAMPLES, min_valid: int = voting.MIN_VALID) -> DataFrame:
+def best_legend(attempts: DataFrame) -> DataFrame:
+    """Legend of the first attempt of each season and week, by priority, that tells anything."""
+    every = legends.extract_legend(attempts, ["season", "week", "priority"])
+    told = every.groupBy("season", "week", "priority").agg(F.count("*").alias("found"))
+    tried = attempts.select("season", "week", "priority").distinct().join(told, ["season", "week", "priority"], "left")
+    best = snapshots.first_good_source(tried, ["season", "week"], "found", "priority").filter("status = 'ok'").select("season", "week", "priority")
+    return every.join(best, ["season", "week", "priority"]).drop("priority")
+
+
+def build_assignments(manifest: DataFrame, listing: DataFrame, files: DataFrame, polygons: DataFrame, attempts: DataFrame, override: DataFrame, samples: int = images.SAMPLES, min_valid: int = voting.MIN_VALID) -> DataFrame:
     """One row per map and market: colour, game, confidence, status, review.
 
-    Markets without a polygon, and off the map's frame, have status ``empty_polygon`` and
-    ``outside_map``. ``files``: decoded images with ``origin``; a manifest row's ``local_path`` names its
-    image. ``pages``: season, week, html. ``override``: season, week, slot, color, game.
+    A map's file is found in ``listing`` by its digest, else by the name of its ``local_path``,
+    else by that of its URL; ``files`` are the decoded images, one of each content. Maps
+    without a file, or with one that can't be decoded, have no row. Markets without a polygon, and
+    off the map's frame, have status ``empty_polygon`` and ``outside_map``. ``attempts``:
+    season, week, priority, html, of which the first that tells a legend counts. ``override``:
+    season, week, slot, color, game.
     """
-    maps = final_manifest(manifest).select(*KEYS, F.col("local_path").alias("origin"), "revision")
-    px = images.sample_polygons(files.join(maps.select("origin").distinct(), "origin", "left_semi"), polygons, samples)
-    xs, ys = F.expr("flatten(transform(edges, e -> array(e.x1, e.x2)))"), F.expr("flatten(transform(edges, e -> array(e.y1, e.y2)))")
-    bounds = [f(c).alias(n) for f, c, n in ((F.array_min, xs, "lx"), (F.array_min, ys, "ly"), (F.array_max, xs, "hx"), (F.array_max, ys, "hy"))]
-    shapes = basic.small(polygons.select(F.col("poly").alias("market"), "frame_w", "frame_h", *bounds))
-    every = maps.join(files.filter("width > 0").select("origin", "width", "height"), "origin").crossJoin(shapes)
-    wide, high = F.col("width") / F.col("frame_w"), F.col("height") / F.col("frame_h")
-    every = every.select(*KEYS, "origin", "revision", "market", frame_status(F.col("lx") * wide, F.col("ly") * high, F.col("hx") * wide, F.col("hy") * high, F.col("width"), F.col("height")).alias("frame"))
-    votes = every.join(images.vote_polygons(px).withColumnRenamed("poly", "market"), ["origin", "market"], "left")
+    name = lambda c: F.regexp_extract(c, r"([^/\\]+?)(?:[?#].*)?$", 1)
+    maps = final_manifest(manifest).withColumn("local_name", name("local_path")).withColumn("url_name", name("image_url"))
+    maps = snapshots.resolve_files(maps, listing, KEYS).join(listing.select("path", "digest"), "path").select(*KEYS, "digest", "revision")
+    good = files.filter("width > 0")
+    shapes = images.polygon_frames(polygons, good)
+    px = images.sample_polygons(good.join(maps.select("digest").distinct(), "digest", "left_semi"), shapes, "digest", samples, min_valid)
+    sized = maps.join(good.select("digest", "width", "height"), "digest")
+    every = sized.join(shapes.select("width", "height", F.col("poly").alias("market"), F.col("status").alias("frame")), ["width", "height"])
+    votes = every.join(images.vote_polygons(px).withColumnRenamed("poly", "market"), ["digest", "market"], "left")
     votes = votes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_top", "valid", "total")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("confidence", "valid_share")})
-    legend = legends.extract_legend(pages, ["season", "week"])
+    legend = best_legend(attempts)
     auto = legend.filter("not ambiguous").select(*KEYS, "color", "game")
     rows = voting.apply_legend(votes, auto, override, [*KEYS, "color"])
     rows = rows.join(legend.filter("ambiguous").select(*KEYS, "color", "ambiguous"), [*KEYS, "color"], "left")

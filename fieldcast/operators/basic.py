@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
+from .cuts import written
 from .ordering import number_rows
 
 #: A lookup table is broadcast only up to so many rows; beyond, Spark joins by shuffling.
@@ -102,9 +103,34 @@ def ordered_concat_except(first: Column, rest: Column) -> Column:
     return F.array_distinct(F.concat(first, F.array_except(rest, first)))
 
 
-def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` that ``b`` does not have, as often as they are missing."""
-    return a.exceptAll(b.select(a.columns))
+def table_digest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per key ``by``, or of the whole table: number of rows ``n`` and ``digest``, a sum over
+    their hashes that does not depend on their order; summed up before anything is shuffled."""
+    columns = sorted(df.columns)
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    h = F.xxhash64(nulls, *columns)
+    made = [F.count("*").alias("n"), F.concat_ws(":", F.sum(h.cast("decimal(38,0)")).cast("string"), F.sum(F.xxhash64(h).cast("decimal(38,0)")).cast("string")).alias("digest")]
+    return df.groupBy(*by).agg(*made) if by else df.agg(*made)
+
+
+def differing_keys(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Keys whose rows differ between two tables, as multisets: one aggregate of each is joined,
+    whatever the number of rows of a key."""
+    left, right = (table_digest(t, by).select(F.struct(*by).alias(f"_k{i}"), F.struct("n", "digest").alias(f"_d{i}")) for i, t in enumerate((a, b.select(a.columns))))
+    both = left.join(right, F.col("_k0").eqNullSafe(F.col("_k1")), "full").filter(~F.col("_d0").eqNullSafe(F.col("_d1")))
+    return both.select(F.coalesce("_k0", "_k1").alias("_k")).select("_k.*")
+
+
+def mismatches(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows of ``a`` that ``b`` does not have, as often as they are missing.
+
+    With ``by`` only the rows of keys that differ at all are compared.
+    """
+    b = b.select(a.columns)
+    if by:
+        keys = written(differing_keys(a, b, by)).select(F.struct(*by).alias("_k"))
+        a, b = (t.join(keys, F.struct(*by).eqNullSafe(F.col("_k")), "left_semi") for t in (a, b))
+    return a.exceptAll(b)
 
 
 def payload_counts(df: DataFrame, week: str = "week") -> DataFrame:

@@ -46,8 +46,8 @@ def first_good_source(attempts: DataFrame, keys: list[str], found: str, priority
     return picked.withColumn("status", F.when(good, "ok").otherwise("failed"))
 
 
-def resolve_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
-    """Attach a file to each manifest row (``ord``, ``sha256``, ``local_name``, ``url_name``).
+def resolve_files(manifest: DataFrame, listing: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach a file to each manifest row (``keys``, unique; ``sha256``, ``local_name``, ``url_name``).
 
     ``listing``: ``path``, ``name``, ``digest``. The digest's match holds first, then the
     local name's, then the URL name's; of several files the smallest path. Null if none.
@@ -55,10 +55,12 @@ def resolve_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     rules = [("sha256", "digest"), ("local_name", "name"), ("url_name", "name")]
     found = None
     for rank, (mine, theirs) in enumerate(rules):
-        hit = manifest.select("ord", F.col(mine).alias("_k")).filter("_k <> ''").join(listing.select(F.col(theirs).alias("_k"), "path"), "_k").select("ord", F.lit(rank).alias("rule"), "path")
+        # of the files of one name or content the smallest is all that counts
+        first = listing.groupBy(F.col(theirs).alias("_k")).agg(F.min("path").alias("path"))
+        hit = manifest.select(*keys, F.col(mine).alias("_k")).filter("_k <> ''").join(first, "_k").select(*keys, F.lit(rank).alias("rule"), "path")
         found = hit if found is None else found.unionByName(hit)
-    best = found.groupBy("ord").agg(F.min(F.struct("rule", "path")).alias("_b")).select("ord", "_b.rule", "_b.path")
-    return manifest.join(best, "ord", "left")
+    best = found.groupBy(*keys).agg(F.min(F.struct("rule", "path")).alias("_b")).select(*keys, "_b.rule", "_b.path")
+    return manifest.join(best, keys, "left")
 
 
 def missing_pages(maps: DataFrame, page_images: DataFrame, keys: list[str]) -> DataFrame:

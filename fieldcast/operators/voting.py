@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 MIN_VALID, MIXED, MIN_SHARE, FLOOR = 12, 0.60, 0.20, 0.70
 
 
-def majority_vote(samples: DataFrame, keys: list[str], label: str, valid: str | None = None, ord_col: str | None = None) -> DataFrame:
+def majority_vote(samples: DataFrame, keys: list[str], label: str, valid: str | None = None, ord_col: str | None = None, weight: str | None = None) -> DataFrame:
     """Per key: winning label, ``n_top``, ``valid``, ``total``, ``confidence``, ``valid_share``, ``counts``.
 
     Rows where ``valid`` is false count in ``total`` only. Ties go to the label seen first
-    by ``ord_col``, or else to the smallest. A key without valid rows has a null label and
+    by ``ord_col``, or else to the smallest. A row counts ``weight`` times, else once. A key without valid rows has a null label and
     confidence 0. Counting by (key, label) is combined before the shuffle; the second group
     has a row for each label only.
     """
     ok = F.col(valid) if valid else F.col(label).isNotNull()
     first = F.min(ord_col) if ord_col else F.min(label)
-    per = samples.groupBy(*keys, F.when(ok, F.col(label)).alias("_label")).agg(F.count("*").alias("_n"), first.alias("_first"))
+    per = samples.groupBy(*keys, F.when(ok, F.col(label)).alias("_label")).agg((F.sum(weight) if weight else F.count("*")).alias("_n"), first.alias("_first"))
     real = F.col("_label").isNotNull()
     out = per.groupBy(*keys).agg(
         F.min_by(F.when(real, F.col("_label")), F.when(real, F.struct(-F.col("_n"), F.col("_first")))).alias(label),

@@ -14,6 +14,17 @@ def a10_consensus_median(spark, sf_dir):
     return view(spark, sf_dir, "quotes").groupBy("event").agg(consensus.consensus_median(F.col("price")).alias("price"))
 
 
+_HOT = "CASE WHEN event % 3 = 0 THEN 0 ELSE event END"
+
+
+@query(f"WITH {cte('quotes')}, q AS (SELECT {_HOT} AS event, price, point FROM quotes), pool AS (SELECT event, point AS p FROM q UNION ALL SELECT event, price FROM q) SELECT event, round(median(p), 2) AS middle FROM pool GROUP BY event")
+def a10_a11_hot_event(spark, sf_dir):
+    """Prices and points in one pool; one event holds a third of all quotes."""
+    q = view(spark, sf_dir, "quotes").withColumn("event", F.expr(_HOT))
+    pool = q.select("event", F.explode(F.array("point", "price")).alias("p"))
+    return consensus.consensus_medians(pool, ["event"], "p", "middle")
+
+
 @query(f"WITH {cte('quotes')} SELECT event, round(median(p), 2) AS point FROM (SELECT event, point AS p FROM quotes UNION ALL SELECT event, CASE WHEN price IS NOT NULL THEN point + 1 END FROM quotes) GROUP BY event")
 def a11_pooled_total(spark, sf_dir):
     q = view(spark, sf_dir, "quotes")

@@ -71,11 +71,22 @@ def f20_albers_xy(spark, sf_dir):
     return _ll(spark, sf_dir).select("id", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
 
 
-@query(f"WITH {_SQL_RINGS}, b AS (SELECT poly, min(x) * 40 - 200 AS lx, min(y) * 20 AS ly, max(x) * 40 - 200 AS hx, max(y) * 20 AS hy FROM rings GROUP BY poly) SELECT poly, CASE WHEN least(hx, 1279) - greatest(lx, 0) <= 0 OR least(hy, 719) - greatest(ly, 0) <= 0 THEN 'outside_map' ELSE 'ok' END AS status FROM b")
+# the boxes of the shapes: two make the ell, the third is the hole; in pixels, cut to the frame
+_PIECES = """piece AS (SELECT n_nationkey AS poly, sign, ((n_nationkey % 5) * 10 + x1) * 40 - 240 AS lx, ((n_nationkey % 5) * 10 + x2) * 40 - 240 AS hx, (n_nationkey // 5 * 10 + y1) * 20 - 120 AS ly, (n_nationkey // 5 * 10 + y2) * 20 - 120 AS hy
+  FROM nation, (VALUES (1, 0.0, 0.0, 10.0, 6.0), (1, 0.0, 6.0, 6.0, 10.0), (-1, 2.0, 2.0, 4.0, 4.0)) t(sign, x1, y1, x2, y2)),
+clipped AS (SELECT poly, sum(sign * greatest(least(hx, 1279) - greatest(lx, 0), 0) * greatest(least(hy, 719) - greatest(ly, 0), 0))::DOUBLE AS area FROM piece GROUP BY poly)"""
+
+
+@query(f"WITH {_PIECES} SELECT poly, round(area, 4) AS area, CASE WHEN area < 1 THEN 'outside_map' ELSE 'ok' END AS status, round(greatest(2.0, sqrt(greatest(area, 1.0) / 240)), 6) AS spacing FROM clipped")
 def f28_frame_status(spark, sf_dir):
+    """Ells with holes: some lie off the frame although their bounds meet it."""
     _, rings, _ = _shapes(spark, sf_dir)
-    b = rings.groupBy("poly").agg((F.min("x") * 40 - 200).alias("lx"), (F.min("y") * 20).alias("ly"), (F.max("x") * 40 - 200).alias("hx"), (F.max("y") * 20).alias("hy"))
-    return b.select("poly", geo.frame_status(F.col("lx"), F.col("ly"), F.col("hx"), F.col("hy"), F.lit(1280), F.lit(720)).alias("status"))
+    point = F.struct((F.col("x") * 40 - 240).alias("x"), (F.col("y") * 20 - 120).alias("y"))
+    ring = rings.groupBy("poly", "part", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", point.alias("p")))), lambda v: v["p"]).alias("ps"))
+    part = ring.groupBy("poly", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "ps"))), lambda v: v["ps"]).alias("rs"))
+    df = part.groupBy("poly").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "rs"))), lambda v: v["rs"]).alias("parts"))
+    df = df.withColumn("area", geo.polygon_area(geo.clip_polygon(F.col("parts"), F.lit(1280), F.lit(720))))
+    return df.select("poly", F.round("area", 4).alias("area"), geo.frame_status(F.col("parts"), F.col("area")).alias("status"), F.round(geo.spacing(F.col("area"), 240), 6).alias("spacing"))
 
 
 KICK = cte("kickoffs")

@@ -208,15 +208,20 @@ def f32_color_key(spark, sf_dir):
 
 
 @query(
-    r"""WITH item AS (SELECT page_id, html, unnest(generate_series(1, len(regexp_extract_all(html, '<p>')))) AS i FROM pages)
-    SELECT page_id, 'h' AS slot, count(*) AS lines FROM item GROUP BY page_id"""
+    r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<(h1|h2|p|div|li)[ >]', 1) AS tags FROM pages),
+    n AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t),
+    h AS (SELECT *, CASE WHEN tag IN ('h1', 'h2') OR (tag = 'p' AND pos % 4 = 0) THEN tag || pos END AS heading FROM n),
+    f AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS slot FROM h)
+    SELECT page_id, slot, count(*) AS lines FROM f WHERE tag IN ('p', 'li') GROUP BY page_id, slot"""
 )
 def w11_section_fill(spark, sf_dir):
-    """Every paragraph of a page stands under the latest heading before it: the lines under it."""
-    found = F.regexp_extract_all("html", F.lit("<(h1|p)>"), 1)
-    nodes = table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.posexplode(found).alias("pos", "tag"))
-    nodes = nodes.withColumn("heading", F.when(F.col("tag") == "h1", "h"))
-    return legends.section_fill(nodes, ["page_id"]).filter("tag = 'p'").groupBy("page_id", "slot").agg(F.count("*").alias("lines"))
+    """Every line of a page stands under the latest heading before it, or under none: titles and
+    every fourth node that is a paragraph are headings."""
+    found = F.regexp_extract_all("html", F.lit("<(h1|h2|p|div|li)[ >]"), F.lit(1))
+    nodes = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "tag"))
+    heading = F.col("tag").isin("h1", "h2") | ((F.col("tag") == "p") & (F.col("pos") % 4 == 0))
+    nodes = nodes.withColumn("heading", F.when(heading, F.concat("tag", F.col("pos").cast("string"))))
+    return legends.section_fill(nodes, ["page_id"]).filter("tag in ('p', 'li')").groupBy("page_id", "slot").agg(F.count("*").alias("lines"))
 
 
 @query(

@@ -33,8 +33,8 @@ def j2_first_good_source(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT o_orderkey AS ord, CASE WHEN o_custkey % 3 = 0 THEN 'd' || o_custkey ELSE '' END AS sha256, 'n' || (o_custkey % 700) AS local_name, 'n' || (o_custkey % 900) AS url_name FROM orders),
-    l AS (SELECT 'p/' || c_custkey AS path, 'n' || (c_custkey % 1000) AS name, 'd' || c_custkey AS digest FROM customer WHERE c_custkey % 2 = 0),
+    """WITH m AS (SELECT o_orderkey AS ord, CASE WHEN o_custkey % 3 = 0 THEN sha256('d' || o_custkey) ELSE '' END AS sha256, 'n' || (o_custkey % 700) AS local_name, 'n' || (o_custkey % 900) AS url_name FROM orders),
+    l AS (SELECT 'p/' || c_custkey AS path, 'n' || (c_custkey % 1000) AS name, sha256('d' || c_custkey) AS digest FROM customer WHERE c_custkey % 2 = 0),
     hit AS (SELECT ord, 0 AS rule, path FROM m JOIN l ON sha256 = digest WHERE sha256 <> '' UNION ALL SELECT ord, 1, path FROM m JOIN l ON local_name = name UNION ALL SELECT ord, 2, path FROM m JOIN l ON url_name = name),
     best AS (SELECT ord, rule, path FROM hit QUALIFY row_number() OVER (PARTITION BY ord ORDER BY rule, path) = 1)
     SELECT m.ord, rule, path FROM m LEFT JOIN best ON m.ord = best.ord"""
@@ -42,10 +42,10 @@ def j2_first_good_source(spark, sf_dir):
 def j3_resolve_files(spark, sf_dir):
     s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     c = F.col("o_custkey")
-    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.when(c % 3 == 0, s("d", c)).otherwise("").alias("sha256"), s("n", c % 700).alias("local_name"), s("n", c % 900).alias("url_name"))
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.when(c % 3 == 0, F.sha2(s("d", c), 256)).otherwise("").alias("sha256"), s("n", c % 700).alias("local_name"), s("n", c % 900).alias("url_name"))
     k = F.col("c_custkey")
-    files = table(spark, sf_dir, "customer").filter(k % 2 == 0).select(s("p/", k).alias("path"), s("n", k % 1000).alias("name"), s("d", k).alias("digest"))
-    return snapshots.resolve_files(m, files).select("ord", "rule", "path")
+    files = table(spark, sf_dir, "customer").filter(k % 2 == 0).select(s("p/", k).alias("path"), s("n", k % 1000).alias("name"), F.sha2(s("d", k), 256).alias("digest"))
+    return snapshots.resolve_files(m, files, ["ord"]).select("ord", "rule", "path")
 
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) AS rank FROM lineitem QUALIFY rank <= 3")
@@ -92,8 +92,19 @@ def u4_ordered_concat_except(spark, sf_dir):
 
 @query("SELECT l_partkey, l_suppkey FROM lineitem EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 3")
 def u5_mismatches(spark, sf_dir):
+    """Only parts whose digests differ are compared row by row."""
     li = table(spark, sf_dir, "lineitem")
-    return basic.mismatches(li.select("l_partkey", "l_suppkey"), li.filter("l_linenumber <> 3").select("l_partkey", "l_suppkey"))
+    return basic.mismatches(li.select("l_partkey", "l_suppkey"), li.filter("l_linenumber <> 3").select("l_partkey", "l_suppkey"), by=["l_partkey"])
+
+
+@query(
+    """WITH a AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey % 3 > 0 OR l_tax > 0.01 GROUP BY ALL)
+    SELECT DISTINCT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey WHERE a.n IS DISTINCT FROM b.n"""
+)
+def u5_differing_keys(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    some = li.filter("l_suppkey % 3 > 0 or l_tax > 0.01")
+    return basic.differing_keys(li.select("l_suppkey", "l_partkey"), some.select("l_partkey", "l_suppkey"), ["l_suppkey"])
 
 
 @query("SELECT DISTINCT CAST(month(l_shipdate) AS INT) AS week FROM lineitem WHERE month(l_shipdate) NOT IN (SELECT month(o_orderdate) FROM orders WHERE month(o_orderdate) < 9)")

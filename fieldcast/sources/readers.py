@@ -45,6 +45,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
+def read_page_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of files that hold many each, as ``write_pages`` writes them: ``url``, ``html``."""
+    return spark.read.schema("url string, html string").json(path)
+
+
 def _rings(text: Column, many: Column, one: str, more: str) -> Column:
     """Parts > rings of nested JSON numbers: one level less for a Polygon."""
     return F.when(many, F.from_json(text, more)).otherwise(F.array(F.from_json(text, one)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.basic import table_digest
+
 
 class Refused(RuntimeError):
     """The check found something; the old output is as it was."""
@@ -32,19 +38,52 @@ def write_json_payload(df: DataFrame, path: str, mode: str = "errorifexists", **
     json_payload(df, **meta).write.mode(mode).text(path)
 
 
-def publish_if(df: DataFrame, mismatches: DataFrame, root: str, fields: list[str] | None = None) -> str:
+def write_files(df: DataFrame, path: str) -> None:
+    """A file for each row (``name``, which may hold folders, and ``content``) below ``path``.
+
+    Tasks write to any store that their file-system library opens. A file appears when it is
+    whole, and a task that runs again puts the same one in its place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = "://" not in path and not path.startswith("file:")
+        store, root = (fs.LocalFileSystem(), path) if local else fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = f"{root.rstrip('/')}/{name}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                part = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content or b"")
+                store.move(part, at)
+            yield batch.select([0])
+
+    df.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_pages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Pages (``url``, ``html``) as JSON lines, many to a file: as many files as partitions."""
+    df.select("url", "html").write.mode(mode).json(path)
+
+
+def publish_if(df: DataFrame, mismatches: DataFrame | None, root: str, fields: list[str] | None = None, source: DataFrame | None = None) -> str:
     """Write ``df`` below ``root`` and point ``root/current`` to it, unless ``mismatches``
     has a row or ``df`` has none; then raise, and what was published stays.
 
-    Readers take the newest pointer (:func:`published`). The new files are complete before
-    the pointer is written, so a lost job changes nothing.
+    With ``source`` the written files must hold the same rows, told by one digest of each side.
+    Readers take the newest pointer (:func:`published`). The new files are complete and compared
+    before the pointer is written, so a lost job changes nothing.
     """
-    if mismatches.take(1):
+    if mismatches is not None and mismatches.take(1):
         raise Refused("the result does not reproduce its source")
-    if not df.take(1):
-        raise Refused("the result is empty")
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    write_table(df, fields or df.columns, path)
+    fields = fields or df.columns
+    write_table(df, fields, path)
+    made = df.sparkSession.read.schema(df.select(*fields).schema).parquet(path)
+    if not made.take(1):
+        raise Refused("the result is empty")
+    if source is not None and table_digest(made).first() != table_digest(source.select(*fields)).first():
+        raise Refused("what was written is not its source")
     pointer = df.sparkSession.range(1).select(F.lit(path).alias("path"), F.current_timestamp().alias("at"))
     pointer.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/current")
     return path

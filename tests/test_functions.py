@@ -116,6 +116,13 @@ def test_arrays_and_maps(spark):
     assert one(spark, geo.stitch_ring(F.array(a(1, 2, 3), a(3, 4), a(4, 5)))) == [1, 2, 3, 4, 5, 1]
     assert one(spark, collections.first_present(F.lit(None).cast("string"), F.lit(" "), F.lit(" v "))) == "v"
     assert one(spark, collections.merge_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2")))) == {"a": "1", "b": "2"}
-    assert abs(one(spark, geo.ring_area(a(0.0, 4.0, 4.0, 0.0), a(0.0, 0.0, 4.0, 4.0))) - 16) < 1e-9
+    ring = lambda *ps: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ps])
+    assert abs(one(spark, geo.ring_area(ring((0, 0), (4, 0), (4, 4), (0, 4)))) - 16) < 1e-9
+    cut = lambda *ps: one(spark, geo.ring_area(geo.clip_ring(ring(*ps), F.lit(11), F.lit(9))))  # noqa: E731  the frame is 10 by 8
+    assert cut((-5, -5), (5, -5), (5, 5), (-5, 5)) == 25 and cut((2, 2), (4, 2), (4, 3)) == 1
+    assert cut((-9, -9), (30, -9), (30, 30), (-9, 30)) == 80 and cut((11, 0), (20, 0), (20, 5)) == 0
+    ell = ((-6, -6), (4, -6), (4, 0), (0, 0), (0, 4), (-6, 4))
+    assert cut(*ell) == 0 and abs(cut((-2, 4), (5, -3), (12, 4), (5, 11)) - 72) < 1e-9
+    assert cut((1, 1), (9, 1), (9, 12), (7, 12), (7, 3), (3, 3), (3, 12), (1, 12)) == 8 * 2 + 4 * 5
     key = one(spark, text.color_key(F.lit("<!-- Red: #ff7f7f\nLight Blue = #00FFFF Red: #111111 -->")))
     assert key == {"red": "#111111", "light_blue": "#00FFFF"}

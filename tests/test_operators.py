@@ -1,5 +1,6 @@
 """Worked examples of operators and jobs."""
 
+import hashlib
 import struct
 import zlib
 
@@ -116,24 +117,52 @@ def png(path, width, height, pixel):
     path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
+PARTS = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def box(x1, x2, y1=0.0, y2=720.0):
+    return [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+
+
 def test_images_to_assignments(spark, tmp_path):
     png(tmp_path / "13-CBS-L-V2.png", 128, 72, lambda x, y: (255, 129, 129) if x < 64 else (131, 172, 255))
+    (tmp_path / "copy.png").write_bytes((tmp_path / "13-CBS-L-V2.png").read_bytes())
     (tmp_path / "bad.png").write_bytes(b"no image")
-    files = images.read_images(spark, str(tmp_path / "*.png"))
-    assert files.count() == 2
-    box = lambda a, b: [(a, 0.0, b, 0.0), (b, 0.0, b, 720.0), (b, 720.0, a, 720.0), (a, 720.0, a, 0.0)]
-    polys = spark.createDataFrame([("501", box(10.0, 600.0), 1280, 720), ("502", box(700.0, 1200.0), 1280, 720), ("503", box(2000.0, 2100.0), 1280, 720)], "poly string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>, frame_w int, frame_h int")
-    origin = files.filter("width > 0").first()["origin"]
-    manifest = spark.createDataFrame([(2024, 1, "", "", "http://h/13-CBS-L-V2.png", "live", "", origin, "downloaded", "", 5, 0), (2024, 1, "", "", "http://h/x.png", "live", "", origin, "downloaded", "", 5, 1)], "season int, week int, slot string, context string, image_url string, page_source string, capture_timestamp string, local_path string, status string, sha256 string, bytes long, ord long")
+    listing = images.read_files(spark, str(tmp_path))
+    files = images.read_images(spark, str(tmp_path), listing)
+    assert listing.count() == 3 and sorted((r["width"], r["copies"]) for r in files.collect()) == [(-1, 1), (128, 2)]
+    shapes = [("501", [[box(10.0, 600.0)]]), ("502", [[box(700.0, 1200.0)]]), ("503", [[box(2000.0, 2100.0)]]), ("504", []), ("505", [[[(-900.0, -900.0), (850.0, -900.0), (-900.0, 850.0)]]])]
+    polys = spark.createDataFrame([(p, s, 1280, 720) for p, s in shapes], f"poly string, parts {PARTS}, frame_w int, frame_h int")
+    digest = hashlib.sha256((tmp_path / "copy.png").read_bytes()).hexdigest()
+    manifest = spark.createDataFrame([(2024, 1, "", "", "http://h/13-CBS-L-V2.png", "live", "", "gone/away.png", "downloaded", digest, 5, 0), (2024, 1, "", "", "http://h/x.png", "live", "", "", "downloaded", "", 5, 1)], "season int, week int, slot string, context string, image_url string, page_source string, capture_timestamp string, local_path string, status string, sha256 string, bytes long, ord long")
     html = "<h3>CBS LATE</h3><p><img src='/swatches/1.png'> Pittsburgh @ NY Jets (LATE)</p><p>Blue: Miami at Buffalo</p>"
-    pages = spark.createDataFrame([(2024, 1, html)], "season int, week int, html string")
+    attempts = spark.createDataFrame([(2024, 1, 0, "<p>nothing</p>"), (2024, 1, 1, None), (2024, 1, 2, html), (2024, 1, 3, "<h3>CBS LATE</h3><p>Red: A at B</p>")], "season int, week int, priority int, html string")
     none = spark.createDataFrame([], "season int, week int, slot string, color string, game string")
-    got = {r["market"]: r for r in maps.build_assignments(manifest, files, polys, pages, none).collect()}
-    assert {m: (r["color"], r["game"], r["status"]) for m, r in got.items()} == {"501": ("red", "Pittsburgh @ NY Jets", "ok"), "502": ("blue", "Miami at Buffalo", "ok"), "503": (None, None, "outside_map")}
+    got = {r["market"]: r for r in maps.build_assignments(manifest, listing, files, polys, attempts, none).collect()}
+    want = {"501": ("red", "Pittsburgh @ NY Jets", "ok"), "502": ("blue", "Miami at Buffalo", "ok"), "503": (None, None, "outside_map"), "504": (None, None, "empty_polygon"), "505": (None, None, "outside_map")}
+    assert {m: (r["color"], r["game"], r["status"]) for m, r in got.items()} == want
     assert (got["501"]["away_team"], got["501"]["home_team"], got["501"]["effective_window"], got["501"]["review"]) == ("Pittsburgh", "NY Jets", "LATE", False)
     assert {r["color"] for r in images.dominant_color(files).collect()} <= {"red", "blue"}
 
 
+def test_sampled_points(spark):
+    """Every sampled pixel lies in its polygon and not in its hole; a sliver gets more points, and
+    one between grid lines its middle; the count follows the target."""
+    width, height = 400, 300
+    data = bytes(v for y in range(height) for x in range(width) for v in (x % 256, y % 256, x // 256 + 2 * (y // 256)))
+    files = spark.createDataFrame([("a", 1, "a", width, height, 3, bytearray(data))], "digest string, copies int, path string, width int, height int, channels int, data binary")
+    shapes = [("big", [[box(-50.0, 200.0, 20.0, 220.0), box(100.0, 140.0, 60.0, 180.0)]]), ("far", [[box(500.0, 600.0)]]), ("parts", [[box(210.0, 300.0, 0.0, 100.0)], [box(250.0, 390.0, 150.0, 290.0)]]), ("sliver", [[box(301.0, 303.0, 5.0, 8.0)]]), ("thin", [[[(310.0, 5.0), (390.0, 9.5), (310.0, 6.0)]]])]
+    polys = spark.createDataFrame([(p, s, width, height) for p, s in shapes], f"poly string, parts {PARTS}, frame_w int, frame_h int")
+    seen = {}
+    for r in images.sample_polygons(files, images.polygon_frames(polys, files)).collect():
+        seen.setdefault(r["poly"], []).extend([(r["b"] + 256 * (r["r"] % 2), r["g"] + 256 * (r["r"] // 2))] * r["n"])
+    assert set(seen) == {"big", "parts", "sliver", "thin"}
+    assert all(x <= 200 and 20 <= y <= 220 and not (101 <= x <= 139 and 61 <= y <= 179) for x, y in seen["big"])
+    assert 150 < len(seen["big"]) < 300 and 150 < len(seen["parts"]) < 300
+    assert all((210 <= x <= 300 and y <= 100) or (250 <= x <= 390 and 150 <= y <= 290) for x, y in seen["parts"])
+    assert len(seen["sliver"]) == 30 and len(seen["thin"]) >= 20
+
+
 def test_legend(spark):
     html = "<!-- Purple: #123456 --><h2>FOX EARLY</h2><div><font color='#123456'>x</font> A @ B</div><div><font color='#123456'>x</font> C @ D</div><h2>FOX LATE</h2><p>Red: E at F</p><p>no matchup</p>"
     got = {(r["slot"], r["color"]): (r["games"], r["ambiguous"]) for r in legends.extract_legend(spark.createDataFrame([(1, html), (2, None)], "page int, html string"), ["page"]).collect()}

@@ -52,3 +52,28 @@ def test_written_once_and_released(spark):
     assert cuts.written(a) is a
     cuts.release(a)
     assert not os.path.exists(a.cut_path)
+
+
+def test_running_totals_and_medians(spark):
+    """Sums up to each row over many ranges; medians of a key with most of the values."""
+    import statistics
+
+    from fieldcast.operators.consensus import consensus_medians
+    from fieldcast.operators.ordering import running_totals
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.choice([None, *range(200)]), rng.randrange(4)) for _ in range(4000)] + [("none", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v int, w int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running_totals(df, ["k"], [F.asc("v")], "w", "upto", "total").collect()
+        medians = {r["k"]: r["m"] for r in consensus_medians(df, ["k"], "v", "m").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in ("hot", "a", None, "none"):
+        mine = sorted(((r.upto, r.v if r.v is not None else -1, r.w) for r in got if r.k == k), key=lambda x: (x[1], x[0]))
+        total = sum(r[2] for r in rows if r[0] == k)
+        assert [m[0] for m in mine] == sorted(m[0] for m in mine) and mine[-1][0] == total
+        assert sum(m[2] for m in mine) == total
+        values = [r[1] for r in rows if r[0] == k and r[1] is not None]
+        assert medians[k] == (statistics.median(values) if values else None)
