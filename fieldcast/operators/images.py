@@ -28,7 +28,9 @@ def _plain(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files with the digest of their bytes: path, name, length, digest (lower-case SHA-256)."""
+    """Files with the digest of their bytes: path, name, length, digest (lower-case SHA-256).
+
+    Spark leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(_plain(F.col("path")).alias("path"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.sha2("content", 256).alias("digest"))
 
