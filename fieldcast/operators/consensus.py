@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from .ordering import running_totals
 
 
-def explode_outcomes(events: DataFrame) -> DataFrame:
-    """One row per event, book, market and outcome; events without books are kept once."""
-    books = events.select("id", F.posexplode_outer("bookmakers").alias("book", "b"))
-    markets = books.select("id", "book", F.col("b.last_update").alias("book_update"), F.explode_outer("b.markets").alias("m"))
-    return markets.select("id", "book", "book_update", F.col("m.key").alias("market"), F.col("m.last_update").alias("market_update"), F.posexplode_outer("m.outcomes").alias("pos", "o")).select(
-        "id", "book", "book_update", "market", "market_update", "pos", F.col("o.name").alias("name"), F.col("o.price").alias("price"), F.col("o.point").alias("point")
-    )
-
-
 def outcome_named(outcomes: Column, name: Column | str) -> Column:
     """The first outcome of that name in an array; null if there is none."""
     n = F.lit(name) if isinstance(name, str) else name
