@@ -2,15 +2,18 @@
 
 A page is read as a stream of tags and text. Block tags cut it into blocks; each knows its
 words, how many are stop words, how many characters stand in links, and which containers hold
-it. Pass one decides what it can: blocks of navigation, footers, forms and the like are
-boilerplate, and so are blocks that are mostly link; long text with enough stop words is
-content. Short blocks, and long ones with few stop words, stay ambiguous. In pass two these
-take the label of their nearest decided neighbour.
-
-Where a page marks an article, its borders count as content: what is ambiguous beside them is
-part of it. What links or densities decided against inside an article stays out and draws the
-ambiguous blocks next to it along. Containers speak for what they hold, not for their
-neighbours.
+it. Pass one decides what it can: blocks of navigation, footers and the like are boilerplate,
+and so are blocks that are mostly link; long text with enough stop words is content (in a
+script of which no stop words are listed, long text with few links). Short blocks, and long
+ones with few stop words, stay ambiguous. In pass two these take the label of their nearest
+decided neighbour.
+
+A form, or a container whose class or id is named like boilerplate, is a doubtful one: it goes
+only from a page that has content elsewhere, or if it has none itself. Where a page marks an
+article that holds as much content as the rest, the rest goes, and the article's borders count
+as content: what is ambiguous beside them is part of it. What links or densities decided against
+inside an article stays out and draws the ambiguous blocks next to it along. Containers speak
+for what they hold, not for their neighbours.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 #: Tag names, and words in class, id and role that mark what is no article.
 DROPPED = "script style noscript template textarea select button svg math iframe object canvas audio video head title"
-SKIPPED = "nav header footer aside form menu dialog fieldset search"
+SKIPPED = "nav header footer aside menu dialog search"
+DOUBTFUL = "form fieldset"
 ARTICLE = "article main"
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
@@ -39,7 +43,7 @@ BOILERPLATE_WORDS = (
 )
 #: Words beside those that make a class speak of the layout around an article.
 LAYOUT_WORDS = "no has with without layout"
-BOILERPLATE_ROLES = "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form"
+BOILERPLATE_ROLES = "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar"
 STOP_WORDS = {
     "en": "the of and to in a is that it for was on are as with his they be at one have this from or had by not but what all were we when your can said there an which she do their if will up other about out many then them these so some her would make like him into time has",
     "de": "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an werden aus er hat dass sie nach bei um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man dem ich im",
@@ -47,7 +51,7 @@ STOP_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy",
 }
 
-_sets = {k: frozenset(v.split()) for k, v in (("drop", DROPPED), ("skip", SKIPPED), ("article", ARTICLE), ("block", BLOCKS), ("void", VOID), ("self", SELF_ENDING), ("role", BOILERPLATE_ROLES), ("word", BOILERPLATE_WORDS), ("layout", LAYOUT_WORDS))}
+_sets = {k: frozenset(v.split()) for k, v in (("drop", DROPPED), ("skip", SKIPPED), ("doubt", DOUBTFUL), ("article", ARTICLE), ("block", BLOCKS), ("void", VOID), ("self", SELF_ENDING), ("role", BOILERPLATE_ROLES), ("word", BOILERPLATE_WORDS), ("layout", LAYOUT_WORDS))}
 _stop = frozenset(w for v in STOP_WORDS.values() for w in v.split())
 
 _marks = ".,;:!?()\"'#*$%&|<>"
@@ -87,31 +91,39 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     skipped: bool = False
+    doubtful: int = 0
     article: int = 0
     heading: bool = False
     label: str = ""
     text: str = ""
 
 
-def _marks_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+#: What a container's tag and attributes say of it.
+_PLAIN, _BOILERPLATE, _DOUBTFUL = 0, 1, 2
+
+
+def _mark_of(tag: str, attrs: str, in_article: bool) -> int:
+    """A name counts as a whole word or as the last word of one: ``comments`` and
+    ``post-comments``, but not ``comments-open``."""
     if tag in _sets["skip"]:
         # an article's own header holds its headline
-        return not (in_article and tag == "header")
+        return _PLAIN if in_article and tag == "header" else _BOILERPLATE
+    mark = _DOUBTFUL if tag in _sets["doubt"] else _PLAIN
     if "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return mark
     if _HIDDEN.search(attrs):
-        return True
+        return _BOILERPLATE
     for name, a, b, c in _NAMES.findall(attrs):
         value = html.unescape(a or b or c).lower()
         if name.lower() == "role":
             if value.strip() in _sets["role"]:
-                return True
+                return _BOILERPLATE
         elif tag not in ("html", "body", "main"):
             for token in value.split():
-                words = _SPLIT.split(token)
-                if not _sets["word"].isdisjoint(words) and _sets["layout"].isdisjoint(words):
-                    return True
-    return False
+                words = [w for w in _SPLIT.split(token) if w]
+                if words and words[-1] in _sets["word"] and _sets["layout"].isdisjoint(words):
+                    mark = _DOUBTFUL
+    return mark
 
 
 class _Open:
@@ -119,12 +131,12 @@ class _Open:
     end tag has to search them."""
 
     def __init__(self) -> None:
-        self.tags: list[tuple[str, bool, int]] = []  # name, boilerplate, article before it
+        self.tags: list[tuple[str, int, int]] = []  # name, mark, article before it
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.articles: list[int] = []
 
-    def push(self, tag: str, bad: bool, article: int) -> None:
+    def push(self, tag: str, bad: int, article: int) -> None:
         at = len(self.tags)
         self.tags.append((tag, bad, article))
         self.places.setdefault(tag, []).append(at)
@@ -133,7 +145,7 @@ class _Open:
         if tag in _sets["article"]:
             self.articles.append(at)
 
-    def pop(self) -> tuple[str, bool, int]:
+    def pop(self) -> tuple[str, int, int]:
         tag, bad, article = self.tags.pop()
         self.places[tag].pop()
         if tag in _sets["block"]:
@@ -162,13 +174,15 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     tags = _Open()
     skipping, article, articles, links, here = 0, 0, 0, 0, None
+    doubts, doubtful = 0, 0  # open doubtful containers, and the number of the outermost one
     heading = False
 
     def close(at: int) -> None:
-        nonlocal skipping, article, links, heading
+        nonlocal skipping, article, links, heading, doubts
         while len(tags.tags) > at:
             name, bad, article = tags.pop()
-            skipping -= bad
+            skipping -= bad == _BOILERPLATE
+            doubts -= bad == _DOUBTFUL
             links -= name == "a"
             if name in _HEADINGS:
                 heading = False
@@ -176,7 +190,7 @@ def blocks_of(page: str) -> list[Block]:
     def text(raw: str) -> None:
         nonlocal here
         if here is None:
-            here = Block(skipped=skipping > 0, article=article, heading=heading)
+            here = Block(skipped=skipping > 0, doubtful=doubtful if doubts else 0, article=article, heading=heading)
             out.append(here)
         here.parts.append(raw)
         if links:
@@ -210,9 +224,11 @@ def blocks_of(page: str) -> list[Block]:
         if block and (place := tags.place_ended_by(tag)) is not None:
             close(place)
         attrs = m["attr"] or ""
-        bad = tag in _sets["drop"] or _marks_boilerplate(tag, attrs, article > 0)
+        bad = _BOILERPLATE if tag in _sets["drop"] else _mark_of(tag, attrs, article > 0)
         tags.push(tag, bad, article)
-        skipping += bad
+        skipping += bad == _BOILERPLATE
+        doubtful += bad == _DOUBTFUL and not doubts
+        doubts += bad == _DOUBTFUL
         links += tag == "a"
         heading = heading or tag in _HEADINGS
         if tag in _sets["article"] and not skipping and not article:
@@ -232,15 +248,37 @@ def stop_density(text: str) -> float:
     return sum(w.strip(_marks) in _stop for w in words) / len(words)
 
 
+def listed_script(text: str) -> bool:
+    """The text's letters are mostly Latin, for which stop words are listed."""
+    return sum(c > "\u024f" and c.isalpha() for c in text) * 2 <= sum(map(str.isalpha, text))
+
+
+def is_content(b: Block, rules: Rules) -> bool:
+    """Long text with few links, and enough stop words if its script has any listed."""
+    share = b.linked / len(b.text)
+    if len(b.text) < rules.content_chars or share > rules.link_density:
+        return False
+    return stop_density(b.text) >= rules.stop_density if listed_script(b.text) else share <= rules.some_links
+
+
 def first_pass(blocks: list[Block], rules: Rules = Rules()) -> None:
     """Label blocks ``good``, ``bad`` or ``unsure``; ``out`` for those of boilerplate containers
-    and, where the page marks an article, for those outside."""
-    marked = any(b.article and not b.skipped for b in blocks)
+    and, where the page marks an article with as much content as the rest, for those outside."""
+    good = [not b.skipped and is_content(b, rules) for b in blocks]
+    kept = set()  # doubtful containers that the page can't do without
+    if not any(g and not b.doubtful for g, b in zip(good, blocks)):
+        kept = {b.doubtful for g, b in zip(good, blocks) if g}
+    out = [b.skipped or (b.doubtful > 0 and b.doubtful not in kept) for b in blocks]
+    inside = sum(len(b.text) for g, o, b in zip(good, out, blocks) if g and not o and b.article)
+    outside = sum(len(b.text) for g, o, b in zip(good, out, blocks) if g and not o and not b.article)
+    marked = inside >= outside and any(b.article and not o for o, b in zip(out, blocks))
     run = 0
     for k, b in enumerate(blocks):
+        if not marked:
+            b.article = 0
         long = len(b.text) >= rules.content_chars
         share = b.linked / len(b.text)
-        if b.skipped or (marked and not b.article):
+        if out[k] or (marked and not b.article):
             b.label, run = "out", 0
             continue
         mostly = share > rules.link_density
@@ -250,7 +288,7 @@ def first_pass(blocks: list[Block], rules: Rules = Rules()) -> None:
             if run >= rules.link_run:
                 for c in blocks[k + 1 - run : k + 1]:
                     c.label = "bad"
-        elif long and stop_density(b.text) >= rules.stop_density:
+        elif good[k]:
             b.label = "good"
         else:
             b.label = "bad" if long and share > rules.some_links else "unsure"

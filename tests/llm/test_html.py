@@ -80,6 +80,94 @@ def test_unsure_text_between_two_articles_is_outside():
     assert main_text(page) == f"{LONG} Two."
 
 
+JAPANESE = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 4
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article class="post type-post comments-open"><p>{LONG}</p></article>', LONG),
+        (f'<div class="entry share-enabled"><p>{LONG}</p></div>', LONG),
+        (f'<div class="main sidebar-left"><p>{LONG}</p></div>', LONG),
+        (f'<div class="topic-social-science"><p>{LONG}</p></div>', LONG),
+        (f'<body><form id=aspnetForm action="./"><input type=hidden><nav>menu</nav><h1>Head</h1><p>{LONG}</p><select><option>one</select><footer>foot</footer></form></body>', f"Head {LONG}"),
+        (f"<body><h1>猫</h1><p>{JAPANESE}</p><p><a href=/>次の話</a></p></body>", f"猫 {JAPANESE}"),
+        (f"<article><a href=/>Teaser</a> of it</article><div><p>{LONG}</p><p>{LONG} And on.</p></div>", f"Teaser of it {LONG} {LONG} And on."),
+        (f'<div class="elementor-widget"><p>{LONG}</p></div><div class="widget">Tags: a, b</div>', LONG),
+    ],
+)
+def test_no_article_is_lost_to_a_name(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "sidebar", "right-sidebar", "cookie-notice", "ad", "related", "newsletter signup"])
+def test_named_boilerplate_goes_where_there_is_content(name):
+    """Reader comments and the like go, however long, beside an article or in it."""
+    other = f'<div class="{name}"><p>{LONG} {LONG} {LONG}</p><p>Me too.</p></div>'
+    assert main_text(f"<div><p>{LONG}</p></div>{other}") == LONG
+    assert main_text(f"<article><p>{LONG}</p>{other}</article>") == LONG
+    assert main_text(f"<article><p>{LONG}</p></article><form><p>{LONG}</p><button>Send</button></form>") == LONG
+    assert main_text(f'<div class="{name}">Buy now</div><p>Only this.</p>') == "Only this."
+
+
+def plain_main_text(spec, rules=Rules()):
+    """Both passes over (container, in article, blocks of (text, linked characters, heading))."""
+    rows = [(kind, k if art else 0, k, *b) for k, (kind, art, blocks) in enumerate(spec, 1) for b in blocks]
+
+    def content(r):
+        text, linked = r[3], r[4]
+        return len(text) >= rules.content_chars and linked / len(text) <= rules.link_density and html_text.stop_density(text) >= rules.stop_density
+
+    good = [r[0] != "nav" and content(r) for r in rows]
+    elsewhere = any(g and r[0] not in ("form", "named") for g, r in zip(good, rows))
+    needed = {r[2] for g, r in zip(good, rows) if g} if not elsewhere else set()
+    alive = [r[0] != "nav" and (r[0] not in ("form", "named") or r[2] in needed) for r in rows]
+    size = lambda inside: sum(len(r[3]) for g, a, r in zip(good, alive, rows) if g and a and bool(r[1]) == inside)
+    marked = size(True) >= size(False) and any(a and r[1] for a, r in zip(alive, rows))
+    left = [(r[1] if marked else 0, *r[3:], g) for g, a, r in zip(good, alive, rows) if a and (r[1] or not marked)]
+    labels = []
+    for art, text, linked, heading, g in left:
+        share, long = linked / len(text), len(text) >= rules.content_chars
+        if share > rules.link_density:
+            labels.append("unsure" if heading or (art and not long) else "bad")
+        else:
+            labels.append("good" if g else "bad" if long and share > rules.some_links else "unsure")
+    out, at = [], 0
+    for art in dict.fromkeys(x[0] for x in left):
+        mine = [i for i, x in enumerate(left) if x[0] == art]
+        for i, label in zip(mine, plain_second_pass([labels[i] for i in mine], [left[i][3] for i in mine], art > 0)):
+            if label == "good":
+                out.append((i, left[i][1]))
+    return " ".join(t for _, t in sorted(out))
+
+
+def test_generated_pages_against_brute_force():
+    """Pages of navigation, forms, named containers, plain ones and articles, with short, long
+    and linked blocks, no three of them linked in a row."""
+    rng = random.Random(11)
+    found = 0
+    for _ in range(300):
+        spec, page = [], ""
+        for _ in range(rng.randint(1, 6)):
+            kind, art = rng.choice([("nav", False), ("form", False), ("named", False), ("plain", False), ("plain", True), ("plain", True)])
+            blocks, made = [], ""
+            for j in range(rng.randint(1, 4)):
+                text = rng.choice([LONG, ODD, "Short.", f"{LONG} {rng.randrange(99)}", f"w{rng.randrange(99)} of it"])
+                part = rng.choice([0, 0, 0, 0.3, 1]) if j % 2 else 0
+                cut = int(len(text) * part)
+                while cut and (text[cut - 1] == " " or text[cut : cut + 1] == " "):
+                    cut += 1
+                heading = rng.random() < 0.2
+                blocks.append((text, cut, heading))
+                inner = f"<a href=x>{text[:cut]}</a>{text[cut:]}" if cut else text
+                made += f"<h2>{inner}</h2>" if heading else f"<p>{inner}</p>"
+            spec.append((kind, art, blocks))
+            page += {"nav": f"<nav>{made}</nav>", "form": f"<form>{made}</form>", "named": f'<div id="site-comments">{made}</div>', "plain": f"<article>{made}</article>" if art else f"<div>{made}</div>"}[kind]
+        assert main_text(page) == plain_main_text(spec), page
+        found += bool(plain_main_text(spec))
+    assert found > 200
+
+
 @pytest.mark.parametrize(
     "page",
     ["<b>" * 100_000 + "</i>" * 100_000, "<i><article>" + "<b>" * 100_000 + "</i>" * 100_000, "<a" * 500_000, '<a "' * 250_000, "<p>" * 100_000 + "</li>" * 100_000, "<!--" * 200_000, "<a class='" * 100_000 + ">"],
