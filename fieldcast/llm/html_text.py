@@ -9,7 +9,7 @@ ones with few stop words, stay ambiguous. In pass two these take the label of th
 decided neighbour.
 
 A form, or a container whose class or id is named like boilerplate, is a doubtful one: it goes
-only from a page that has content elsewhere, or if it has none itself. Where a page marks an
+only from a page that has content or an article elsewhere, or if it has no content itself. Where a page marks an
 article that holds as much content as the rest, the rest goes, and the article's borders count
 as content: what is ambiguous beside them is part of it. What links or densities decided against
 inside an article stays out and draws the ambiguous blocks next to it along. Containers speak
@@ -84,6 +84,7 @@ _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_OTHER_SCRIPTS = re.compile("[\u0370-\u1dff\u2e80-\uffef\U00010000-\U0010ffff]+")
 
 
 @dataclass
@@ -249,8 +250,8 @@ def stop_density(text: str) -> float:
 
 
 def listed_script(text: str) -> bool:
-    """The text's letters are mostly Latin, for which stop words are listed."""
-    return sum(c > "\u024f" and c.isalpha() for c in text) * 2 <= sum(map(str.isalpha, text))
+    """Not most of the text is in scripts other than Latin, for which stop words are listed."""
+    return text.isascii() or 2 * sum(map(len, _OTHER_SCRIPTS.findall(text))) <= len(text)
 
 
 def is_content(b: Block, rules: Rules) -> bool:
@@ -266,7 +267,7 @@ def first_pass(blocks: list[Block], rules: Rules = Rules()) -> None:
     and, where the page marks an article with as much content as the rest, for those outside."""
     good = [not b.skipped and is_content(b, rules) for b in blocks]
     kept = set()  # doubtful containers that the page can't do without
-    if not any(g and not b.doubtful for g, b in zip(good, blocks)):
+    if not any((g or b.article) and not b.skipped and not b.doubtful for g, b in zip(good, blocks)):
         kept = {b.doubtful for g, b in zip(good, blocks) if g}
     out = [b.skipped or (b.doubtful > 0 and b.doubtful not in kept) for b in blocks]
     inside = sum(len(b.text) for g, o, b in zip(good, out, blocks) if g and not o and b.article)

@@ -108,6 +108,7 @@ def test_named_boilerplate_goes_where_there_is_content(name):
     assert main_text(f"<article><p>{LONG}</p>{other}</article>") == LONG
     assert main_text(f"<article><p>{LONG}</p></article><form><p>{LONG}</p><button>Send</button></form>") == LONG
     assert main_text(f'<div class="{name}">Buy now</div><p>Only this.</p>') == "Only this."
+    assert main_text(f'<div class="{name}"><p>{LONG}</p></div><article><h1>Head</h1><p>Short one.</p></article>') == "Head Short one."
 
 
 def plain_main_text(spec, rules=Rules()):
@@ -119,7 +120,7 @@ def plain_main_text(spec, rules=Rules()):
         return len(text) >= rules.content_chars and linked / len(text) <= rules.link_density and html_text.stop_density(text) >= rules.stop_density
 
     good = [r[0] != "nav" and content(r) for r in rows]
-    elsewhere = any(g and r[0] not in ("form", "named") for g, r in zip(good, rows))
+    elsewhere = any((g or r[1]) and r[0] not in ("nav", "form", "named") for g, r in zip(good, rows))
     needed = {r[2] for g, r in zip(good, rows) if g} if not elsewhere else set()
     alive = [r[0] != "nav" and (r[0] not in ("form", "named") or r[2] in needed) for r in rows]
     size = lambda inside: sum(len(r[3]) for g, a, r in zip(good, alive, rows) if g and a and bool(r[1]) == inside)
