@@ -29,6 +29,13 @@ HEADING_WORDS = [
 _MATCHUP = r"(?i)([A-Za-z0-9 .'-]+?)\s+(?:at|@|vs\.?|versus)\s+([A-Za-z0-9 .'-]+)"
 _MARKER = r"(?i)\s*\(\s*(late|early)\s*\)\s*$"
 _REMARK = r"(?i)\s*\((?![^)]*\b(?:late|early)\b\s*\))[^)]*(?:announc|blackout|subject)[^)]*\)\s*$"
+#: Patterns of a revision in a file's stem and of a numbered swatch, what is
+#: stripped off a game's text, other words for a colour, generation suffixes of names.
+_REVISION = r"(?i)(?:^|[-_])V(\d+)(?:\.|[-_]|$)"
+_SWATCH = r"(?i)/swatches/(\d+)\.(?:png|gif|jpe?g|webp)"
+_DASHES = " -–—:|\t\r\n"
+_LIGHT_BLUE = ("cyan", "lightblue", "light_blue")
+_GENERATION = r"\b(jr|sr|ii|iii|iv|v)\b\.?"
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -37,12 +44,12 @@ def _lookup(table: dict[str, str]) -> Column:
 
 def name_key(name: Column) -> Column:
     """Lower case without generation suffixes and without anything but a-z and 0-9."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\b(jr|sr|ii|iii|iv|v)\b\.?", ""), "[^a-z0-9]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), _GENERATION, ""), "[^a-z0-9]", "")
 
 
 def clean_game_text(text: Column) -> Column:
     """Single blanks, no blanks or dashes at the ends, no trailing remark; 180 characters."""
-    t = F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" -–—:|\t\r\n"))
+    t = F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(_DASHES))
     return F.substring(F.regexp_replace(t, _REMARK, ""), 1, 180)
 
 
@@ -66,7 +73,7 @@ def game_teams(game: Column) -> Column:
 
 def canonical_color(raw: Column) -> Column:
     s = F.regexp_replace(F.trim(F.replace(F.lower(raw), F.lit("gray"), F.lit("grey"))), r"\s+", "_")
-    return F.when(s.isin("cyan", "lightblue", "light_blue"), "light_blue").otherwise(s)
+    return F.when(s.isin(*_LIGHT_BLUE), "light_blue").otherwise(s)
 
 
 def injury_label(raw: Column) -> Column:
@@ -124,7 +131,7 @@ def url_stem(url: Column) -> Column:
 
 def revision_from_url(url: Column) -> Column:
     """Number after ``V`` in the stem, else 0."""
-    return F.coalesce(F.regexp_extract(url_stem(url), r"(?i)(?:^|[-_])V(\d+)(?:\.|[-_]|$)", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(url_stem(url), _REVISION, 1).try_cast("int"), F.lit(0))
 
 
 def normalize_slot(url: Column, context: Column, manifest_slot: Column) -> Column:
@@ -170,4 +177,4 @@ def color_key(html: Column) -> Column:
 
 
 def swatch_number(src: Column) -> Column:
-    return F.regexp_extract(src, r"(?i)/swatches/(\d+)\.(?:png|gif|jpe?g|webp)", 1).try_cast("int")
+    return F.regexp_extract(src, _SWATCH, 1).try_cast("int")

@@ -17,6 +17,9 @@ from .voting import ambiguous_legend
 #: Numbered swatches' colours, and the longest text that can be a heading.
 SWATCHES = {1: "red", 2: "blue", 3: "green", 4: "yellow", 5: "orange", 6: "light_blue", 7: "purple", 8: "brown"}
 HEADING_CHARS = 40
+#: A colour's name before a matchup, and what makes a line one.
+_LEAD = r"(?i)^\s*(red|blue|green|yellow|orange|purple|pink|gray|grey|brown|light\s*blue|cyan)\s*[:\-–]\s*"
+_GAME = r"(?i)\S\s+(?:at|@|vs\.?|versus)\s+\S|no game"
 _LINES = {"p", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "table", "ul", "ol"}
 _SKIP = {"script", "style", "noscript"}
 
@@ -91,11 +94,10 @@ def extract_legend(pages: DataFrame, keys: list[str], html: str = "html") -> Dat
     nodes = page_nodes(pages, keys, html).join(pages.select(*keys, color_key(F.col(html)).alias("key")), keys)
     short = F.length("text") <= HEADING_CHARS
     nodes = section_fill(nodes.withColumn("heading", F.when(short, heading_slot(F.col("text")))), keys)
-    lead = r"(?i)^\s*(red|blue|green|yellow|orange|purple|pink|gray|grey|brown|light\s*blue|cyan)\s*[:\-–]\s*"
     swatch = F.try_element_at(F.create_map(*[F.lit(x) for p in SWATCHES.items() for x in p]), swatch_number(F.col("chip")))
     by_hex = F.when(F.col("chip").startswith("#"), F.nullif(color_name_from_hex(F.col("chip"), F.col("key")), F.lit("")))
-    named = F.when(F.col("text").rlike(lead), canonical_color(F.regexp_extract("text", lead, 1)))
-    game = clean_game_text(F.regexp_replace("text", lead, ""))
-    rows = nodes.select(*keys, "slot", F.coalesce(swatch, by_hex, named).alias("color"), game.alias("game"), F.col("text").rlike(r"(?i)\S\s+(?:at|@|vs\.?|versus)\s+\S|no game").alias("_game"))
+    named = F.when(F.col("text").rlike(_LEAD), canonical_color(F.regexp_extract("text", _LEAD, 1)))
+    game = clean_game_text(F.regexp_replace("text", _LEAD, ""))
+    rows = nodes.select(*keys, "slot", F.coalesce(swatch, by_hex, named).alias("color"), game.alias("game"), F.col("text").rlike(_GAME).alias("_game"))
     rows = rows.filter("_game and color is not null and slot is not null")
     return ambiguous_legend(rows, [*keys, "slot", "color"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldcast.jobs import boundaries, feeds, maps, prediction
 from fieldcast.operators import basic, compaction, consensus, geometry, images, legends, projections, rosters, snapshots, voting, win_model
 from fieldcast.sources import readers, writers
-from fieldcast.streaming.latest import keep_latest
+from fieldcast.streaming.latest import keep_latest, latest
 
 
 def test_final_revision(spark):
@@ -234,7 +234,11 @@ def test_stream_of_snapshots(spark, tmp_path):
     merge(batch(("a", 1, 0), ("b", 1, 1)), 0)
     merge(batch(("a", 2, 2)), 1)
     merge(batch(("a", 2, 2)), 1)
-    assert {tuple(r) for r in writers.published(spark, str(tmp_path / "s")).collect()} == {("a", 2, 2), ("b", 1, 1)}
+    assert {tuple(r) for r in latest(spark, str(tmp_path / "s")).collect()} == {("a", 2, 2), ("b", 1, 1)}
+    parts = lambda: sorted(p.name for p in (tmp_path / "s").glob("v-*/_bucket=*"))
+    assert len(parts()) == 4  # each batch wrote its own buckets alone
+    merge(batch().limit(0), 2)
+    assert len(parts()) == 4 and latest(spark, str(tmp_path / "none")) is None
 
 
 def test_small_tables_only(spark):
