@@ -10,7 +10,8 @@ lightest words, together too light to reach it, are taken away.
 Licences that share most of their words are told apart by the few they don't share: version
 numbers and words such as *lesser* or *noncommercial* must agree with the template's, and of
 templates nearly as similar the one wins whose own words the passage holds. A licence that is
-in no template gives none rather than its neighbour.
+in no template gives none rather than its neighbour; so does a notice that is taken back. An
+identifier line that joins several licences gives them all, joined.
 
 A file without a notice inherits from the licence file in the nearest directory above it. Each
 distinct directory is joined with the licence files of all its ancestors, the deepest wins, and
@@ -49,18 +50,49 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^a-z\s])")
 _COMMENT = re.compile(r"\s*(?:#+|//+|/\*+|\*+/?|;+|--+|%+|<!--+|\"{3}|'{3}|(?:REM|rem|dnl)\b)(?!\w)\s*")
 _COMMENT_END = re.compile(r"\s*(?:\*+/|--+>|\"{3}|'{3})\s*\Z")
 #: Words that tell licences of one family apart, and version numbers.
-_FAMILY = {"lesser", "affero", "agpl", "lgpl", "agplv3", "lgplv3", "lgplv2.1", "gplv2", "gplv3"}
+_FAMILY = {"library-general", "lesser", "affero", "agpl", "lgpl", "agplv3", "lgplv3", "lgplv2.1", "gplv2", "gplv3"}
 _PARTS = {"nc": "nc", "noncommercial": "nc", "sa": "sa", "sharealike": "sa", "nd": "nd", "noderivatives": "nd", "noderivs": "nd"}
 _VERSION = re.compile(r"v?(\d+(?:\.\d+)?)\Z")
 _CC = re.compile(r"(?:cc-)?by(?:-(?:nc|sa|nd))*(?:-\d\.\d)?\Z|attribution(?:-[a-z]+)*\Z")
 
 
+#: A family name of two words, an identifier line, and what an expression joins.
+_LIBRARY = re.compile(r"library\s+general\s+public")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]+)", re.I)
+_JOINED = re.compile(r"[()]|\b(?:AND|OR)\b|[A-Za-z0-9.+-]+")
+_TAIL = re.compile(r"(?:-only|-or-later|\+)\Z")
+#: Words that take a notice back.
+_NEGATIONS = {"not", "never", "isn", "aren", "longer"}
+
 #: Words of any text, the first not to be signal words.
 _COMMON = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return _TOKEN.findall(_LIBRARY.sub("library-general public", text.lower()))
+
+
+def taken_back(words: list[str]) -> bool:
+    """The passage says that something is *not* licensed or released under a licence."""
+    for i, w in enumerate(words):
+        if w in ("licensed", "released") and "under" in words[i + 1 : i + 3] and not _NEGATIONS.isdisjoint(words[max(0, i - 3) : i]):
+            return True
+    return False
+
+
+def expressed(text: str, names: frozenset[str]) -> str | None:
+    """The licences of an identifier line that joins several, with their own names, joined as
+    they are there; None if there is no such line, or if it names another licence."""
+    for line in _SPDX.findall(text):
+        parts = _JOINED.findall(line.split("*/")[0].split("-->")[0])
+        ids = [_TAIL.sub("", p) for p in parts if p not in ("(", ")", "AND", "OR")]
+        if len(ids) > 1 and ("OR" in parts or "AND" in parts):
+            if not names.issuperset(ids):
+                continue
+            if len({p for p in parts if p in ("AND", "OR")}) == 1:
+                return f" {'OR' if 'OR' in parts else 'AND'} ".join(dict.fromkeys(ids))
+            return re.sub(r"\( | (?=\))", lambda m: m[0].strip(), " ".join(_TAIL.sub("", p) for p in parts))
+    return None
 
 
 def telling(words: Iterable[str]) -> tuple[frozenset[str], frozenset[str]]:
@@ -88,6 +120,7 @@ class Matcher:
 
     def __init__(self, every: list[Template], threshold: float):
         self.templates, self.threshold = every, threshold
+        self.names = frozenset(t.name for t in every)
         bags = [Counter(tokens(t.text)) for t in every]
         df = Counter(w for b in bags for w in b)
         self.idf = {w: math.log((1 + len(bags)) / (1 + c)) + 1 for w, c in df.items()}
@@ -124,12 +157,14 @@ class Matcher:
     def _holds(self, k: int, family: frozenset[str], versions: frozenset[str], file: set[str]) -> bool:
         t = self.templates[k]
         own_family, own_versions = self.telling[k]
+        if t.other and t.other[0] in file and file.isdisjoint(t.other[1]):
+            return False
         return own_family == family and own_versions <= versions and file.issuperset(t.needs) and file.isdisjoint(t.lacks)
 
     def best(self, words: list[str], file: set[str] | None = None) -> Found | None:
         """The licence of a passage, or None. ``file``: the words of its whole text."""
         got = {k: c for k, c in self.cosines(words).items() if c >= self.threshold}
-        if not got:
+        if not got or taken_back(words):
             return None
         held = set(words)
         family, versions = telling(held)
@@ -159,6 +194,8 @@ class Matcher:
         """Licence of the best passage, its cosine, the share of words in notices, and
         whether the text holds the beginning of a licence's own text."""
         every = tokens(text) if text else []
+        if text and (joined := expressed(text, self.names)):
+            return joined, 1.0, 0.0, False
         if not self._signalled(every):
             return None, 0.0, 0.0, False
         file, found, noticed = set(every), [], 0

@@ -176,3 +176,32 @@ def test_files_and_inheritance(spark):
 def test_long_text():
     text = ("word " * 30 + "\n") * 20_000 + "\n" + "Licensed under the Apache License, Version 2.0.\n" + "mit " * 200_000
     assert MATCHER.scan(text)[0] == "Apache-2.0"
+
+
+GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+ENDORSE = "4. Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software."
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library\nGeneral Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "LGPL-2.0"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+        (f"{BSD}\n3. All advertising materials mentioning features or use of this software must display an acknowledgement.\n{ENDORSE}", "BSD-4-Clause"),
+        (f"{BSD}\n{ENDORSE}", "BSD-3-Clause"),
+        (GRANT + ".\n\nTHE SOFTWARE IS PROVIDED AS IS.", "MIT-0"),
+        (GRANT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "MIT"),
+        ("This file is not licensed under the MIT License.", None),
+        ("It is no longer released under the Apache License, Version 2.0.", None),
+        ("Released under the MIT License.", "MIT"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) */\nint x;", "GPL-2.0 OR BSD-3-Clause"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later AND (MIT OR ISC)", "GPL-2.0 AND (MIT OR ISC)"),
+        ("# SPDX-License-Identifier: MIT OR Elastic-9.9", "MIT"),
+        ("The GNU General Public License is a free, copyleft license for software and other kinds of works.\n\nThe licenses for most software are designed to take away your freedom.", "GPL-3.0"),
+        ('"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.', "Apache-2.0"),
+    ],
+)
+def test_variants_have_their_own_names(text, want):
+    assert licenses.Matcher(licenses.templates(), licenses.THRESHOLD).scan(text)[0] == want
