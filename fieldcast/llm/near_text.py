@@ -12,8 +12,9 @@ in too few minima go; the others are confirmed by the two whole sets of shingles
 
 Groups with an equal band are compared in full if small. In a large one all are first compared
 with one member, another for each band; what is then not in the group's largest component is
-compared with every member outside its own component, sketch by sketch in blocks, so only
-pairs whose sketches agree leave a task. Nothing is capped.
+compared with every member outside its own component, in blocks that hold the texts: first
+sketch by sketch, then, where sketches agree, set by set, so only links leave a task, one for
+each component that they join. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ TRIE_BITS = 3
 #: of 3.3, so 99.9 % of such pairs have more.
 AGREE = 45
 _SMALL = 32
-_BLOCK = 512
+_BLOCK = 256
 _CHUNK = 100_000
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * MINIMA, np.uint64)
@@ -168,18 +169,23 @@ class _Links:
                 best = both.groupBy("a").agg(F.max_by("b", F.struct("agree", F.xxhash64("a", "b"))).alias("b"))
                 ask = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             ask = materialize(ask.select("a", "b"))
-            found = materialize(confirm(ask, self.texts, self.least))
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.labels = materialize(connected_components(self.links))
+            self.include(materialize(confirm(ask, self.texts, self.least)))
             left = left.join(ask, ["a", "b"], "left_anti")
 
+    def include(self, found: DataFrame) -> None:
+        """Take confirmed links in, and find the components anew."""
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.labels = materialize(connected_components(self.links))
 
-def _outsiders(many: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``a``, ``b``, ``agree`` of pairs in large groups (``band``, ``node``) of which one end is
-    not in its group's largest component and the other in another component than the first.
+
+def _outsiders(many: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
+    """Confirmed links (``a``, ``b``) of large groups (``band``, ``node``) between a text that is
+    not in its group's largest component and one in another component.
 
     A group is cut into blocks of its members; those outside the largest component go to each
-    of its blocks, in blocks of their own.
+    of its blocks, in blocks of their own. The texts travel with them: a pair whose sketches
+    agree and which no link of the block joins yet is confirmed there, so that a task sends no
+    more links than its blocks have components, however many pairs are nearly similar.
     """
     many = many.join(nodes.select("node", "minima"), "node")
     if labels is not None:
@@ -192,23 +198,35 @@ def _outsiders(many: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> D
     block, other = F.pmod("h", "blocks"), F.pmod(F.shiftright("h", 20), F.col("others"))
     inside = rows.select("band", block.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("y"), F.lit(0).alias("side"), "node", "comp", "minima")
     outside = rows.filter("outside").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), other.alias("y"), F.lit(1).alias("side"), "node", "comp", "minima")
-    units = inside.unionByName(outside).select(F.xxhash64("band", "x", "y").alias("unit"), "side", "node", "comp", "minima")
+    units = inside.unionByName(outside).select(F.xxhash64("band", "x", "y").alias("unit"), "side", "node", "comp", "minima").join(texts, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "unit"):
+        for table in whole_groups(batches, "unit", 1):  # one unit at a time: it holds texts
             unit, side, node, comp = (table.column(c).to_numpy() for c in ("unit", "side", "node", "comp"))
             low = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(len(unit), -1)
+            text = table.column("text")
             edge = np.append(np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])), len(unit))
             for lo, hi in zip(edge, edge[1:]):
                 mid = lo + int(np.searchsorted(side[lo:hi], 1))
+                of = comp[lo:hi].copy()  # grows together as links are found
+                made = lru_cache(maxsize=None)(lambda i: shingle_set(text[int(i)].as_py()))
+                links = []
                 for k in range(mid, hi):
                     agree = (low[lo:mid] == low[k]).sum(1)
-                    at = lo + np.flatnonzero((agree >= AGREE) & (comp[lo:mid] != comp[k]))
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[k])), pa.array(np.maximum(node[at], node[k])), pa.array(agree[at - lo].astype(np.int32))], names=["a", "b", "agree"])
+                    # the likeliest first: one link makes the others of its component needless
+                    for i in np.argsort(-agree, kind="stable"):
+                        if agree[i] < AGREE:
+                            break
+                        if of[i] != of[k - lo] and jaccard(made(lo + i), made(k)) >= least:
+                            links.append((node[lo + i], node[k]))
+                            of[of == of[i]] = of[k - lo]
+                if links:
+                    ends = np.array(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
 
     parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, "unit").sortWithinPartitions("unit", "side", "node").mapInArrow(run, "a long, b long, agree int").distinct()
+    units = units.select("unit", "side", "node", "comp", "minima", "text")
+    return units.repartition(parts, "unit").sortWithinPartitions("unit", "side", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame:
@@ -238,7 +256,7 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     links = _Links(texts, least)
     links.add(pairs, 1)
     if many.take(1):
-        links.add(_outsiders(many.select("band", "node"), nodes, links.labels), 0)
+        links.include(materialize(_outsiders(many.select("band", "node"), nodes, texts, links.labels, least)))
     release(texts, held)
     return links.labels if links.labels is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 

@@ -9,7 +9,7 @@ from fieldcast.llm import near_text, queries
 
 def test_registered():
     names = queries.queries()
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "simhash_near_dedup", "best_fit_packing"]
 
