@@ -16,6 +16,8 @@ from .voting import majority_vote
 SAMPLES = 240
 #: All polygons of all image sizes travel with each task; more of them than this stop the job.
 MAX_POLYGONS = 20_000
+#: Image sizes that polygons are clipped for; an archive has a few.
+MAX_SIZES = 1000
 #: A polygon with fewer sample points gets more, up to the second, in so many tries.
 FEW_POINTS, MORE_POINTS, TRIES = 20, 30, 3000
 
@@ -55,7 +57,10 @@ def polygon_frames(polygons: DataFrame, sizes: DataFrame) -> DataFrame:
     ``frame_w`` by ``frame_h``); ``sizes``: width, height. Sizes are few; polygons are scaled
     and clipped once for each.
     """
-    df = polygons.select("poly", "parts", "frame_w", "frame_h").join(F.broadcast(sizes.select("width", "height").distinct().filter("width > 0")))
+    sizes = sizes.filter("width > 0").select("width", "height").distinct()
+    if sizes.limit(MAX_SIZES + 1).count() > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} image sizes")
+    df = polygons.select("poly", "parts", "frame_w", "frame_h").join(F.broadcast(sizes))
     sx, sy = F.col("width") / F.col("frame_w"), F.col("height") / F.col("frame_h")
     scaled = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] * sx).alias("x"), (p["y"] * sy).alias("y")))))
     df = df.withColumn("parts", scaled).withColumn("_clipped", clip_polygon(F.col("parts"), F.col("width"), F.col("height")))
