@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .collections import let
+
 #: Labels of injury codes; others are shown as they are, in title case.
 INJURY_LABELS = {
     "ACTIVE": "Healthy",
@@ -139,18 +141,22 @@ def normalize_slot(url: Column, context: Column, manifest_slot: Column) -> Colum
     stem = F.translate(F.upper(F.coalesce(url_stem(url), F.lit(""))), "_", "-")
     around = F.upper(F.coalesce(context, F.lit("")))
     other = F.concat(around, F.lit(" "), F.upper(F.coalesce(manifest_slot, F.lit(""))))
-    network = F.coalesce(network_of(stem), network_of(other))
-    letter = F.lit(None).cast("string")
-    for code, name in reversed((("E", "EARLY"), ("L", "LATE"), ("S", "SINGLE"), ("T", "SPECIAL"))):
-        hit = F.lit(False)
-        for n in NETWORKS:
-            hit = hit | ((network == n) & stem.rlike(rf"(?:^|-)({n})-{code}(?:-|$|\d)"))
-        letter = F.when(hit, name).otherwise(letter)
-    window = F.coalesce(
-        letter,
-        F.when(stem.contains(network), "SINGLE").when(around.contains("EARLY"), "EARLY").when(around.contains("LATE"), "LATE").when(other.contains("SINGLE"), "SINGLE"),
-    )
-    return F.coalesce(F.concat(network, F.lit("_"), window), F.lit("UNKNOWN"))
+
+    def window_of(v: Column) -> Column:
+        stem, around, other, network = (v[n] for n in ("stem", "around", "other", "network"))
+        letter = F.lit(None).cast("string")
+        for code, name in reversed((("E", "EARLY"), ("L", "LATE"), ("S", "SINGLE"), ("T", "SPECIAL"))):
+            hit = F.lit(False)
+            for n in NETWORKS:
+                hit = hit | ((network == n) & stem.rlike(rf"(?:^|-)({n})-{code}(?:-|$|\d)"))
+            letter = F.when(hit, name).otherwise(letter)
+        words = F.when(stem.contains(network), "SINGLE").when(around.contains("EARLY"), "EARLY").when(around.contains("LATE"), "LATE").when(other.contains("SINGLE"), "SINGLE")
+        return F.concat(network, F.lit("_"), F.coalesce(letter, words))
+
+    # each text is made once, whatever the number of tests on it
+    texts = F.struct(stem.alias("stem"), around.alias("around"), other.alias("other"))
+    named = lambda t: F.struct(t["stem"].alias("stem"), t["around"].alias("around"), t["other"].alias("other"), F.coalesce(network_of(t["stem"]), network_of(t["other"])).alias("network"))
+    return F.coalesce(let(texts, lambda t: let(named(t), window_of)), F.lit("UNKNOWN"))
 
 
 def plausible_zip(raw: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_slot, revision_from_url, split_matchup, split_window_marker
 from ..operators import basic, compaction, images, legends, snapshots, voting
+from ..operators.cuts import written
 
 KEYS = ["season", "week", "slot"]
 
@@ -20,7 +21,7 @@ def final_manifest(manifest: DataFrame) -> DataFrame:
 
 def best_legend(attempts: DataFrame) -> DataFrame:
     """Legend of the first attempt of each season and week, by priority, that tells anything."""
-    every = legends.extract_legend(attempts, ["season", "week", "priority"])
+    every = written(legends.extract_legend(attempts, ["season", "week", "priority"]))
     told = every.groupBy("season", "week", "priority").agg(F.count("*").alias("found"))
     tried = attempts.select("season", "week", "priority").distinct().join(told, ["season", "week", "priority"], "left")
     best = snapshots.first_good_source(tried, ["season", "week"], "found", "priority").filter("status = 'ok'").select("season", "week", "priority")
@@ -38,12 +39,15 @@ def build_assignments(manifest: DataFrame, listing: DataFrame, files: DataFrame,
     season, week, slot, color, game.
     """
     name = lambda c: F.regexp_extract(c, r"([^/\\]+?)(?:[?#].*)?$", 1)
-    maps = final_manifest(manifest).withColumn("local_name", name("local_path")).withColumn("url_name", name("image_url"))
-    maps = snapshots.resolve_files(maps, listing, KEYS).join(listing.select("path", "digest"), "path").select(*KEYS, "digest", "revision")
+    final = final_manifest(manifest).select(*KEYS, "revision", "sha256", name("local_path").alias("local_name"), name("image_url").alias("url_name"))
+    maps = written(final)  # the rules of files each read it
+    maps = snapshots.resolve_files(maps, listing, KEYS).join(listing.select("path", "digest"), "path")
+    maps = written(maps.select(*KEYS, "digest", "revision"))
     good = files.filter("width > 0")
-    shapes = images.polygon_frames(polygons, good)
+    sizes = written(good.select("digest", "width", "height"))  # decoding once for these, once for the pixels
+    shapes = written(images.polygon_frames(polygons, sizes))
     px = images.sample_polygons(good.join(maps.select("digest").distinct(), "digest", "left_semi"), shapes, "digest", samples, min_valid)
-    sized = maps.join(good.select("digest", "width", "height"), "digest")
+    sized = maps.join(sizes, "digest")
     every = sized.join(shapes.select("width", "height", F.col("poly").alias("market"), F.col("status").alias("frame")), ["width", "height"])
     votes = every.join(images.vote_polygons(px).withColumnRenamed("poly", "market"), ["digest", "market"], "left")
     votes = votes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_top", "valid", "total")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("confidence", "valid_share")})
