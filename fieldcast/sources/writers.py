@@ -1,4 +1,4 @@
-"""Writers with fixed fields, small JSON payloads, and publishing behind a check."""
+"""Writers with fixed fields, JSON payloads, and publishing behind a check."""
 
 from __future__ import annotations
 
@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.basic import table_digest
+from ..operators.ordering import running_totals
+
+#: Bytes of rows that fill a JSON document; a task holds whole ones.
+DOCUMENT_BYTES = 1 << 20
 
 
 class Refused(RuntimeError):
@@ -26,16 +30,36 @@ def write_table(df: DataFrame, fields: list[str], path: str, partition_by: tuple
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def _document(df: DataFrame, meta: dict) -> DataFrame:
+    return df.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], "rows")).alias("value"))
+
+
 def json_payload(df: DataFrame, **meta) -> DataFrame:
     """One row, one compact JSON document: the meta fields and all rows under ``rows``.
 
     For results of bounded size only: the rows meet in one value.
     """
-    return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("rows")).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], "rows")).alias("value"))
+    return _document(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("rows")), meta)
+
+
+def json_payloads(df: DataFrame, document_bytes: int = DOCUMENT_BYTES, **meta) -> DataFrame:
+    """Documents as of :func:`json_payload`, each with a run of the sorted rows: as many as the
+    rows fill, one without rows if there are none.
+
+    A row is in the document in which its text begins, so a document exceeds ``document_bytes``
+    by one row and the meta fields at most.
+    """
+    row = F.struct(*df.columns)
+    sized = df.withColumn("_bytes", F.octet_length(F.to_json(row)) + 1)  # a comma
+    sized = running_totals(sized, [], [F.col(c) for c in df.columns], "_bytes", "_upto", "_all")
+    rows = sized.select(F.floor((F.col("_upto") - F.col("_bytes")) / document_bytes).alias("_at"), row.alias("_row"))
+    first = df.sparkSession.range(1).select(F.col("id").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    return _document(rows.unionByName(first).groupBy("_at").agg(F.array_sort(F.collect_list("_row")).alias("rows")), meta)
 
 
-def write_json_payload(df: DataFrame, path: str, mode: str = "errorifexists", **meta) -> None:
-    json_payload(df, **meta).write.mode(mode).text(path)
+def write_json_payload(df: DataFrame, path: str, mode: str = "errorifexists", document_bytes: int = DOCUMENT_BYTES, **meta) -> None:
+    """A file for each document of :func:`json_payloads`, so that ``read_nested_json`` reads all."""
+    json_payloads(df, document_bytes, **meta).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_files(df: DataFrame, path: str) -> None:

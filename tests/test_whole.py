@@ -2,11 +2,16 @@
 
 import collections
 import datetime
+import json
 from zoneinfo import ZoneInfo
 
+import pytest
+from pyspark.sql import functions as F
+
 from fieldcast.functions import time
 from fieldcast.queries import QUERIES
 from fieldcast.queries.registry import view
+from fieldcast.sources import readers, writers
 
 HOME = ZoneInfo("America/New_York")
 
@@ -60,3 +65,36 @@ def test_prefix_queries_read_customers_of_every_key(spark, tmp_path):
     assert sorted((r["code"], r["value"], r["kind"]) for r in run("a2_prefix_majority")) == sorted(want)
     assert sorted((r["zip"], r["zone"], r["found"]) for r in run("j12_longest_prefix")) == sorted((z, v, v) for z, v in zone.items())
     assert sorted((r["prefix"], r["n_values"], r["mixed"]) for r in run("a26_purity")) == sorted((p, len(n), len(n) > 1) for p, n in held.items())
+
+
+def test_payload_holds_every_supplier(spark, tmp_path):
+    """All of one nation, some alike, with nulls and text that JSON escapes."""
+    rows = [(k if k % 9 else None, ["a", 'q"\\', "l\n,]} é", "", None][k % 5], 3, 1.0) for k in range(400)] + [(7, "a", 3, 1.0)] * 50
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["s2_s9_json_payload"](spark, str(tmp_path))
+    assert got.columns == ["schema", "s_suppkey", "s_name", "s_nationkey"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, *r[:3]) for r in rows], got.schema).collect()))
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_payload_documents_are_bounded(spark, tmp_path, coalesced):
+    """Rows in order, whatever their ties, in documents of a given size; one if there is no row."""
+    rows = [(1, "same")] * 700 + [(k, "x" * (k % 60)) for k in range(300)] + [(None, None), (5, "y" * 5000)]
+    df = spark.createDataFrame(rows, "a long, b string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        writers.write_json_payload(df, f"{tmp_path}/many", document_bytes=2000, schema=1)
+        writers.write_json_payload(df.limit(0), f"{tmp_path}/none", document_bytes=2000, schema=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p.read_text() for p in (tmp_path / "many").glob("part-*")]
+    runs = sorted(([(r.get("a"), r.get("b")) for r in json.loads(t)["rows"]] for t in files if t), key=lambda x: (in_order(x[0]), in_order(x[-1])))
+    assert [r for run in runs for r in run] == sorted(rows, key=in_order)
+    assert len(runs) > 10 and sorted(len(t) for t in files)[-2] < 2100  # the longest has the row of 5000
+    read = lambda at: readers.read_nested_json(spark, f"{tmp_path}/{at}", "schema int, rows array<struct<a:long,b:string>>")
+    assert sorted(((r.a, r.b) for r in read("many").select(F.inline("rows")).collect()), key=in_order) == sorted(rows, key=in_order)
+    assert [(r.schema, r.rows) for r in read("none").collect()] == [(1, [])]
+
+
+def in_order(row):
+    return tuple((x is not None, x) if x is not None else (False,) for x in row)  # nulls first
