@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.collections import first_present, let
-from .basic import top_k_per_group
+from .basic import small, top_k_per_group
 from .cuts import written
+from .ordering import number_rows
 from .snapshots import best_row
 
 #: Starting slots in their order with the positions that may fill them; bench slots follow.
@@ -65,14 +69,24 @@ def grams(text: Column, size: Column | int) -> Column:
     return F.when(F.length(text) >= size, made).otherwise(F.array().cast("array<string>"))
 
 
-def gram_index(keys: DataFrame, key: str = "name_key") -> DataFrame:
-    """(gram, key): every key under each of its substrings of one to ``GRAM`` characters.
+def query_grams(queries: DataFrame) -> DataFrame:
+    """(query, gram): the grams of ``GRAM`` characters of each query, or itself if it is shorter."""
+    q = queries.select("query").filter("query <> ''").distinct()
+    return q.withColumn("gram", F.explode(grams(F.col("query"), F.least(F.length("query"), F.lit(GRAM)))))
+
+
+def gram_index(keys: DataFrame, key: str = "name_key", queries: DataFrame | None = None) -> DataFrame:
+    """(gram, key): every key under each of its substrings of one to ``GRAM`` characters, or with
+    ``queries`` under those alone that :func:`containing` may look up for them.
 
     Written once; a key has at most ``GRAM`` times its length rows.
     """
     names = keys.select(key).filter(F.length(key) > 0).distinct()
     every = F.flatten(F.array(*[grams(F.col(key), n) for n in range(1, GRAM + 1)]))
-    return written(names.select(F.explode(every).alias("gram"), key))
+    index = names.select(F.explode(every).alias("gram"), key)
+    if queries is not None:
+        index = index.join(small(query_grams(queries).select("gram").distinct()), "gram", "left_semi")
+    return written(index)
 
 
 def gram_counts(index: DataFrame, key: str = "name_key") -> DataFrame:
@@ -86,9 +100,7 @@ def containing(queries: DataFrame, index: DataFrame, counts: DataFrame, key: str
     A query reads the keys of its rarest gram alone, so how its text begins does not matter; one
     with a gram that no key holds reads none. Queries of fewer characters are grams themselves.
     """
-    q = queries.select("query").filter("query <> ''").distinct()
-    parts = q.withColumn("gram", F.explode(grams(F.col("query"), F.least(F.length("query"), F.lit(GRAM)))))
-    weighed = parts.join(counts.select("gram", "n"), "gram", "left")
+    weighed = query_grams(queries).join(counts.select("gram", "n"), "gram", "left")
     rarest = weighed.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
     pairs = rarest.select("query", F.col("least.gram").alias("gram")).join(index, "gram")
     return pairs.filter(F.contains(F.col(key), F.col("query"))).select("query", key)
@@ -133,33 +145,39 @@ def candidates_for(asks: DataFrame, pool: DataFrame, entries: DataFrame, placed:
 
     ``asks``: ask (unique), roster, slot, query ('' asks for all), week; ``pool``: name_key
     (unique), position; ``entries``: name_key, week, points, ord (the first row of a week
-    counts); ``placed``: roster, slot, name_key. An ask without a query needs no more than the
-    best of its positions and week, as many as ``k`` and a roster's players: longer lists are
-    never joined.
+    counts); ``placed``: roster, slot, name_key. Asks that differ in nothing else are answered
+    once. Names are ranked once for each query, week and position asked for, over any number of
+    tasks; an ask meets the first of them, as many as ``k`` and its roster's players of that
+    position, since no more can be in another slot.
     """
     table = F.array(*[F.struct(F.lit(i).alias("id"), (F.array(*map(F.lit, p)) if p is not None else F.lit(None).cast("array<string>")).alias("positions")) for i, p in slots])
     slot = F.get(F.filter(table, lambda x: x["id"] == F.col("slot")), F.lit(0))
-    asks = asks.withColumn("_slot", slot).filter("_slot is not null").withColumn("_positions", F.col("_slot.positions")).drop("_slot")
-    pool, entries = pool.select("name_key", "position"), entries.select("name_key", "week", "points", "ord")
-    index = gram_index(pool)
-    named = asks.filter("query <> ''").join(containing(asks, index, written(gram_counts(index))), "query").join(pool, "name_key")
-    named = named.filter(F.col("_positions").isNull() | F.array_contains("_positions", F.col("position")))
-    points = week_entry(named.select("name_key", "week").distinct(), entries).select("name_key", "week", F.coalesce("points", F.lit(0.0)).alias("points"))
-    named = named.join(points, ["name_key", "week"])
-
-    most = k + (placed.groupBy("roster").count().agg(F.max("count")).first()[0] or 0)
-    weeks = asks.filter("query = ''").select("week").distinct()
-    every = week_entry(pool.select("name_key").join(F.broadcast(weeks)), entries).join(pool.select("name_key", "position"), "name_key")  # weeks of a season
-    every = every.select("name_key", "week", "position", F.coalesce("points", F.lit(0.0)).alias("points"))
-    best = top_k_per_group(every, ["week", "position"], [F.desc("points"), F.col("name_key")], most).drop("rank")
-    kinds = pool.select("position").distinct().agg(F.collect_set("position").alias("_all"))  # positions of a game
-    free = asks.filter("query = ''").join(F.broadcast(kinds)).withColumn("position", F.explode(F.coalesce("_positions", "_all"))).join(best, ["week", "position"])
-
-    columns = ["ask", "roster", "slot", "name_key", "points"]
-    hits = named.select(*columns).unionByName(free.select(*columns))
-    held = placed.select(F.col("roster").alias("_r"), F.col("slot").alias("_s"), F.col("name_key").alias("_k"))
-    hits = hits.join(held, (F.col("roster") == F.col("_r")) & (F.col("name_key") == F.col("_k")) & (F.col("slot") != F.col("_s")), "left_anti")
-    return top_k_per_group(hits, ["ask"], [F.desc("points"), F.col("name_key")], k)
+    alike = lambda *columns: reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    pool, placed = written(pool), written(placed)
+    names = pool.select("name_key", "position")
+
+    of = ["roster", "slot", "query", "week"]
+    kinds = asks.select(*of).distinct().withColumn("_can", slot).filter("_can is not null")
+    fits = F.col("_can.positions").isNull() | F.array_contains("_can.positions", F.col("position"))
+    kinds = kinds.join(F.broadcast(names.select("position").distinct()), fits)  # positions of a game
+    held = placed.join(names, "name_key").groupBy(F.col("roster").alias("_roster"), F.col("position").alias("_position")).agg(F.count("*").alias("_held"))
+    kinds = kinds.join(held, (F.col("roster") == F.col("_roster")) & alike("position"), "left")
+    kinds = written(kinds.select(*of, "position", (F.coalesce("_held", F.lit(0)) + k).alias("most")))
+
+    lists = kinds.groupBy(*[F.col(c).alias(f"_{c}") for c in ("query", "week", "position")]).agg(F.max("most").alias("_most"))
+    index = gram_index(names, queries=kinds)
+    hits = containing(kinds, index, written(gram_counts(index))).join(names, "name_key").unionByName(names.withColumn("query", F.lit("")))
+    hits = hits.join(small(lists), (F.col("query") == F.col("_query")) & alike("position")).select("query", F.col("_week").alias("week"), "position", "name_key", "_most")
+    hits = written(week_entry(hits, entries.select("name_key", "week", "points", "ord")).select(*hits.columns, F.coalesce("points", F.lit(0.0)).alias("points")))
+    ranked = number_rows(hits, ["query", "week", "position"], [F.desc("points"), F.asc("name_key")], name="place").filter("place <= _most")
+
+    best = ranked.select(*[F.col(c).alias(f"_{c}") for c in ("query", "week", "position", "place")], "name_key", "points")
+    places = kinds.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "most")))
+    free = places.join(best, alike("query", "week", "position", "place"))
+    elsewhere = placed.select(F.col("roster").alias("_r"), F.col("slot").alias("_s"), F.col("name_key").alias("_k"))
+    free = free.join(elsewhere, (F.col("roster") == F.col("_r")) & (F.col("name_key") == F.col("_k")) & (F.col("slot") != F.col("_s")), "left_anti")
+    best = top_k_per_group(free, of, [F.desc("points"), F.col("name_key")], k).select(*[F.col(c).alias(f"_{c}") for c in of], "name_key", "points", "rank")
+    return asks.join(best, alike(*of)).select("ask", "roster", "slot", "name_key", "points", "rank")
 
 
 def line_up(players: Column, slots: list[tuple[str, list[str]]]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_key
 from ..operators import basic, consensus, projections, rosters
+from ..operators.cuts import written
 from .registry import cte, query, table, view
 
 
@@ -132,13 +133,18 @@ _TABLE = [("QB", ["ECONOMY"]), ("FLEX", ["SMALL", "LARGE"]), ("BN1", None)]
     SELECT ask, roster, slot, name_key, points, row_number() OVER (PARTITION BY ask ORDER BY points DESC, name_key) AS rank FROM hit QUALIFY rank <= 5"""
 )
 def t2_candidates_for(spark, sf_dir):
-    """Every supplier asks for a slot of its roster; every second one types a number."""
-    players, pool = _pool(spark, sf_dir)
+    """Every supplier asks for a slot of its roster; every second one types a number.
+
+    The feed is read once, for each player's first and best row of every week."""
+    players, _ = _pool(spark, sf_dir)
+    first, best = F.min_by("points", F.struct("team", "points")), F.min_by(F.struct("position", "points"), F.struct(-F.col("points"), "team"))
+    weekly = written(players.groupBy("name_key", "week").agg(first.alias("points"), best.alias("best")))
+    pool = written(weekly.groupBy("name_key").agg(F.max_by("best", "week").alias("best")).select("name_key", "best.*"))
     s, n = F.col("s_suppkey"), F.substring("name_key", 2, 20).cast("int")
     asks = table(spark, sf_dir, "supplier").select(s.alias("ask"), (s % 50).cast("int").alias("roster"), F.when(s % 3 == 0, "FLEX").when(s % 3 == 1, "QB").otherwise("BN1").alias("slot"), F.when(s % 2 == 0, "").otherwise((s % 40).cast("string")).alias("query"), (s % 12 + 1).cast("int").alias("week"))
     placed = pool.filter((F.col("points") > 60) & (n % 7 == 0)).select((n % 50).alias("roster"), F.when(n % 3 == 0, "QB").otherwise("FLEX").alias("slot"), "name_key")
-    entries = players.withColumn("ord", F.struct("team", "points"))
-    return rosters.candidates_for(asks, pool.select("name_key", "position"), entries, placed, _TABLE, 5).select("ask", "roster", "slot", "name_key", "points", "rank")
+    entries = weekly.withColumn("ord", F.lit(0))
+    return rosters.candidates_for(asks, pool, entries, placed, _TABLE, 5).select("ask", "roster", "slot", "name_key", "points", "rank")
 
 
 _SIX = "CASE position WHEN 'ECONOMY' THEN 'QB' WHEN 'STANDARD' THEN 'RB' WHEN 'SMALL' THEN 'WR' WHEN 'LARGE' THEN 'TE' WHEN 'MEDIUM' THEN 'K' ELSE 'DEF' END"
